@@ -81,7 +81,7 @@ FROM {{part}} GROUP BY 1""",
 SELECT concat('s', CAST(user_id % 3 AS STRING)) AS sample_id, concat('m', CAST(user_id AS STRING)) AS read_id,
        CASE WHEN event_id % 7 = 6 THEN 'chr10' ELSE concat('chr', CAST(event_id % 7 + 1 AS STRING)) END AS chrom,
        CASE WHEN event_id % 7 = 6 THEN 129467200 + event_id % 80
-            ELSE 10000 + (event_id % 40) * 26 + 1040 * {_div('event_id', 10000)} END AS pos,
+            ELSE 10000 + (event_id % 40) * 26 + 1040 * {_div('event_id', 2500)} END AS pos,
        CASE WHEN {_div('event_id', 80)} % 2 = 0 THEN '+' ELSE '-' END AS strand,
        CASE WHEN event_id % 3 = 0 THEN 'h' ELSE 'm' END AS mod_code,
        CAST(floor(value * 2.56) AS BIGINT) % 256 AS prob,
@@ -91,7 +91,7 @@ FROM {{events}}""",
 SELECT concat('s', CAST(user_id % 3 AS STRING)) AS sample_id, concat('batch_', CAST({_div('event_id', 1000)} AS STRING)) AS file,
        CASE WHEN event_id % 7 = 6 THEN 'chr10' ELSE concat('chr', CAST(event_id % 7 + 1 AS STRING)) END AS chrom,
        CASE WHEN event_id % 7 = 6 THEN 129467200 + event_id % 80
-            ELSE 10000 + (event_id % 40) * 26 + 1040 * {_div('event_id', 10000)} END AS pos,
+            ELSE 10000 + (event_id % 40) * 26 + 1040 * {_div('event_id', 2500)} END AS pos,
        CASE WHEN {_div('event_id', 80)} % 2 = 0 THEN '+' ELSE '-' END AS strand,
        CASE WHEN event_id % 5 = 0 THEN 'h' ELSE 'm' END AS mod_code,
        10 + user_id % 20 AS valid_cov,
