@@ -1,6 +1,6 @@
 """Queries on the given tables, each with the SQL it must agree with."""
 
-from strandline.plans import coverage_queries, interval_queries, methylation_queries, qc_queries, source_queries
+from strandline.plans import coverage_queries, fusion_queries, interval_queries, methylation_queries, qc_queries, source_queries
 from strandline.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
