@@ -17,6 +17,7 @@ from strandline.functions.tags import supplementary_spans
 from strandline.operators.graph import connected_components
 from strandline.operators.intervals import interval_join
 from strandline.operators.ranges import merge_nearby, merge_ranges
+from strandline.session import cut_lineage, keep
 
 READ = ["sample_id", "read_id"]
 
@@ -54,8 +55,8 @@ def overlap_artifacts(candidates: DataFrame, distance: int = SIMILARITY) -> Data
 
     Starts and ends are put on a grid of ``distance + 1``: two rows in one cell
     are close by construction, so a cell needs a count only. Cells that hold one
-    row meet their half of the neighbouring cells by an equi-join, which is at
-    most four partners per row whatever the size of a read.
+    row meet their half of the neighbouring cells by one more aggregate, with at
+    most four visitors per cell whatever the size of a read.
     """
     key = [*READ, "chrom"]
     side = distance + 1
@@ -65,15 +66,22 @@ def overlap_artifacts(candidates: DataFrame, distance: int = SIMILARITY) -> Data
         .groupBy(*key, "i", "j")
         .agg(F.count(F.lit(1)).alias("n"), F.min("ref_start").alias("s"), F.min("ref_end").alias("e"))
     )
-    same = cells.filter("n > 1").select(*READ)
-    single = cells.filter("n = 1")
-    steps = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    moved = single.withColumn("d", F.explode(steps)).select(*key, (F.col("i") + F.col("d.di")).alias("i"), (F.col("j") + F.col("d.dj")).alias("j"), F.col("s").alias("s1"), F.col("e").alias("e1"))
-    near = moved.join(single, [*key, "i", "j"]).filter((F.abs(F.col("s") - F.col("s1")) <= distance) & (F.abs(F.col("e") - F.col("e1")) <= distance))
-    return same.unionByName(near.select(*READ)).distinct()
+    # every cell goes to itself and to its later neighbours; a cell is one row by now,
+    # so a target gathers at most one resident and four visitors
+    steps = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    moved = cells.withColumn("d", F.explode(steps)).select(
+        *key, (F.col("i") + F.col("d.di")).alias("i"), (F.col("j") + F.col("d.dj")).alias("j"), "n", "s", "e", ((F.col("d.di") == 0) & (F.col("d.dj") == 0)).alias("home")
+    )
+    met = moved.groupBy(*key, "i", "j").agg(
+        F.max(F.when(F.col("home"), F.col("n"))).alias("n"), F.max(F.when(F.col("home"), F.col("s"))).alias("s"), F.max(F.when(F.col("home"), F.col("e"))).alias("e"),
+        F.collect_list(F.when(~F.col("home"), F.struct("s", "e"))).alias("visitors"),
+    )
+    close = F.exists("visitors", lambda x: (F.abs(x["s"] - F.col("s")) <= distance) & (F.abs(x["e"] - F.col("e")) <= distance))
+    return met.filter((F.col("n") > 1) | (F.col("n").isNotNull() & close)).select(*READ).distinct()
 
 
 def without_artifacts(candidates: DataFrame) -> DataFrame:
+    candidates = keep(candidates)
     return candidates.join(overlap_artifacts(candidates), READ, "left_anti")
 
 
@@ -121,6 +129,7 @@ def validate_fusion(rows: DataFrame) -> DataFrame:
 
 def gene_groups(candidates: DataFrame, min_support: int = READ_SUPPORT) -> DataFrame:
     """Components of the two-gene tags that at least ``min_support`` reads touch."""
+    candidates = keep(candidates)
     good = supported_rows(candidates, min_support)
     edges = gene_tags(candidates, min_support).filter(F.size(F.split("tag", ",")) == 2)
     parts = F.split("tag", ",")
@@ -217,22 +226,31 @@ def _seed_clusters(positions: DataFrame, keys: Sequence[str], distance: int) ->
     most one row per base of a gene, however many reads there are.
     """
     starts = positions.groupBy(*keys, "start").agg(F.min("end").alias("first_end"), F.max("end").alias("last_end"))
-    schema = ", ".join([*[f"{k} string" for k in keys], "cluster long", "c_start long", "c_end long"])
+    # most groups are one cluster: the first seed reaches the last start
+    span = starts.groupBy(*keys).agg(
+        F.min(F.struct("start", "first_end")).alias("seed"), F.max("start").alias("_last"), F.max("last_end").alias("c_end")
+    ).withColumn("_one", F.col("_last") <= F.col("seed.first_end") + distance)
+    single = span.filter("_one").select(*keys, F.lit(0).cast("bigint").alias("cluster"), F.col("seed.start").alias("c_start"), "c_end")
+    starts = starts.join(span.filter("NOT _one").select(*keys), list(keys), "left_semi")
+    runs = starts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "first_end", "last_end"))).alias("s"))
+    none = F.expr("cast(null as bigint)")
+    empty = F.struct(
+        F.expr("cast(array() as array<struct<c_start:bigint,c_end:bigint>>)").alias("done"), none.alias("c_start"), none.alias("c_end"), none.alias("limit")
+    )
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start")
-        start, first_end, last_end = (pdf[c].to_numpy() for c in ("start", "first_end", "last_end"))
-        rows, i = [], 0
-        while i < len(start):
-            j = int(np.searchsorted(start, first_end[i] + distance, side="right"))
-            rows.append((len(rows), start[i], last_end[i:j].max()))
-            i = j
-        out = pd.DataFrame(rows, columns=["cluster", "c_start", "c_end"])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "cluster", "c_start", "c_end"]]
+    def step(acc, x):
+        joins = acc["limit"].isNotNull() & (x["start"] <= acc["limit"])
+        closed = F.when(acc["limit"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["c_start"].alias("c_start"), acc["c_end"].alias("c_end")))))
+        return F.struct(
+            F.when(joins, acc["done"]).otherwise(closed).alias("done"),
+            F.when(joins, acc["c_start"]).otherwise(x["start"]).alias("c_start"),
+            F.when(joins, F.greatest(acc["c_end"], x["last_end"])).otherwise(x["last_end"]).alias("c_end"),
+            F.when(joins, acc["limit"]).otherwise(x["first_end"] + distance).alias("limit"),
+        )
 
-    return starts.groupBy(*keys).applyInPandas(chain, schema)
+    folded = F.aggregate("s", empty, step, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["c_start"].alias("c_start"), acc["c_end"].alias("c_end")))))
+    chained = runs.select(*keys, F.posexplode(folded).alias("cluster", "c")).select(*keys, F.col("cluster").cast("bigint").alias("cluster"), "c.*")
+    return single.unionByName(chained)
 
 
 def validated_fusions(pairs: DataFrame, distance: int = 100, min_support: int = VALIDATED_SUPPORT) -> DataFrame:
@@ -241,6 +259,7 @@ def validated_fusions(pairs: DataFrame, distance: int = 100, min_support: int =
     A read counts for every cluster with a member within ``distance`` of it,
     which is the same as touching the padded span of the cluster.
     """
+    pairs = keep(pairs)
     rows = pairs
     for n in (1, 2):
         spots = pairs.select(*PAIR, F.col(f"start{n}").alias("start"), F.col(f"end{n}").alias("end"))
@@ -330,7 +349,8 @@ def dbscan_labels(points: DataFrame, keys: Sequence[str], eps2: int, min_points:
     pts = pts.withColumns({"cu": F.floor(F.col("u") / side), "cv": F.floor(F.col("v") / side)})
     cell = [*keys, "cu", "cv"]
     weights = pts.groupBy(*cell).agg(F.sum("w").alias("cw"))
-    placed = pts.join(weights, cell)
+    placed = cut_lineage(pts.join(weights, cell))
+    pts = placed.drop("cw")
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
 
     def neighbours(centre: DataFrame, others: DataFrame) -> DataFrame:
@@ -347,7 +367,7 @@ def dbscan_labels(points: DataFrame, keys: Sequence[str], eps2: int, min_points:
     thin_core_keys = counted.filter(F.col("near") >= min_points).select(*keys, "x", "y")
     thin_core = thin.drop("cw").join(thin_core_keys, [*keys, "x", "y"], "left_semi")
     border = thin.drop("cw").join(thin_core_keys, [*keys, "x", "y"], "left_anti")
-    core = dense.unionByName(thin_core)
+    core = cut_lineage(dense.unionByName(thin_core))
 
     boxes = core.groupBy(*cell).agg(
         F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"), F.min(F.struct("x", "y")).alias("first")
@@ -376,7 +396,7 @@ def dbscan_labels(points: DataFrame, keys: Sequence[str], eps2: int, min_points:
     a, b = F.struct(F.col("cu_a").alias("i"), F.col("cv_a").alias("j")), F.struct(F.col("cu").alias("i"), F.col("cv").alias("j"))
     loops = boxes.select(*keys, F.struct(F.col("cu").alias("i"), F.col("cv").alias("j")).alias("a"))
     edges = links.select(*keys, a.alias("a"), b.alias("b")).unionByName(loops.withColumn("b", F.col("a")))
-    parts = connected_components(edges, "a", "b", keys)
+    parts = connected_components(cut_lineage(edges), "a", "b", keys)
     parts = parts.select(*keys, F.col("vertex.i").alias("cu"), F.col("vertex.j").alias("cv"), "component")
     names = boxes.select(*cell, "first").join(parts, cell).groupBy(*keys, "component").agg(F.min("first").alias("label"))
     labelled = core.join(parts, cell).join(names, [*keys, "component"]).select(*cell, "x", "y", "u", "v", "label")
@@ -392,6 +412,7 @@ def cluster_dbscan(pairs: DataFrame, distance: int = 5000, min_support: int = RE
     defined rule; ``None`` clusters everything.
     """
     keys = ["sample_id", "p_chrom", "s_chrom"]
+    pairs = keep(pairs)
     rows = pairs.withColumns({"x": F.col("p_start") + F.col("p_end"), "y": F.col("s_start") + F.col("s_end")})
     binned = None
     if max_pairs is not None:

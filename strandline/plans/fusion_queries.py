@@ -178,6 +178,9 @@ def simple_gene_pairs(v):
     return fu.simple_gene_pairs(clean(v))
 
 
+HIT_PAIRS = PICK[PICK.index("pick AS"):].replace("FROM clean", "FROM fusion_hits")
+
+
 def _chain(n: int, d: int) -> str:
     """SQL text of the seed chain of one side: a recursive walk from seed to seed."""
     g = "sample_id, gene1, gene2, chr1, chr2"
@@ -190,8 +193,9 @@ def _chain(n: int, d: int) -> str:
 
 
 def _validated(d: int, quality: str) -> str:
+    """SQL text of the shared clusters, on the dense hits."""
     on = "r.sample_id = {c}.sample_id AND r.gene1 = {c}.gene1 AND r.gene2 = {c}.gene2 AND r.chr1 = {c}.chr1 AND r.chr2 = {c}.chr2"
-    return f"""WITH RECURSIVE {PICK}, {_chain(1, d)}, {_chain(2, d)}
+    return f"""WITH RECURSIVE {HIT_PAIRS}, {_chain(1, d)}, {_chain(2, d)}
       SELECT r.sample_id, r.gene1, r.gene2, r.chr1, r.chr2, cluster1, cluster2, c_start1, c_end1, c_start2, c_end2, count(*) AS reads{quality} FROM gp r
       JOIN cl1 ON {on.format(c='cl1')} AND c_start1 <= r.end1 + {d} AND c_end1 >= r.start1 - {d} JOIN cl2 ON {on.format(c='cl2')} AND c_start2 <= r.end2 + {d} AND c_end2 >= r.start2 - {d}
       GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11 HAVING count(*) >= 4"""
@@ -199,12 +203,12 @@ def _validated(d: int, quality: str) -> str:
 
 @query("AGG32_validated_fusions", _validated(100, ", avg(min_mapq) AS avg_mapq, avg(min_span) AS avg_span"))
 def validated_fusions(v):
-    return fu.validated_fusions(fu.gene_pairs_per_read(clean(v)))
+    return fu.validated_fusions(fu.gene_pairs_per_read(v.fusion_hits))
 
 
 @query("AGG33_coordinate_clusters", _validated(10000, ""))
 def coordinate_clusters(v):
-    return fu.coordinate_clusters(fu.gene_pairs_per_read(clean(v)))
+    return fu.coordinate_clusters(fu.gene_pairs_per_read(v.fusion_hits))
 
 
 @query(

@@ -69,11 +69,18 @@ FROM (SELECT DISTINCT {_div('o_orderkey', 300)} AS n,
 SELECT {_chrom('p_partkey % 25')} AS chrom,
        99500 + 2000 * {_PLOCUS} + (p_size % 10) * 100 AS start_pos,
        101000 + 2000 * {_PLOCUS} + (p_size % 10) * 100 AS end_pos,
-       concat('G', CAST((p_partkey % 25) * 8 + {_PLOCUS} % 8 AS STRING)) AS name,
+       concat('G', CAST((p_partkey % 25) * 2 + {_PLOCUS} % 2 AS STRING)) AS name,
        concat('T', CAST(p_partkey AS STRING)) AS target_id,
        CASE WHEN p_size % 3 = 0 THEN '+' WHEN p_size % 3 = 1 THEN '-' ELSE '.' END AS strand,
        CASE WHEN p_size % 4 = 0 THEN 'target' ELSE 'genome' END AS region_type
 FROM {{part}}""",
+    "fusion_hits": f"""
+SELECT concat('s', CAST({_FILE} % 3 AS STRING)) AS sample_id, concat('r', CAST(l_orderkey AS STRING)) AS read_id,
+       concat('G', CAST((l_partkey % 25) * 2 + {_LOCUS} % 2 AS STRING)) AS gene, {_chrom('l_partkey % 25')} AS chrom,
+       100000 + 2000 * ({_LOCUS} % 4) + (l_suppkey * 37) % 400 AS ref_start,
+       100000 + 2000 * ({_LOCUS} % 4) + (l_suppkey * 37) % 400 + 150 + CAST(l_quantity AS BIGINT) * 40 AS ref_end,
+       CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS strand, CAST(40 + l_suppkey % 21 AS INT) AS mapq, 150 + CAST(l_quantity AS BIGINT) * 40 AS mapping_span
+FROM {{lineitem}}""",
     "genome": f"""
 SELECT {_chrom('p_partkey % 25')} AS chrom, 110000 + 2000 * max({_PLOCUS}) AS length
 FROM {{part}} GROUP BY 1""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 
@@ -50,6 +51,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/strandline-{label}-{uuid.uuid4().hex}"
 
 
+def keep(df):
+    """Cached for reuse in one plan; lost blocks are recomputed from the lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def cut_lineage(df):
     """Reliable checkpoint in the shared folder: survives the loss of executors."""
     shared_dir(df.sparkSession)
