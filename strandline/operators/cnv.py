@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.chroms import is_autosome
 from strandline.operators.intervals import interval_join
+from strandline.session import keep
 
 TRACK = ["sample_id", "chrom"]
 
@@ -33,7 +34,8 @@ MAX_BIN_WIDTH = 10_000_000
 def cnv_bin_counts(starts: DataFrame, width: int = 1_000_000, ploidy: float = 2.0, min_mapq: int = 60) -> DataFrame:
     """Starts per bin over the mean autosomal count; empty bins are 0."""
     counts = starts.filter((F.col("mapq") >= min_mapq) & (F.col("chrom") != "chrM")).groupBy(*TRACK, F.expr(f"ref_start div {width}").alias("bin_idx")).agg(F.count(F.lit(1)).alias("n"))
-    return scale_bins(counts, ploidy)
+    # the reads are counted once; what is kept are the bins
+    return scale_bins(keep(counts), ploidy)
 
 
 def scale_bins(counts: DataFrame, ploidy: float = 2.0) -> DataFrame:
@@ -65,7 +67,7 @@ def normalise_cnv(track: DataFrame, reference: DataFrame, n: int = 3) -> DataFra
     mine = moving_average(track.filter("chrom <> 'chrM'"), n).join(ref_chroms, "chrom", "left_semi")
     wanted = mine.select(*TRACK).distinct().join(ref, "chrom")
     joined = mine.join(wanted, [*TRACK, "bin_idx"], "full")
-    return joined.select(*TRACK, "bin_idx", (F.coalesce("value", F.lit(0.0)) - F.coalesce("_ref", F.lit(0.0))).alias("value"))
+    return keep(joined.select(*TRACK, "bin_idx", (F.coalesce("value", F.lit(0.0)) - F.coalesce("_ref", F.lit(0.0))).alias("value")))
 
 
 def significant_regions(track: DataFrame, threshold: float = 0.5, width: int = 1_000_000) -> DataFrame:
@@ -311,19 +313,17 @@ def _best_splits(signal: np.ndarray, penalty: float, min_size: int = 2) -> list[
     cost[0] = -penalty
     back = np.zeros(n + 1, dtype=int)
     starts = np.array([0])
+    beaten: dict[int, np.ndarray] = {}
     for end in range(min_size, n + 1):
-        length = end - starts
-        usable = starts[length >= min_size]
-        width = end - usable
-        total = s1[end] - s1[usable]
-        error = s2[end] - s2[usable] - total**2 / width
-        value = cost[usable] + error + penalty
+        # a start beaten at an earlier end can be dropped once a new segment fits in between
+        starts = np.setdiff1d(starts, beaten.pop(end - min_size, np.array([], dtype=int)))
+        width = end - starts
+        total = s1[end] - s1[starts]
+        value = cost[starts] + s2[end] - s2[starts] - total**2 / width + penalty
         best = int(np.argmin(value))
-        cost[end], back[end] = value[best], usable[best]
-        # a start that is already worse than the best end can never win later
-        keep_old = usable[value - penalty <= cost[end]]
-        starts = np.concatenate([keep_old, starts[length < min_size], [end - min_size + 1]]) if end - min_size + 1 > 0 else np.concatenate([keep_old, starts[length < min_size]])
-        starts = np.unique(starts)
+        cost[end], back[end] = value[best], starts[best]
+        beaten[end] = starts[value - penalty > cost[end]]
+        starts = np.append(starts, end - min_size + 1)
     ends, at = [], n
     while at > 0:
         ends.append(at)
