@@ -215,7 +215,7 @@ def cytoband_states(track: DataFrame, bands: DataFrame, centromeres: DataFrame,
                               .alias("bin_idx"))
     masked = track.join(mask, ["chrom", "bin_idx"], "left_anti")
     stats = masked.groupBy(*TRACK).agg(F.avg("value").alias("chr_mean"), F.stddev_pop("value").alias("chr_std"))
-    stats = stats.join(sex.select("sample_id", "sex"), "sample_id")
+    stats = keep(stats.join(sex.select("sample_id", "sex"), "sample_id"))
     if mode == "data":
         level = stats.filter(is_autosome(F.col("chrom"))).groupBy("sample_id").agg(F.avg("chr_mean").alias("_m"), F.stddev_pop("chr_mean").alias("_s"))
         k = F.when((F.col("chrom") == "chrY") & ~F.col("sex").isin("Male", "XY"), 1.2).otherwise(1.0)

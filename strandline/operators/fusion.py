@@ -315,17 +315,22 @@ def cluster_canonical(primary: DataFrame, supplementary: DataFrame, bin_size: in
     Endpoints are binned and made distinct per read before they are paired, so
     repeated alignments of a read do not multiply.
     """
+    pairs = cluster_reads(primary, supplementary, bin_size)
+    key = [c for c in pairs.columns if c != "read_id"]
+    out = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("reads")).filter(F.col("reads") >= min_support)
+    return out.withColumns({"p_end": F.col("p_start") + bin_size, "s_end": F.col("s_start") + bin_size})
+
+
+def cluster_reads(primary: DataFrame, supplementary: DataFrame, bin_size: int = 500) -> DataFrame:
+    """Distinct ordered endpoint bins of each read."""
     def side(df, name):
         mid = F.expr("(ref_start + ref_end) div 2")
         spot = F.struct("chrom", (mid - mid % bin_size).alias("pos"), "strand")
         return df.select(*READ, spot.alias(name)).distinct()
 
     pairs = side(primary, "x").join(side(supplementary, "y"), READ).select(*READ, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    out = pairs.groupBy("sample_id", "a", "b").agg(F.count(F.lit(1)).alias("reads")).filter(F.col("reads") >= min_support)
-    return out.select(
-        "sample_id", F.col("a.chrom").alias("p_chrom"), F.col("a.pos").alias("p_start"), (F.col("a.pos") + bin_size).alias("p_end"), F.col("a.strand").alias("p_strand"),
-        F.col("b.chrom").alias("s_chrom"), F.col("b.pos").alias("s_start"), (F.col("b.pos") + bin_size).alias("s_end"), F.col("b.strand").alias("s_strand"), "reads",
-    )
+    names = [F.col(f"{e}.{c}").alias(f"{p}_{n}") for e, p in (("a", "p"), ("b", "s")) for c, n in (("chrom", "chrom"), ("pos", "start"), ("strand", "strand"))]
+    return pairs.select(*READ, *names)
 
 
 def dbscan_labels(points: DataFrame, keys: Sequence[str], eps2: int, min_points: int) -> DataFrame:

@@ -9,6 +9,7 @@ from strandline.plans import (
     qc_queries,
     score_queries,
     source_queries,
+    stream_queries,
     variant_queries,
 )
 from strandline.plans.registry import ORACLE, QUERIES

@@ -93,7 +93,8 @@ STATS = """stats AS (SELECT sample_id, chrom, avg(value) AS mean, stddev_pop(val
 )
 def chrom_stats(v):
     name = F.when(F.col("sex") == "Male", "XY").when(F.col("sex") == "Female", "XX").otherwise(F.col("sex"))
-    return cnv.chrom_stats(norm_track(v), sexes(v).select("sample_id", name.alias("sex")))
+    track = norm_track(v)
+    return cnv.chrom_stats(track, cnv.estimate_sex(track).select("sample_id", name.alias("sex")))
 
 
 @query("AGG39_estimate_sex", f"WITH {NORM}, {SEX} SELECT * FROM sexes")
@@ -108,11 +109,13 @@ def bins_to_bands(v):
 
 @query("AGG40_arm_stats", f"WITH {ARMS} SELECT sample_id, chrom, arm, mean, share, start_pos, end_pos FROM arms")
 def arm_stats(v):
-    return cnv.arm_stats(norm_track(v), v.cytobands, sexes(v)).select("sample_id", "chrom", "arm", "mean", "share", "start_pos", "end_pos")
+    track = norm_track(v)
+    return cnv.arm_stats(track, v.cytobands, cnv.estimate_sex(track)).select("sample_id", "chrom", "arm", "mean", "share", "start_pos", "end_pos")
 
 
 def events(v):
-    return cnv.cnv_events(norm_track(v), v.cytobands, sexes(v))
+    track = norm_track(v)
+    return cnv.cnv_events(track, v.cytobands, cnv.estimate_sex(track))
 
 
 HITS = "EXISTS (SELECT 1 FROM cnv_genes g WHERE g.chrom = e.chrom AND g.start_pos <= e.end_pos AND g.end_pos >= e.start_pos)"
@@ -161,7 +164,8 @@ def _states(mode: str) -> str:
 
 def states(v, mode):
     cent = v.cytobands.filter("stain = 'acen'").groupBy("chrom").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))
-    return cnv.cytoband_states(norm_track(v), v.cytobands, cent, sexes(v), mode=mode)
+    track = norm_track(v)
+    return cnv.cytoband_states(track, v.cytobands, cent, cnv.estimate_sex(track), mode=mode)
 
 
 @query("AGG43_cytoband_states_data", f"WITH {_states('data')} SELECT * FROM states")

@@ -196,3 +196,17 @@ def sa_entries(v):
 def cigar_blocks(v):
     rows = aligned_blocks(v.alignments.select("sample_id", "read_id", "ref_start", "cigar"))
     return rows.select("sample_id", "read_id", "block_start", "block_end", "read_offset")
+
+
+CHECK_LINES = """check_lines AS (SELECT target_id, CASE WHEN strand = '+' THEN concat(chrom, chr(9), CAST(start_pos AS STRING), chr(9), CAST(end_pos AS STRING), chr(9), name, chr(9), '0', chr(9), '+')
+  WHEN region_type = 'target' THEN concat(replace(chrom, 'chr', ''), chr(9), CAST(end_pos AS STRING), chr(9), CAST(start_pos AS STRING)) WHEN strand = '-' THEN concat(chrom, chr(9), 'x', chr(9), CAST(end_pos AS STRING), chr(9), name)
+  ELSE concat(chrom, chr(9), CAST(start_pos AS STRING), chr(9), CAST(end_pos AS STRING), chr(9), name, chr(9), 'low', chr(9), '?') END AS value FROM regions)"""
+
+
+@query(
+    "FLT13_validate_bed",
+    """SELECT target_id, CASE WHEN region_type = 'target' THEN 'chromosome without chr; start not below end; missing gene' WHEN strand = '-' THEN 'position is no integer' ELSE 'bad score; bad strand' END AS errors
+       FROM regions WHERE strand <> '+'""",
+)
+def validate_bed(v):
+    return src.validate_bed(v.sql(f"WITH {CHECK_LINES} SELECT * FROM check_lines"), limit=None).drop("value")

@@ -269,3 +269,28 @@ def clean_job_durations(log: DataFrame) -> DataFrame:
 
 def read_job_durations(spark, path):
     return clean_job_durations(spark.read.csv(path, header=True))
+
+
+def validate_bed(lines: DataFrame, limit: int | None = 10) -> DataFrame:
+    """Errors of each line of a region file; ``limit`` lines are reported (None for all).
+
+    Lines come in text order of their number where a ``line`` column exists.
+    """
+    start, end = _field(2).try_cast("bigint"), _field(3).try_cast("bigint")
+    n = F.size(F.split("value", TAB))
+    few = n < 3
+    checks = [
+        (few, "fewer than 3 fields"),
+        (~few & ~_field(1).startswith("chr"), "chromosome without chr"),
+        (~few & (start.isNull() | end.isNull()), "position is no integer"),
+        ((start < 0) | (end < 0), "negative position"),
+        (start >= end, "start not below end"),
+        (~few & ((n < 4) | (F.trim(_field(4)) == "")), "missing gene"),
+        ((n >= 5) & (_field(5) != ".") & _field(5).try_cast("double").isNull(), "bad score"),
+        ((n >= 6) & ~_field(6).isin("+", "-", "."), "bad strand"),
+    ]
+    errors = F.array_compact(F.array(*[F.when(cond, message) for cond, message in checks]))
+    rows = lines.filter((F.trim("value") != "") & ~F.col("value").startswith("#")).select(*_others(lines), "value", F.array_join(errors, "; ").alias("errors")).filter("errors <> ''")
+    if limit is None:
+        return rows
+    return rows.orderBy(*(["line"] if "line" in rows.columns else ["value"])).limit(limit)
