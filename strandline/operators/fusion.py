@@ -60,28 +60,30 @@ def overlap_artifacts(candidates: DataFrame, distance: int = SIMILARITY) -> Data
     """
     key = [*READ, "chrom"]
     side = distance + 1
-    rows = candidates.select(*key, "ref_start", "ref_end", "gene", "gene_start", "gene_end").distinct()
+    row = F.struct("ref_start", "ref_end", "gene", "gene_start", "gene_end")
     cells = (
-        rows.withColumns({"i": F.floor(F.col("ref_start") / side), "j": F.floor(F.col("ref_end") / side)})
+        candidates.withColumns({"i": F.floor(F.col("ref_start") / side), "j": F.floor(F.col("ref_end") / side)})
         .groupBy(*key, "i", "j")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("ref_start").alias("s"), F.min("ref_end").alias("e"))
+        .agg(F.min(row).alias("a"), F.max(row).alias("z"))
+        .select(*key, "i", "j", (F.col("a") != F.col("z")).alias("many"), F.col("a.ref_start").alias("s"), F.col("a.ref_end").alias("e"))
     )
     # every cell goes to itself and to its later neighbours; a cell is one row by now,
-    # so a target gathers at most one resident and four visitors
-    steps = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    moved = cells.withColumn("d", F.explode(steps)).select(
-        *key, (F.col("i") + F.col("d.di")).alias("i"), (F.col("j") + F.col("d.dj")).alias("j"), "n", "s", "e", ((F.col("d.di") == 0) & (F.col("d.dj") == 0)).alias("home")
-    )
-    met = moved.groupBy(*key, "i", "j").agg(
-        F.max(F.when(F.col("home"), F.col("n"))).alias("n"), F.max(F.when(F.col("home"), F.col("s"))).alias("s"), F.max(F.when(F.col("home"), F.col("e"))).alias("e"),
-        F.collect_list(F.when(~F.col("home"), F.struct("s", "e"))).alias("visitors"),
-    )
-    close = F.exists("visitors", lambda x: (F.abs(x["s"] - F.col("s")) <= distance) & (F.abs(x["e"] - F.col("e")) <= distance))
-    return met.filter((F.col("n") > 1) | (F.col("n").isNotNull() & close)).select(*READ).distinct()
+    # so a target meets at most one resident and four visitors
+    offsets = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("di"), F.lit(b).alias("dj")) for k, (a, b) in enumerate(offsets)])
+    moved = cells.withColumn("d", F.explode(steps)).select(*key, (F.col("i") + F.col("d.di")).alias("i"), (F.col("j") + F.col("d.dj")).alias("j"), "many", "s", "e", F.col("d.k").alias("k"))
+
+    def at(k, what):
+        return F.max(F.when(F.col("k") == k, F.col(what)))
+
+    met = moved.groupBy(*key, "i", "j").agg(at(0, "many").alias("many"), *[at(k, c).alias(f"{c}{k}") for k in range(5) for c in ("s", "e")])
+    close = F.lit(False)
+    for k in range(1, 5):
+        close = close | F.coalesce((F.abs(F.col(f"s{k}") - F.col("s0")) <= distance) & (F.abs(F.col(f"e{k}") - F.col("e0")) <= distance), F.lit(False))
+    return met.filter(F.col("many") | close).select(*READ).distinct()
 
 
 def without_artifacts(candidates: DataFrame) -> DataFrame:
-    candidates = keep(candidates)
     return candidates.join(overlap_artifacts(candidates), READ, "left_anti")
 
 
@@ -226,12 +228,6 @@ def _seed_clusters(positions: DataFrame, keys: Sequence[str], distance: int) ->
     most one row per base of a gene, however many reads there are.
     """
     starts = positions.groupBy(*keys, "start").agg(F.min("end").alias("first_end"), F.max("end").alias("last_end"))
-    # most groups are one cluster: the first seed reaches the last start
-    span = starts.groupBy(*keys).agg(
-        F.min(F.struct("start", "first_end")).alias("seed"), F.max("start").alias("_last"), F.max("last_end").alias("c_end")
-    ).withColumn("_one", F.col("_last") <= F.col("seed.first_end") + distance)
-    single = span.filter("_one").select(*keys, F.lit(0).cast("bigint").alias("cluster"), F.col("seed.start").alias("c_start"), "c_end")
-    starts = starts.join(span.filter("NOT _one").select(*keys), list(keys), "left_semi")
     runs = starts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "first_end", "last_end"))).alias("s"))
     none = F.expr("cast(null as bigint)")
     empty = F.struct(
@@ -249,8 +245,7 @@ def _seed_clusters(positions: DataFrame, keys: Sequence[str], distance: int) ->
         )
 
     folded = F.aggregate("s", empty, step, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["c_start"].alias("c_start"), acc["c_end"].alias("c_end")))))
-    chained = runs.select(*keys, F.posexplode(folded).alias("cluster", "c")).select(*keys, F.col("cluster").cast("bigint").alias("cluster"), "c.*")
-    return single.unionByName(chained)
+    return runs.select(*keys, F.posexplode(folded).alias("cluster", "c")).select(*keys, F.col("cluster").cast("bigint").alias("cluster"), "c.*")
 
 
 def validated_fusions(pairs: DataFrame, distance: int = 100, min_support: int = VALIDATED_SUPPORT) -> DataFrame:
