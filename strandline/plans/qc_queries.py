@@ -164,3 +164,16 @@ def sample_table_filter(v):
 @query("SRT7_files_by_time", f"WITH {QC} SELECT sample_id, file, CAST(last_start AS VARCHAR) AS last_start FROM qc ORDER BY last_start, file")
 def files_by_time(v):
     return qc.files_by_time(qc.file_qc(v.alignments)).withColumn("last_start", F.col("last_start").cast("string"))
+
+
+@query(
+    "WIN16_rolling_median",
+    """WITH d AS (SELECT *, row_number() OVER (PARTITION BY job_type ORDER BY ts, job_id) - 1 AS i, count(*) OVER (PARTITION BY job_type) AS n FROM job_events WHERE status = 'completed'),
+         m AS (SELECT a.job_id, count(*) AS c, median(b.duration_seconds) AS md FROM d a JOIN d b ON a.job_type = b.job_type AND b.i <= a.i AND b.i > a.i - greatest(10, a.n // 20) GROUP BY 1)
+       SELECT d.sample_id, d.job_id, d.job_type, d.duration_seconds, CASE WHEN c >= 5 THEN md END AS rolling_median FROM d JOIN m USING (job_id) WHERE n >= 10""",
+)
+def rolling_median(v):
+    from strandline.operators.rolling import rolling_median as rolling
+
+    log = v.job_events.filter("status = 'completed'")
+    return rolling(log).select("sample_id", "job_id", "job_type", "duration_seconds", "rolling_median")

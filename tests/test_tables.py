@@ -158,3 +158,22 @@ def test_bed_errors(spark):
     lines = [(1, "chr1\t1"), (2, "1\t5\t2\tG"), (3, "chr1\t1\t5\tG\t0\t+"), (4, "chr1\t-1\t5\tG")]
     got = src.validate_bed(spark.createDataFrame(lines, "line long, value string"))
     assert rows(got, "line", "errors") == [(1, "fewer than 3 fields"), (2, "chromosome without chr; start not below end"), (4, "negative position")]
+
+
+def test_rolling_median_equals_pandas(spark, monkeypatch):
+    import pandas as pd
+
+    from strandline.operators import rolling
+
+    monkeypatch.setattr(rolling, "TILE", 16)
+    rnd = random.Random(8)
+    data = [("a", i, round(rnd.random() * 30, 1)) for i in range(300)] + [("b", i, float(i % 3)) for i in range(12)] + [("c", 1, 1.0)]
+    pdf = pd.DataFrame(data, columns=["job_type", "job_id", "duration_seconds"])
+    want = {}
+    for k, g in pdf.groupby("job_type"):
+        if len(g) >= 10:
+            med = g["duration_seconds"].rolling(max(10, len(g) // 20), min_periods=5).median()
+            want.update({(k, j): None if np.isnan(m) else m for j, m in zip(g["job_id"], med)})
+    df = spark.createDataFrame(data, "job_type string, job_id long, duration_seconds double")
+    got = rolling.rolling_median(df, order=["job_id"], time_tile=F.expr("job_id div 50"))
+    assert {(r["job_type"], r["job_id"]): r["rolling_median"] for r in got.collect()} == pytest.approx(want)
