@@ -300,8 +300,9 @@ def downsample_mean(track: DataFrame, group: int, width: int = 1_000_000) -> Dat
 
 
 def random_sample(rows: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """``n`` rows in hash order: the same rows for the same seed on any cluster."""
-    return rows.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    """``n`` rows in digest order: the same rows for the same seed on any cluster."""
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed))))
+    return rows.orderBy(digest, *key).limit(n)
 
 
 def _best_splits(signal: np.ndarray, penalty: float, min_size: int = 2) -> list[int]:

@@ -468,9 +468,11 @@ def master_bed_events(primary: DataFrame, supplementary: DataFrame, distance: in
 def cluster_regions(rows: DataFrame, distance: int = 200) -> DataFrame:
     """Greedy merge of regions per chromosome with a growing cluster span.
 
-    ``rows`` holds one line per region and read. A region can only join a cluster
-    that starts within ``distance`` of everything before it, so the order-bound
-    scan runs per connected stretch of distinct regions, not per chromosome.
+    ``rows`` holds one line per region and read; regions are events on bins or
+    clusters, so a chromosome has at most as many distinct ones as bins. A region
+    can only join a cluster that starts within ``distance`` of everything before
+    it, so the order-bound scan runs per connected stretch of distinct regions,
+    and a stretch of one region needs no scan.
     """
     keys = ["sample_id", "chrom"]
     spots = rows.select(*keys, "start_pos", "end_pos").distinct()
@@ -497,12 +499,16 @@ def cluster_regions(rows: DataFrame, distance: int = 200) -> DataFrame:
         pdf["cluster"] = [f"{start[o]}-{end[o]}" for o in owner]
         return pdf[[*keys, "start_pos", "end_pos", "cluster"]]
 
-    owners = inside.groupBy(*keys, "stretch").applyInPandas(scan, "sample_id string, chrom string, start_pos long, end_pos long, cluster string")
+    alone = F.col("_many") == 1
+    inside = keep(inside.join(inside.groupBy(*keys, "stretch").agg(F.count(F.lit(1)).alias("_many")), [*keys, "stretch"]))
+    single = inside.filter(alone).select(*keys, "start_pos", "end_pos", F.concat_ws("-", "start_pos", "end_pos").alias("cluster"))
+    scanned = inside.filter(~alone).drop("_many").groupBy(*keys, "stretch").applyInPandas(scan, "sample_id string, chrom string, start_pos long, end_pos long, cluster string")
+    owners = single.unionByName(scanned)
     hit = rows.join(owners, [*keys, "start_pos", "end_pos"])
     group = [*keys, "cluster"]
     per_region = hit.groupBy(*group, "start_pos", "end_pos").agg(F.avg("mapq").alias("q"), F.avg("mapping_span").alias("s"))
     stats = per_region.groupBy(*group).agg(
-        F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.round(F.avg("q"), 1).alias("avg_mapq"), F.round(F.avg("s"), 0).alias("avg_span")
+        F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.round(F.round(F.avg("q"), 6), 1).alias("avg_mapq"), F.round(F.round(F.avg("s"), 6), 0).alias("avg_span")
     )
     reads = hit.select(*group, "read_id").distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("reads"))
     return stats.join(reads, group)

@@ -219,9 +219,14 @@ def downsample_mean(v):
     return cnv.downsample_mean(raw_track(v), 4)
 
 
-@query("SRT6_random_sample")
+@query(
+    "SRT6_random_sample",
+    """SELECT sample_id, read_id, chrom, ref_start, ref_end FROM alignments
+       ORDER BY md5(concat_ws('|', sample_id, read_id, chrom, CAST(ref_start AS VARCHAR), CAST(ref_end AS VARCHAR), '42')), 1, 2, 3, 4, 5 LIMIT 20000""",
+)
 def random_sample(v):
-    return cnv.random_sample(v.alignments.select("sample_id", "read_id", "chrom", "ref_start", "ref_end"), 20_000, ["sample_id", "read_id", "chrom", "ref_start", "ref_end"])
+    key = ["sample_id", "read_id", "chrom", "ref_start", "ref_end"]
+    return cnv.random_sample(v.alignments.select(*key), 20_000, key)
 
 
 @query("SEG1_change_points")

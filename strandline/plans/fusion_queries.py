@@ -255,20 +255,58 @@ def cluster_canonical(v):
     return fu.cluster_canonical(*places(v))
 
 
-@query("AGG29_cluster_dbscan")
+K = "sample_id = {b}.sample_id AND {a}.p_chrom = {b}.p_chrom AND {a}.s_chrom = {b}.s_chrom"
+DENSE = f"""WITH RECURSIVE {PLACES.replace('supp AS', 'supp_all AS').replace('bp AS', 'supp AS (SELECT * FROM supp_all {where}), bp AS')},
+  pts AS (SELECT sample_id, p_chrom, s_chrom, p_start + p_end AS x, s_start + s_end AS y, sum(n) AS w FROM bp GROUP BY ALL),
+  near AS (SELECT a.sample_id, a.p_chrom, a.s_chrom, a.x, a.y, b.x AS x2, b.y AS y2, b.w FROM pts a JOIN pts b ON a.{K.format(a='a', b='b')} AND abs(a.x - b.x) + abs(a.y - b.y) <= 15000),
+  core AS (SELECT sample_id, p_chrom, s_chrom, x, y FROM near GROUP BY ALL HAVING sum(w) >= 3),
+  link AS (SELECT n.* FROM near n JOIN core c ON n.{K.format(a='n', b='c')} AND n.x2 = c.x AND n.y2 = c.y),
+  clink AS (SELECT l.* FROM link l JOIN core c ON l.{K.format(a='l', b='c')} AND l.x = c.x AND l.y = c.y),
+  reach(sample_id, p_chrom, s_chrom, x, y, x2, y2) AS (SELECT sample_id, p_chrom, s_chrom, x, y, x, y FROM core
+    UNION SELECT r.sample_id, r.p_chrom, r.s_chrom, r.x, r.y, l.x2, l.y2 FROM reach r JOIN clink l ON r.{K.format(a='r', b='l')} AND r.x2 = l.x AND r.y2 = l.y),
+  lab AS (SELECT sample_id, p_chrom, s_chrom, x, y, min(struct_pack(x := x2, y := y2)) AS label FROM reach GROUP BY 1, 2, 3, 4, 5),
+  edge AS (SELECT l.sample_id, l.p_chrom, l.s_chrom, l.x, l.y, min(b.label) AS label FROM link l JOIN lab b ON l.{K.format(a='l', b='b')} AND l.x2 = b.x AND l.y2 = b.y
+    WHERE NOT EXISTS (SELECT 1 FROM core c WHERE l.{K.format(a='l', b='c')} AND l.x = c.x AND l.y = c.y) GROUP BY 1, 2, 3, 4, 5),
+  labels AS (SELECT * FROM lab UNION ALL SELECT * FROM edge),
+  dense AS (SELECT b.sample_id, b.p_chrom, b.s_chrom, min(p_start) AS p_start, max(p_end) AS p_end, min(s_start) AS s_start, max(s_end) AS s_end,
+    sum(p_mapq * n) / sum(n) AS p_mapq_mean, sum(p_span * n) / sum(n) AS p_span_mean, sum(s_mapq * n) / sum(n) AS s_mapq_mean, sum(s_span * n) / sum(n) AS s_span_mean, count(DISTINCT read_id) AS reads
+    FROM bp b JOIN labels l ON b.{K.format(a='b', b='l')} AND b.p_start + b.p_end = l.x AND b.s_start + b.s_end = l.y GROUP BY b.sample_id, b.p_chrom, b.s_chrom, label HAVING count(DISTINCT read_id) >= 3)"""
+
+
+@query("AGG29_cluster_dbscan", DENSE.replace("{where}", "") + " SELECT * FROM dense")
 def cluster_dbscan(v):
     return fu.cluster_dbscan(fu.breakpoint_pairs(*places(v)))
 
 
-@query("AGG31_master_bed_events")
+@query(
+    "AGG31_master_bed_events",
+    DENSE.replace("{where}", "WHERE mapq >= 50")
+    + """, ev AS (SELECT sample_id, p_chrom AS chrom, p_start AS start_pos, p_end AS end_pos, 'breakpoint_pair_primary' AS event_type, reads AS read_count, round_even(p_mapq_mean, 1) AS avg_mapq, round_even(p_span_mean, 0) AS avg_span FROM dense
+      UNION ALL SELECT sample_id, s_chrom, s_start, s_end, 'breakpoint_pair_supplementary', reads, round_even(s_mapq_mean, 1), round_even(s_span_mean, 0) FROM dense),
+      num AS (SELECT *, row_number() OVER (ORDER BY sample_id, chrom, event_type, start_pos, end_pos, read_count, avg_mapq, avg_span) AS rn FROM ev WHERE start_pos > 0 AND end_pos > start_pos),
+      fl AS (SELECT *, CASE WHEN start_pos <= max(end_pos) OVER (PARTITION BY sample_id, chrom, event_type ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 5000 THEN 0 ELSE 1 END AS f FROM num),
+      isl AS (SELECT *, sum(f) OVER (PARTITION BY sample_id, chrom, event_type ORDER BY rn ROWS UNBOUNDED PRECEDING) AS g FROM fl)
+      SELECT sample_id, chrom, event_type, min(start_pos) AS start_pos, max(end_pos) AS end_pos, max(read_count) AS read_count, max(avg_mapq) AS avg_mapq, max(avg_span) AS avg_span FROM isl GROUP BY sample_id, chrom, event_type, g""",
+)
 def master_bed_events(v):
     return fu.master_bed_events(*places(v))
 
 
-@query("AGG34_cluster_regions")
+@query(
+    "AGG34_cluster_regions",
+    f"""WITH {PLACES}, rows_in AS (SELECT sample_id, read_id, chrom, (ref_start + ref_end) // 2 // 500 * 500 AS b, mapq, mapping_span FROM prim UNION ALL SELECT sample_id, read_id, chrom, (ref_start + ref_end) // 2 // 500 * 500, mapq, ref_end - ref_start FROM supp),
+        bins AS (SELECT sample_id, chrom, b, avg(mapq) AS q, avg(mapping_span) AS s FROM rows_in GROUP BY 1, 2, 3),
+        runs AS (SELECT *, b - 500 * row_number() OVER (PARTITION BY sample_id, chrom ORDER BY b) AS g FROM bins)
+        SELECT r.sample_id, r.chrom, concat(CAST(min(r.b) AS VARCHAR), '-', CAST(min(r.b) + 500 AS VARCHAR)) AS cluster, min(r.b) AS start_pos, max(r.b) + 500 AS end_pos, any_value(n.reads) AS reads, round(round(avg(q), 6), 1) AS avg_mapq, round(round(avg(s), 6), 0) AS avg_span
+        FROM runs r JOIN (SELECT x.sample_id, x.chrom, g, count(DISTINCT read_id) AS reads FROM rows_in x JOIN runs USING (sample_id, chrom, b) GROUP BY 1, 2, 3) n ON n.sample_id = r.sample_id AND n.chrom = r.chrom AND n.g = r.g
+        GROUP BY r.sample_id, r.chrom, r.g""",
+)
 def cluster_regions(v):
-    rows = fu.fusion_gate(v.alignments).filter("is_supplementary")
-    return fu.cluster_regions(rows.select("sample_id", "read_id", "chrom", F.col("ref_start").alias("start_pos"), F.col("ref_end").alias("end_pos"), "mapq", "mapping_span"))
+    """Bins of 500 bases around the midpoints of all places; touching bins become one region."""
+    primary, extra = places(v)
+    mid = F.expr("(ref_start + ref_end) div 2")
+    rows = primary.unionByName(extra).withColumn("start_pos", mid - mid % 500)
+    return fu.cluster_regions(rows.select("sample_id", "read_id", "chrom", "start_pos", (F.col("start_pos") + 500).alias("end_pos"), "mapq", "mapping_span"))
 
 
 @query("SNK4_append_candidates", f"WITH {CAND} SELECT candidate_type, sample_id, count(*) AS rows FROM cand GROUP BY 1, 2")
