@@ -5,15 +5,15 @@ from pyspark.sql import functions as F
 
 
 def depth_tier(depth: Column) -> Column:
-    return F.when(depth >= 30, "high").when(depth >= 20, "adequate").otherwise("low")
+    return F.when(depth >= 30, "high").when(depth >= 20, "medium").otherwise("low")
 
 
 def methylation_tier(percent: Column) -> Column:
-    return F.when(percent > 10, "methylated").when(percent > 5, "borderline").otherwise("unmethylated")
+    return F.when(percent > 10, "high").when(percent > 5, "medium").otherwise("low")
 
 
 def mgmt_status(prediction: Column) -> Column:
-    return F.when(prediction > 0.1, "methylated").otherwise("unmethylated")
+    return F.when(prediction > 0.1, "Methylated").otherwise("Unmethylated")
 
 
 def coordinates_similar(s1: Column, e1: Column, s2: Column, e2: Column, distance: int = 50) -> Column:

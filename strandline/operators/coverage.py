@@ -101,7 +101,7 @@ def coverage_over_time(batches: DataFrame, keys: Sequence[str] = TARGET) -> Data
     return out.withColumns({"length": length, "coverage": F.col("bases") / length, "reads_per_length": F.col("reads") / length})
 
 
-def quality_level(value, levels=((30, "excellent"), (20, "good"), (10, "moderate")), other="insufficient"):
+def quality_level(value, levels=((30, "Excellent"), (20, "Good"), (10, "Moderate")), other="Insufficient"):
     out = None
     for bound, name in levels:
         out = F.when(value >= bound, name) if out is None else out.when(value >= bound, name)

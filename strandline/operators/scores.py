@@ -7,15 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: fixed values: high, medium and low confidence in percent per classifier kind
-CONFIDENCE = {"neural": (80.0, 50.0, 25.0), "random_forest": (85.0, 65.0, 40.0)}
-DEFAULT_CONFIDENCE = (75.0, 50.0, 25.0)
+#: fixed values: lowest percent of high, medium and low confidence per classifier
+CONFIDENCE = {
+    "sturgeon": (95.0, 80.0, 0.0),
+    "nanodx": (50.0, 25.0, 0.0),
+    "pannanodx": (50.0, 25.0, 0.0),
+    "random_forest": (85.0, 65.0, 0.0),
+}
+DEFAULT_CONFIDENCE = (80.0, 50.0, 20.0)
 
 
 def confidence_level(score: Column, classifier: Column) -> Column:
-    """high, medium, low or none by the thresholds of the classifier."""
+    """high, medium, low or very low by the thresholds of the classifier."""
     def level(bounds):
-        return F.when(score >= bounds[0], "high").when(score >= bounds[1], "medium").when(score >= bounds[2], "low").otherwise("none")
+        return F.when(score >= bounds[0], "high").when(score >= bounds[1], "medium").when(score >= bounds[2], "low").otherwise("very low")
 
     out = None
     for name, bounds in CONFIDENCE.items():

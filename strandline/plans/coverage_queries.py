@@ -151,7 +151,7 @@ SUMMARY = """g AS (SELECT sample_id, sum(covbases) / sum(end_pos) AS global_cove
     "AGG15_coverage_summary",
     f"""WITH {SWEEP}, g AS (SELECT sample_id, sum(covbases) / sum(end_pos) AS global_coverage FROM genome_cov GROUP BY 1), t AS (SELECT sample_id, sum(bases) / sum(length) AS tc FROM target_coverage GROUP BY 1)
         SELECT sample_id, global_coverage, tc AS target_coverage, CASE WHEN global_coverage > 0 THEN tc / global_coverage ELSE 0 END AS enrichment,
-        CASE WHEN tc >= 30 THEN 'excellent' WHEN tc >= 20 THEN 'good' WHEN tc >= 10 THEN 'moderate' ELSE 'insufficient' END AS quality FROM g JOIN t USING (sample_id)""",
+        CASE WHEN tc >= 30 THEN 'Excellent' WHEN tc >= 20 THEN 'Good' WHEN tc >= 10 THEN 'Moderate' ELSE 'Insufficient' END AS quality FROM g JOIN t USING (sample_id)""",
 )
 def coverage_summary(v):
     return cv.coverage_summary(cv.genome_coverage(v.alignments, v.genome), v.target_coverage)

@@ -12,8 +12,8 @@ RANKED = "row_number() OVER (PARTITION BY sample_id, classifier ORDER BY {v} DES
     "AGG45_classifier_top",
     f"""WITH l AS (SELECT s.* FROM class_scores s JOIN (SELECT sample_id, classifier, max(batch_id) AS batch_id FROM class_scores GROUP BY 1, 2) m USING (sample_id, classifier, batch_id)),
         t AS (SELECT *, {RANKED.format(v='score')}, round(score * 100.0, 4) AS confidence FROM l)
-        SELECT sample_id, classifier, batch_id, class_name, rank, confidence, CASE classifier WHEN 'neural' THEN CASE WHEN confidence >= 80 THEN 'high' WHEN confidence >= 50 THEN 'medium' WHEN confidence >= 25 THEN 'low' ELSE 'none' END
-        ELSE CASE WHEN confidence >= 85 THEN 'high' WHEN confidence >= 65 THEN 'medium' WHEN confidence >= 40 THEN 'low' ELSE 'none' END END AS level FROM t WHERE rank <= 3""",
+        SELECT sample_id, classifier, batch_id, class_name, rank, confidence, CASE classifier WHEN 'sturgeon' THEN CASE WHEN confidence >= 95 THEN 'high' WHEN confidence >= 80 THEN 'medium' WHEN confidence >= 0 THEN 'low' ELSE 'very low' END
+        ELSE CASE WHEN confidence >= 85 THEN 'high' WHEN confidence >= 65 THEN 'medium' WHEN confidence >= 0 THEN 'low' ELSE 'very low' END END AS level FROM t WHERE rank <= 3""",
 )
 def classifier_top(v):
     return sc.classifier_top(v.class_scores, 3)

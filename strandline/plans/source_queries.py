@@ -147,11 +147,11 @@ def reference_tables(v):
 
 @query(
     "SRC12_read_scores",
-    "SELECT sample_id, batch_id AS ts, class_name, round(max(score) * 100, 2) AS score FROM class_scores WHERE classifier = 'neural' GROUP BY 1, 2, 3",
+    "SELECT sample_id, batch_id AS ts, class_name, round(max(score) * 100, 2) AS score FROM class_scores WHERE classifier = 'sturgeon' GROUP BY 1, 2, 3",
 )
 def read_scores(v):
     wide = (
-        v.class_scores.filter("classifier = 'neural'")
+        v.class_scores.filter("classifier = 'sturgeon'")
         .groupBy("sample_id", F.col("batch_id").alias("ts"))
         .pivot("class_name", [f"class_{i}" for i in range(12)])
         .agg(F.max("score").cast("string"))

@@ -144,7 +144,7 @@ SELECT concat('s', CAST(o_custkey % 7 AS STRING)) AS sample_id, o_orderkey AS jo
 FROM {orders}""",
     "class_scores": """
 SELECT concat('s', CAST(o_custkey % 7 AS STRING)) AS sample_id,
-       CASE o_custkey % 2 WHEN 0 THEN 'neural' ELSE 'random_forest' END AS classifier,
+       CASE o_custkey % 2 WHEN 0 THEN 'sturgeon' ELSE 'random_forest' END AS classifier,
        o_orderkey % 20 AS batch_id, concat('class_', CAST(o_custkey % 12 AS STRING)) AS class_name,
        max((o_orderkey * 7919) % 1000) / 1000.0E0 AS score
 FROM {orders} GROUP BY 1, 2, 3, 4""",
