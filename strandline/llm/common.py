@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.session import scratch_path
@@ -54,3 +54,19 @@ def held_out(doc_id: Column) -> Column:
 def learnable(doc_id: Column) -> Column:
     """Rows that training may use: those with an id that is not held out."""
     return doc_id.isNotNull() & ~held_out(doc_id)
+
+
+def rows_with(docs: DataFrame, keys: dict[str, Column], plan: DataFrame) -> DataFrame:
+    """Rows of ``docs`` joined with the rows of ``plan`` that have the same keys, nulls included.
+
+    ``plan`` has one row per key, under the names of ``keys``, which ``docs`` must
+    not have. ``_row`` numbers the rows of a key from 1, by text: where ids repeat,
+    it tells the rows apart on the partitioning of the join.
+    """
+    marked = docs.withColumns({f"{k}_here": v for k, v in keys.items()})
+    same = None
+    for k in keys:
+        one = marked[f"{k}_here"].eqNullSafe(plan[k])
+        same = one if same is None else same & one
+    order = Window.partitionBy(*[f"{k}_here" for k in keys]).orderBy("text")
+    return marked.join(plan, same).withColumn("_row", F.row_number().over(order))

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACE, drop_stored, stored, text_of
+from strandline.llm.common import SPACE, drop_stored, rows_with, stored, text_of
 
 #: Code points of a block. Larger blocks mean fewer rows, smaller ones shorter sort keys.
 BLOCK = 256
@@ -101,12 +101,9 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     A row is found again by its id, digest and length; of rows that agree in all
     three (white space in other places at most) one stays.
     """
+    keys = {"_k_doc": F.col("doc_id"), "_k_sha": F.sha2(normalised(text_of()), 256), "_k_len": F.length(text_of()).cast("long")}
     kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_k_doc"), F.col("text_sha256").alias("_k_sha"), F.col("n_code_points").alias("_k_len")).distinct()
-    text = text_of()
-    marked = docs.withColumns({"_k_id": F.col("doc_id"), "_k_sum": F.sha2(normalised(text), 256), "_k_chars": F.length(text).cast("long")})
-    found = marked.join(kept, marked["_k_id"].eqNullSafe(kept["_k_doc"]) & (marked["_k_sum"] == kept["_k_sha"]) & (marked["_k_chars"] == kept["_k_len"]), "left_semi")
-    order = Window.partitionBy("_k_id", "_k_sum", "_k_chars").orderBy("text")
-    return found.withColumn("_k_row", F.row_number().over(order)).filter("_k_row = 1").select(*docs.columns)
+    return rows_with(docs, keys, kept).filter("_row = 1").select(*docs.columns)
 
 
 SQL = r"""

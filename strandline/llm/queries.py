@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import exact_dedup
+from strandline.llm import exact_dedup, mixing, near_dedup
 from strandline.llm.common import documents
 
 
@@ -12,5 +12,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup,)}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op7_near_dedup)}
 ORACLE = {"op1_exact_dedup": exact_dedup.SQL}
