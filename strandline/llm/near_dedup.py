@@ -66,7 +66,7 @@ def linked_fingerprints(prints: DataFrame, distance: int = DISTANCE) -> DataFram
     if not 0 <= distance <= 3:
         raise ValueError("halves with balls of one bit find distances up to 3")
     table = prints.select(F.col("_fp").alias("b"), F.inline(_segments(F.col("_fp"))))
-    flips = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.shiftleft(F.lit(1).cast("long"), i)), lambda bit: F.col("_half").bitwiseAND(bit) == 0)
+    flips = F.filter(F.array(*[F.lit(1 << i).cast("long") for i in range(32)]), lambda bit: F.col("_half").bitwiseAND(bit) == 0)
     ball = F.concat(F.array(F.lit(0).cast("long")), flips)
     probes = table.select(F.col("b").alias("a"), "_seg", "_half", F.explode(ball).alias("_bit"))
     probes = probes.select("a", "_seg", F.col("_half").bitwiseOR(F.col("_bit")).alias("_half"), (F.col("_bit") == 0).alias("_same"))
