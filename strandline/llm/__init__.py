@@ -1,5 +1 @@
-"""Operators for training-data pipelines and the queries that apply them to the given tables."""
-
-from strandline.llm.queries import ORACLE, QUERIES
-
-__all__ = ["ORACLE", "QUERIES"]
+"""Operators for training-data pipelines. ``queries`` applies them to the given tables."""

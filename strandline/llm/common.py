@@ -59,14 +59,16 @@ def learnable(doc_id: Column) -> Column:
 def rows_with(docs: DataFrame, keys: dict[str, Column], plan: DataFrame) -> DataFrame:
     """Rows of ``docs`` joined with the rows of ``plan`` that have the same keys, nulls included.
 
-    ``plan`` has one row per key, under the names of ``keys``, which ``docs`` must
-    not have. ``_row`` numbers the rows of a key from 1, by text: where ids repeat,
-    it tells the rows apart on the partitioning of the join.
+    Gives ``doc``, the whole row as a struct so that no name can clash, ``row``, its
+    number from 1 among the rows of the key by text, and the other columns of
+    ``plan``, which has one row per key. Where ids repeat, ``row`` tells the rows
+    apart on the partitioning of the join.
     """
-    marked = docs.withColumns({f"{k}_here": v for k, v in keys.items()})
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), *[v.alias(f"here_{k}") for k, v in keys.items()])
     same = None
     for k in keys:
-        one = marked[f"{k}_here"].eqNullSafe(plan[k])
+        one = packed[f"here_{k}"].eqNullSafe(plan[k])
         same = one if same is None else same & one
-    order = Window.partitionBy(*[f"{k}_here" for k in keys]).orderBy("text")
-    return marked.join(plan, same).withColumn("_row", F.row_number().over(order))
+    order = Window.partitionBy(*[f"here_{k}" for k in keys]).orderBy("doc.text")
+    rest = [c for c in plan.columns if c not in keys]
+    return packed.join(plan, same).select("doc", F.row_number().over(order).alias("row"), *rest)

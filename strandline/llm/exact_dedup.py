@@ -103,7 +103,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """
     keys = {"_k_doc": F.col("doc_id"), "_k_sha": F.sha2(normalised(text_of()), 256), "_k_len": F.length(text_of()).cast("long")}
     kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_k_doc"), F.col("text_sha256").alias("_k_sha"), F.col("n_code_points").alias("_k_len")).distinct()
-    return rows_with(docs, keys, kept).filter("_row = 1").select(*docs.columns)
+    return rows_with(docs, keys, kept).filter("row = 1").select("doc.*")
 
 
 SQL = r"""

@@ -141,9 +141,6 @@ def mix(docs: DataFrame, **parameters) -> DataFrame:
 def mixed_rows(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of the mix, each document as often as it is taken, with the columns of ``docs``."""
     plan = copies_of(docs, **parameters).select(F.col("doc_id").alias("_k_doc"), F.col("source").alias("_k_source"), F.col("size").alias("_k_size"), "rows", "copies")
-    plan = plan.filter("copies > 0").select("_k_doc", "_k_source", "_k_size", F.struct("rows", "copies").alias("_plan"))
     keys = {"_k_doc": F.col("doc_id").cast("long"), "_k_source": F.col("source").cast("string"), "_k_size": F.regexp_count(text_of(), F.lit(WORD)).cast("long")}
-    rows = rows_with(docs, keys, plan)
-    rest = F.col("_plan.copies") % F.col("_plan.rows")
-    times = F.floor(F.col("_plan.copies") / F.col("_plan.rows")) + F.when(F.col("_row") <= rest, 1).otherwise(0)
-    return rows.withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    rows = rows_with(docs, keys, plan.filter("copies > 0")).withColumn("times", _copies_of_row(F.col("row")))
+    return rows.filter("times > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc.*")

@@ -106,4 +106,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stored(docs.select(*[v.alias(k) for k, v in keys.items()], _simhash(text_of()).alias("_fp")), "simhash")
     firsts = rows.groupBy("_fp").agg(F.min(F.struct(F.col("_k_doc").isNull().alias("_none"), "_k_doc", "_k_sum")).alias("_first"))
     kept = firsts.join(_labelled(rows), "_fp").groupBy("_label").agg(F.min("_first").alias("_first")).select("_first._k_doc", "_first._k_sum")
-    return rows_with(docs, keys, kept).filter("_row = 1").select(*docs.columns)
+    return rows_with(docs, keys, kept).filter("row = 1").select("doc.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import exact_dedup, mixing, near_dedup
+from strandline.llm import exact_dedup, language, mixing, near_dedup, neighbours, pii, toxicity, warc
 from strandline.llm.common import documents
 
 
@@ -12,13 +12,34 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans_by_document(documents(spark, sf_dir))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op7_near_dedup)}
-ORACLE = {"op1_exact_dedup": exact_dedup.SQL}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_pii, op4_mixing, op5_language_id, op6_nearest_neighbours, op7_near_dedup, op8_warc, op9_toxicity)}
+ORACLE = {"op1_exact_dedup": exact_dedup.SQL, "op8_warc": warc.SQL}
