@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import exact_dedup, language, mixing, near_dedup, neighbours, pii, toxicity, warc
+from strandline.llm import exact_dedup, html_text, language, mixing, near_dedup, neighbours, pieces, pii, toxicity, warc
 from strandline.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans_by_document(documents(spark, sf_dir))
 
@@ -41,5 +45,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_pii, op4_mixing, op5_language_id, op6_nearest_neighbours, op7_near_dedup, op8_warc, op9_toxicity)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(spark, documents(spark, sf_dir))
+
+
+ALL = (op1_exact_dedup, op2_html_text, op3_pii, op4_mixing, op5_language_id, op6_nearest_neighbours, op7_near_dedup, op8_warc, op9_toxicity, op10_sentencepiece)
+QUERIES = {f.__name__: f for f in ALL}
 ORACLE = {"op1_exact_dedup": exact_dedup.SQL, "op8_warc": warc.SQL}
