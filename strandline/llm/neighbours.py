@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import stored
 
-#: Projections, windows that must agree, and the factor by which windows widen.
-PROJECTIONS, COLLISIONS, WIDEN = 40, 18, 1.25
-#: Vectors of one index and queries that meet it together.
-BLOCK, CHUNK = 16_384, 2_048
+#: Projections, windows that must agree, and the factor by which windows widen that hold too few vectors.
+PROJECTIONS, COLLISIONS, WIDEN = 40, 22, 1.25
+#: Vectors of one index, queries that meet it together, and those counted at once.
+BLOCK, CHUNK, BATCH = 16_384, 2_048, 256
+#: Vectors of an index whose distances say how wide the first windows are.
+SAMPLE = 256
 SEED = 5
 
 
@@ -38,62 +40,82 @@ class Index:
         last = np.sqrt(np.maximum(norm**2 - (self.vectors**2).sum(axis=1), 0))
         self.directions = directions(vectors.shape[1] + 1)
         places = self.directions[:, :-1] @ self.vectors.T + self.directions[:, -1:] * last
-        self.order = np.argsort(places, axis=1, kind="stable").astype(np.int32)
+        self.order = np.argsort(places, axis=1, kind="stable")
         self.sorted = np.take_along_axis(places, self.order, axis=1)
+        self.rough = self.vectors.astype(np.float32)
+        self.sample = self.vectors[:: max(1, len(ids) // SAMPLE)]
+
+    def _edges(self, centres: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place and end of each query's window in each sorted projection."""
+        lo = [np.searchsorted(s, c - widths, "left") for s, c in zip(self.sorted, centres.T, strict=True)]
+        hi = [np.searchsorted(s, c + widths, "right") for s, c in zip(self.sorted, centres.T, strict=True)]
+        return np.array(lo).T, np.array(hi).T
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
         """``(query id, id, inner product)`` of the ``k`` nearest found of each query, ties to smaller ids."""
-        n = len(self.ids)
-        scaled = queries * (self.norm / np.linalg.norm(queries, axis=1, keepdims=True))
-        centres = scaled @ self.directions[:, :-1].T
-        # The first windows hold about 2 k vectors of a projection.
-        span = self.sorted[:, -1] - self.sorted[:, 0]
-        first = max(float(np.median(span)) * min(1.0, 2.0 * k / n) / 2, 1e-9 * (1 + self.norm))
-        widths = [first]
-        while widths[-1] < 4 * self.norm * np.sqrt(self.directions.shape[1]) + span.max():
-            widths.append(widths[-1] * WIDEN)
-        bounds = {}
-
-        def edges(step: int) -> tuple[np.ndarray, np.ndarray]:
-            if step not in bounds:
-                w = widths[step]
-                bounds[step] = (
-                    np.array([np.searchsorted(s, c - w, "left") for s, c in zip(self.sorted, centres.T, strict=True)]),
-                    np.array([np.searchsorted(s, c + w, "right") for s, c in zip(self.sorted, centres.T, strict=True)]),
-                )
-            return bounds[step]
-
-        for q in range(len(queries)):
-            counts = np.zeros(n, dtype=np.int64)
-            verified = np.zeros(n, dtype=bool)
-            mine = self.ids == own[q]
-            wanted = min(k, n - int(mine.sum()))
-            found, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-            before = None
-            for step, width in enumerate(widths):
-                lo, hi = (x[:, q] for x in edges(step))
+        for i in range(0, len(queries), BATCH):
+            yield from self._search(own[i : i + BATCH], queries[i : i + BATCH], k)
+
+    def _search(self, own: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
+        n, norms = len(self.ids), np.linalg.norm(queries, axis=1)
+        scale = self.norm / norms
+        # Distance to a vector of inner product x: vectors and scaled queries all have one norm.
+        distance = lambda x, q: np.sqrt(np.maximum(2 * self.norm**2 - 2 * scale[q] * x, 0.0))
+        centres = (queries * scale[:, None]) @ self.directions[:, :-1].T
+        near = np.sort(queries @ self.sample.T, axis=1)[:, ::-1]
+        expected = min(near.shape[1] - 1, int(k * near.shape[1] / n))
+        every = np.arange(len(queries))
+        widths = np.maximum(0.95 * distance(near[:, expected], every), 1e-9 * self.norm)
+        rough = queries.astype(np.float32)
+        # What single precision may be off by; the best are measured again in double precision.
+        slack = 1e-4 * self.norm * norms
+        counts = np.zeros((len(queries), n), dtype=np.int64)
+        found = [np.zeros(0, dtype=np.int64) for _ in every]
+        scores = [np.zeros(0) for _ in every]
+        open_, before = every, None
+        while len(open_):
+            lo, hi = self._edges(centres[open_], widths[open_])
+            still = []
+            for r, q in enumerate(open_):
                 if before is None:
-                    new = [self.order[i, lo[i] : hi[i]] for i in range(len(lo))]
+                    new = [self.order[i, a:b] for i, (a, b) in enumerate(zip(lo[r].tolist(), hi[r].tolist(), strict=True))]
                 else:
-                    new = [self.order[i, a:b] for i in range(len(lo)) for a, b in ((lo[i], before[0][i]), (before[1][i], hi[i])) if a < b]
-                before = (lo, hi)
+                    was_lo, was_hi = before[0][q], before[1][q]
+                    new = [self.order[i, a:b] for i in range(PROJECTIONS) for a, b in ((lo[r, i], was_lo[i]), (was_hi[i], hi[r, i])) if a < b]
                 if new:
-                    counts += np.bincount(np.concatenate(new), minlength=n)
-                fresh = np.flatnonzero((counts >= COLLISIONS) & ~verified & ~mine)
-                if len(fresh):
-                    verified[fresh] = True
-                    found = np.concatenate((found, fresh))
-                    scores = np.concatenate((scores, (self.vectors[fresh] * queries[q]).sum(axis=1)))
-                if len(found) >= wanted:
-                    if wanted == 0:
-                        break
-                    # Windows as wide as the distance of the k-th: nearer vectors collide in 27 of 40 on average.
-                    worst = np.partition(scores, len(scores) - wanted)[len(scores) - wanted]
-                    cosine = worst / np.linalg.norm(queries[q])
-                    if width >= np.sqrt(max(2 * self.norm**2 - 2 * self.norm * cosine, 0.0)) or (~verified & ~mine).sum() == 0:
-                        break
-            for j in np.lexsort((self.ids[found], -scores))[:wanted]:
-                yield int(own[q]), int(self.ids[found[j]]), float(scores[j])
+                    counts[q] += np.bincount(np.concatenate(new), minlength=n)
+                mine = self.ids == own[q]
+                wanted = min(k, n - int(mine.sum()))
+                # Verified vectors are marked by a count that no window reaches.
+                fresh = np.flatnonzero((counts[q] >= COLLISIONS) & ~mine)
+                counts[q, fresh] = -(1 << 40)
+                found[q] = np.concatenate((found[q], fresh))
+                scores[q] = np.concatenate((scores[q], self.rough[fresh] @ rough[q]))
+                if wanted == 0 or len(found[q]) == n - int(mine.sum()):
+                    continue
+                if len(found[q]) < wanted:
+                    widths[q] *= WIDEN
+                    still.append(q)
+                    continue
+                # Windows as wide as the k-th is far hold a nearer vector in 27 of 40 projections on average.
+                farthest = float(distance(np.partition(scores[q], -wanted)[-wanted] - slack[q], q))
+                if widths[q] < farthest:
+                    widths[q] = farthest
+                    still.append(q)
+            if before is None:
+                before = [lo.copy(), hi.copy()]
+            else:
+                before[0][open_], before[1][open_] = lo, hi
+            open_ = np.array(still, dtype=np.int64)
+        for q in every:
+            wanted = min(k, len(found[q]))
+            if not wanted:
+                continue
+            least = np.partition(scores[q], -wanted)[-wanted]
+            best = found[q][scores[q] >= least - slack[q]]
+            exact = (self.vectors[best] * queries[q]).sum(axis=1)
+            for j in np.lexsort((self.ids[best], -exact))[:wanted]:
+                yield int(own[q]), int(self.ids[best[j]]), float(exact[j])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
