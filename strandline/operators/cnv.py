@@ -292,17 +292,22 @@ def even_sample(track: DataFrame, k: int) -> DataFrame:
 
 
 def downsample_mean(track: DataFrame, group: int, width: int = 1_000_000) -> DataFrame:
-    """Means over whole groups of bins at the centre of each group."""
+    """Means over groups of bins at the centre of each group; a last, smaller group counts too.
+
+    A chromosome shorter than one group stays as it is, bin by bin.
+    """
     n = track.groupBy(*TRACK).agg((F.max("bin_idx") + 1).alias("_n"))
-    rows = track.join(n, TRACK).withColumn("_g", F.expr(f"bin_idx div {group}")).filter(F.col("_g") < F.expr(f"_n div {group}"))
-    out = rows.groupBy(*TRACK, "_g").agg(F.avg("value").alias("value"))
-    return out.select(*TRACK, ((F.col("_g") + 0.5) * (group * width)).alias("position"), "value")
+    size = F.when(F.col("_n") < group, 1).otherwise(group)
+    rows = track.join(n, TRACK).withColumn("_size", size.cast("bigint")).withColumn("_g", F.expr("bin_idx div _size"))
+    out = rows.groupBy(*TRACK, "_g", "_size", "_n").agg(F.avg("value").alias("value"))
+    first = F.col("_g") * F.col("_size")
+    return out.select(*TRACK, ((first + F.least(first + F.col("_size"), "_n")) / 2.0 * width).alias("position"), "value")
 
 
-def random_sample(rows: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """``n`` rows in digest order: the same rows for the same seed on any cluster."""
+def random_sample(rows: DataFrame, share: float, key: Sequence[str], seed: int = 42) -> DataFrame:
+    """About ``share`` of the rows, those whose digest is low: the same ones for the same seed on any cluster, without a sort."""
     digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed))))
-    return rows.orderBy(digest, *key).limit(n)
+    return rows.filter(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") < int(share * (1 << 32)))
 
 
 def _best_splits(signal: np.ndarray, penalty: float, min_size: int = 2) -> list[int]:

@@ -10,12 +10,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.tags import supplementary_spans
 from strandline.operators.graph import connected_components
 from strandline.operators.intervals import interval_join
+from strandline.operators.qc import failing_reads, qs_filter
 from strandline.operators.ranges import merge_nearby, merge_ranges
 from strandline.session import cut_lineage, keep
 
@@ -30,14 +31,17 @@ READ_SUPPORT = 3
 VALIDATED_SUPPORT = 4
 
 
+def gate_rule() -> Column:
+    span = F.col("ref_end") - F.col("ref_start")
+    return ~F.col("is_unmapped") & ~F.col("is_secondary") & F.col("sa").isNotNull() & (F.col("chrom") != "chrM") & (F.col("mapq") > MIN_MAPQ) & (span > MIN_SPAN)
+
+
 def fusion_gate(alignments: DataFrame) -> DataFrame:
     """Mapped, non-secondary alignments with SA text, off chrM, long and well mapped."""
-    span = F.col("ref_end") - F.col("ref_start")
-    return alignments.filter(
-        ~F.col("is_unmapped") & ~F.col("is_secondary") & F.col("sa").isNotNull() & (F.col("chrom") != "chrM") & (F.col("mapq") > MIN_MAPQ) & (span > MIN_SPAN)
-    ).withColumn("mapping_span", span)
+    return alignments.filter(gate_rule()).withColumn("mapping_span", F.col("ref_end") - F.col("ref_start"))
 
 
+#: fixed values: the columns of a candidate row
 CANDIDATE = ["sample_id", "candidate_type", "read_id", "gene", "gene_start", "gene_end", "chrom", "ref_start", "ref_end", "mapq", "strand",
              "read_start", "read_end", "is_secondary", "is_supplementary", "mapping_span"]
 
@@ -165,19 +169,28 @@ def fusion_counts(candidates: DataFrame) -> DataFrame:
 
 
 def fusion_funnel(alignments: DataFrame, regions: DataFrame) -> DataFrame:
-    """Rows left after each rule, per sample."""
-    gated = fusion_gate(alignments)
-    candidates = fusion_candidates(gated, regions)
-    clean = without_artifacts(candidates)
-    stages = [
-        ("1_alignments", alignments), ("2_gated", gated), ("3_candidates", candidates), ("4_without_artifacts", clean),
-        ("5_multi_gene", multi_gene_reads(clean)), ("6_supported", supported_rows(clean)),
-    ]
-    out = None
-    for name, df in stages:
-        part = df.groupBy("sample_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("stage", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Rows left after each rule, per sample.
+
+    Each alignment carries the number of the last rule it passes, and so does each
+    candidate: two counts by that number, summed from it down, are all stages. The
+    candidates are written once, for the rules after them look at whole reads.
+    """
+    marked = alignments.join(failing_reads(alignments).withColumn("_bad", F.lit(True)), READ, "left")
+    passed = F.when(F.col("_bad"), 1).when(gate_rule(), 3).otherwise(2)
+    by_rule = marked.groupBy("sample_id", passed.alias("_k")).agg(F.count(F.lit(1)).alias("n"))
+    candidates = cut_lineage(fusion_candidates(fusion_gate(qs_filter(alignments)), regions))
+    artifacts = overlap_artifacts(candidates).withColumn("_art", F.lit(True))
+    tags = read_tags(candidates)
+    support = tags.join(artifacts, READ, "left_anti").groupBy("sample_id", "tag").agg(F.count(F.lit(1)).alias("_reads"))
+    reads = tags.join(support, ["sample_id", "tag"], "left").select(*READ, F.coalesce("_reads", F.lit(0)).alias("_reads"))
+    rows = candidates.groupBy(*READ).agg(F.count(F.lit(1)).alias("_n")).join(artifacts, READ, "left").join(reads, READ, "left")
+    passed = F.when(F.col("_art"), 4).when(F.col("_reads").isNull(), 5).when(F.col("_reads") < READ_SUPPORT, 6).otherwise(7)
+    by_rule = by_rule.unionByName(rows.groupBy("sample_id", passed.alias("_k")).agg(F.sum("_n").alias("n")))
+    names = ["1_alignments", "2_quality", "3_gated", "4_candidates", "5_without_artifacts", "6_multi_gene", "7_supported"]
+    stages = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("stage")) for k, n in enumerate(names, 1)])
+    # Alignments fill the stages up to the gate, candidates those after it.
+    spread = by_rule.withColumn("s", F.explode(F.filter(stages, lambda s: (s["k"] <= F.col("_k")) & ((s["k"] > 3) == (F.col("_k") > 3)))))
+    return spread.groupBy("sample_id", F.col("s.stage").alias("stage")).agg(F.sum("n").alias("rows"))
 
 
 def search_reads(candidates: DataFrame, ids: DataFrame) -> DataFrame:
@@ -404,22 +417,15 @@ def dbscan_labels(points: DataFrame, keys: Sequence[str], eps2: int, min_points:
     return labelled.select(*keys, "x", "y", "label").unionByName(edge_labels)
 
 
-def cluster_dbscan(pairs: DataFrame, distance: int = 5000, min_support: int = READ_SUPPORT, max_pairs: int | None = 100_000) -> DataFrame:
-    """Density clusters of breakpoint pairs per chromosome pair.
+def cluster_dbscan(pairs: DataFrame, distance: int = 5000, min_support: int = READ_SUPPORT) -> DataFrame:
+    """Density clusters of breakpoint pairs per chromosome pair, whatever their number.
 
     Midpoints may end in .5, so coordinates and the radius ``1.5 * distance`` are
-    doubled. Chromosome pairs above ``max_pairs`` rows are binned instead, as a
-    defined rule; ``None`` clusters everything.
+    doubled.
     """
     keys = ["sample_id", "p_chrom", "s_chrom"]
     pairs = keep(pairs)
     rows = pairs.withColumns({"x": F.col("p_start") + F.col("p_end"), "y": F.col("s_start") + F.col("s_end")})
-    binned = None
-    if max_pairs is not None:
-        sizes = rows.groupBy(*keys).agg(F.sum("n").alias("_pairs"))
-        large = sizes.filter(F.col("_pairs") > max_pairs).select(*keys)
-        binned = _binned_groups(rows.join(large, keys, "left_semi"), distance, min_support)
-        rows = rows.join(large, keys, "left_anti")
     labels = dbscan_labels(rows.select(*keys, "x", "y", F.col("n").alias("w")), keys, 3 * distance, min_support)
     hit = rows.join(labels, [*keys, "x", "y"])
     group = [*keys, "label"]
@@ -432,21 +438,7 @@ def cluster_dbscan(pairs: DataFrame, distance: int = 5000, min_support: int = RE
         *[mean(c) for c in ("p_mapq", "p_span", "s_mapq", "s_span")],
     )
     reads = hit.select(*group, "read_id").distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("reads"))
-    out = stats.join(reads, group).filter(F.col("reads") >= min_support).drop("label")
-    return out if binned is None else out.unionByName(binned, allowMissingColumns=True)
-
-
-def _binned_groups(rows: DataFrame, bin_size: int, min_support: int) -> DataFrame:
-    def spot(p):
-        mid = F.expr(f"({p}_start + {p}_end) div 2")
-        return F.struct(F.col(f"{p}_chrom").alias("chrom"), (mid - mid % bin_size).alias("pos"), F.col(f"{p}_strand").alias("strand"))
-
-    ends = rows.select(*READ, spot("p").alias("x"), spot("s").alias("y")).select(*READ, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    out = ends.groupBy("sample_id", "a", "b").agg(F.count(F.lit(1)).alias("reads")).filter(F.col("reads") >= min_support)
-    return out.select(
-        "sample_id", F.col("a.chrom").alias("p_chrom"), F.col("b.chrom").alias("s_chrom"), F.col("a.pos").alias("p_start"), (F.col("a.pos") + bin_size).alias("p_end"),
-        F.col("b.pos").alias("s_start"), (F.col("b.pos") + bin_size).alias("s_end"), "reads",
-    )
+    return stats.join(reads, group).filter(F.col("reads") >= min_support).drop("label")
 
 
 def master_bed_events(primary: DataFrame, supplementary: DataFrame, distance: int = 5000, min_support: int = READ_SUPPORT, min_mapq: int = 50) -> DataFrame:
@@ -456,7 +448,7 @@ def master_bed_events(primary: DataFrame, supplementary: DataFrame, distance: in
     def end(p, kind):
         return F.struct(
             F.col(f"{p}_chrom").alias("chrom"), F.col(f"{p}_start").alias("start_pos"), F.col(f"{p}_end").alias("end_pos"), F.lit(kind).alias("event_type"),
-            F.bround(F.coalesce(f"{p}_mapq_mean", F.lit(0.0)), 1).alias("avg_mapq"), F.bround(F.coalesce(f"{p}_span_mean", F.lit(0.0)), 0).alias("avg_span"),
+            F.bround(f"{p}_mapq_mean", 1).alias("avg_mapq"), F.bround(f"{p}_span_mean", 0).alias("avg_span"),
         )
 
     ends = F.array(end("p", "breakpoint_pair_primary"), end("s", "breakpoint_pair_supplementary"))

@@ -22,7 +22,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(smallest.select("hi", F.col("m").alias("lo"))).distinct()
 
 
-def connected_components(edges: DataFrame, a: str, b: str, keys: Sequence[str] = (), max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
     """``(keys, vertex, component)``; the component is its smallest vertex.
 
     No neighbour list is ever built: every step is an aggregate and an
@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, a: str, b: str, keys: Sequence[str] =
     current = cut_lineage(pairs.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct())
     isolated = edges.filter(F.col(a) == F.col(b)).select(u.alias("hi"), u.alias("lo"))
     last = None
-    for _ in range(max_rounds):
+    while True:
         current = cut_lineage(_small_star(_large_star(current)))
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if state == last:

@@ -20,12 +20,6 @@ def probability_threshold(threshold: float = 0.73) -> int:
     return int(threshold * 255)
 
 
-def qs_filter(alignments: DataFrame, minimum: float = 12.0) -> DataFrame:
-    """Drops all alignments of reads whose primary is below ``minimum``; no value passes."""
-    failing = alignments.filter("NOT is_secondary AND NOT is_supplementary").filter(F.col("qs") < minimum)
-    return alignments.join(failing.select("sample_id", "read_id").distinct(), ["sample_id", "read_id"], "left_anti")
-
-
 def mod_code_filter(state: DataFrame, code: str = "m") -> DataFrame:
     """Calls of one modification at known places, as fractions."""
     rows = state.filter((F.col("mod_code") == code) & (F.col("pos") != -1) & (F.col("chrom") != "."))
@@ -198,12 +192,10 @@ def mgmt_cohort(sites: DataFrame) -> DataFrame:
     return sites.select("sample_id", "site", "cov_total", total.alias("meth_total"), F.round(100.0 * total / F.col("cov_total"), 2).alias("percent"))
 
 
-def has_methylation_data(reads: DataFrame, key: str = "file", sample: int = 10_000, needed: int = 10) -> DataFrame:
-    """Whether the first ``sample`` reads of a file hold enough modification tags."""
-    w = Window.partitionBy(key).orderBy("read_id")
-    head = reads.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= sample)
+def has_methylation_data(reads: DataFrame, key: str = "file", needed: int = 10) -> DataFrame:
+    """Whether the reads of a file hold enough modification tags; all of them are read."""
     kinds = F.filter(F.transform(F.filter(F.split("mm", ";"), lambda x: F.contains(x, F.lit(":"))), lambda x: F.substring_index(x, ":", 1)), lambda x: x != "")
-    per = head.groupBy(key).agg(
+    per = reads.groupBy(key).agg(
         F.count(F.lit(1)).alias("total_reads"), F.count_if(F.col("mm").isNotNull()).alias("reads_with_mm"), F.max(F.coalesce(F.size(kinds), F.lit(0)) > 0).alias("_kinds")
     )
     return per.withColumn("has_data", (F.col("reads_with_mm") >= needed) & F.col("_kinds")).drop("_kinds")

@@ -86,17 +86,27 @@ def supplementary_read_ids(alignments: DataFrame) -> DataFrame:
     return rows.select("sample_id", "file", "read_id").distinct()
 
 
-def file_size_gate(qc: DataFrame, process_large: bool = False, limit: int = MAX_READS_PER_FILE) -> DataFrame:
-    """Status and warning class of each file."""
+def failing_reads(alignments: DataFrame, minimum: float = 12.0) -> DataFrame:
+    """Reads whose primary is below ``minimum``; no value passes."""
+    return alignments.filter("NOT is_secondary AND NOT is_supplementary").filter(F.col("qs") < minimum).select("sample_id", "read_id").distinct()
+
+
+def qs_filter(alignments: DataFrame, minimum: float = 12.0) -> DataFrame:
+    """Drops all alignments of failing reads."""
+    return alignments.join(failing_reads(alignments, minimum), ["sample_id", "read_id"], "left_anti")
+
+
+def file_size_gate(qc: DataFrame, limit: int = MAX_READS_PER_FILE) -> DataFrame:
+    """Status and warning class of each file. A file above ``limit`` reads is named as large, never left out."""
     total = F.col("mapped_reads") + F.col("unmapped_reads")
-    status = F.when((total > limit) & ~F.lit(process_large), "skipped").otherwise("ok")
     warning = (
         F.when(total == 0, "empty")
         .when(F.col("mapped_reads") == 0, "no_alignments")
         .when((total > 100) & (100.0 * F.col("mapped_reads") / total < 1.0), "few_alignments")
+        .when(total > limit, "large")
         .otherwise("none")
     )
-    return qc.select("sample_id", "file", total.alias("total_reads"), status.alias("status"), warning.alias("warning"))
+    return qc.select("sample_id", "file", total.alias("total_reads"), F.lit("ok").alias("status"), warning.alias("warning"))
 
 
 def mgmt_locus_flag(alignments: DataFrame) -> DataFrame:

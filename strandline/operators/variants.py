@@ -120,11 +120,9 @@ def pileup(bases: DataFrame) -> DataFrame:
     return out.withColumns({"mean_quality": F.coalesce("mean_quality", F.lit(0.0)), "variant_alleles": alleles}).withColumn("has_variants", F.col("variant_alleles") != "")
 
 
-def pileup_reads(bases: DataFrame, k: int = 10) -> DataFrame:
-    """Up to ``k`` read names per position; the limit is pushed below the shuffle."""
-    w = Window.partitionBy(*PLACE).orderBy("read_id")
-    head = bases.filter("NOT is_del").select(*PLACE, "read_id").withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k)
-    return head.groupBy(*PLACE).agg(F.array_join(F.array_sort(F.collect_list("read_id")), ",").alias("read_names"))
+def pileup_reads(bases: DataFrame) -> DataFrame:
+    """Every read at every position, one row each, so that deep positions need no list."""
+    return bases.filter("NOT is_del").select(*PLACE, "read_id").distinct()
 
 
 def variants_at_pileup(vcf: DataFrame, piled: DataFrame) -> DataFrame:

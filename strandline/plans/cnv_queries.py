@@ -213,7 +213,8 @@ def even_sample(v):
 @query(
     "SRT5_downsample_mean",
     f"""WITH {TRACK}, r AS (SELECT *, max(bin_idx) OVER (PARTITION BY sample_id, chrom) + 1 AS n FROM raw_track)
-        SELECT sample_id, chrom, (bin_idx // 4 + 0.5E0) * 4000000 AS position, avg(value) AS value FROM r WHERE bin_idx // 4 < n // 4 GROUP BY sample_id, chrom, bin_idx // 4""",
+        SELECT sample_id, chrom, (bin_idx // 4 * 4 + least(bin_idx // 4 * 4 + 4, n)) / 2.0E0 * 1000000 AS position, avg(value) AS value FROM r WHERE n >= 4 GROUP BY sample_id, chrom, bin_idx // 4, n
+        UNION ALL SELECT sample_id, chrom, (bin_idx + 0.5E0) * 1000000, value FROM r WHERE n < 4""",
 )
 def downsample_mean(v):
     return cnv.downsample_mean(raw_track(v), 4)
@@ -222,11 +223,11 @@ def downsample_mean(v):
 @query(
     "SRT6_random_sample",
     """SELECT sample_id, read_id, chrom, ref_start, ref_end FROM alignments
-       ORDER BY md5(concat_ws('|', sample_id, read_id, chrom, CAST(ref_start AS VARCHAR), CAST(ref_end AS VARCHAR), '42')), 1, 2, 3, 4, 5 LIMIT 20000""",
+       WHERE CAST(concat('0x', substr(md5(concat_ws('|', sample_id, read_id, chrom, CAST(ref_start AS VARCHAR), CAST(ref_end AS VARCHAR), '42')), 1, 8)) AS BIGINT) < 429496729""",
 )
 def random_sample(v):
     key = ["sample_id", "read_id", "chrom", "ref_start", "ref_end"]
-    return cnv.random_sample(v.alignments.select(*key), 20_000, key)
+    return cnv.random_sample(v.alignments.select(*key), 0.1, key)
 
 
 @query("SEG1_change_points")

@@ -4,10 +4,13 @@ from pyspark.sql import functions as F
 
 from strandline.operators import fusion as fu
 from strandline.operators.graph import connected_components
+from strandline.operators.qc import qs_filter
 from strandline.plans.registry import query
 from strandline.sinks.layouts import candidate_counts
 
-GATED = """gated AS (SELECT *, ref_end - ref_start AS mapping_span FROM alignments WHERE NOT is_unmapped AND NOT is_secondary AND sa IS NOT NULL AND chrom <> 'chrM' AND mapq > 49 AND ref_end - ref_start > 249)"""
+FAILING = """failing AS (SELECT DISTINCT sample_id, read_id FROM alignments WHERE NOT is_secondary AND NOT is_supplementary AND qs < 12),
+  fine AS (SELECT * FROM alignments a WHERE NOT EXISTS (SELECT 1 FROM failing f WHERE f.sample_id = a.sample_id AND f.read_id = a.read_id))"""
+GATED = f"""{FAILING}, gated AS (SELECT *, ref_end - ref_start AS mapping_span FROM fine WHERE NOT is_unmapped AND NOT is_secondary AND sa IS NOT NULL AND chrom <> 'chrM' AND mapq > 49 AND ref_end - ref_start > 249)"""
 CAND = f"""{GATED}, cand AS (SELECT a.sample_id, g.region_type AS candidate_type, a.read_id, g.name AS gene, g.start_pos AS gene_start, g.end_pos AS gene_end, a.chrom, a.ref_start, a.ref_end, a.mapq, a.strand,
   a.read_start, a.read_end, a.is_secondary, a.is_supplementary, a.mapping_span FROM gated a JOIN regions g ON a.chrom = g.chrom AND least(a.ref_end, g.end_pos) - greatest(a.ref_start, g.start_pos) > 99)"""
 ARTIFACT = f"""{CAND}, rowsd AS (SELECT *, row_number() OVER (ORDER BY sample_id, read_id, chrom, ref_start, ref_end, gene, gene_start) AS rid FROM
@@ -21,7 +24,7 @@ TAGS = f"""{ARTIFACT}, rt AS (SELECT sample_id, read_id, string_agg(gene, ',' OR
 
 
 def candidates(v):
-    return fu.fusion_candidates(fu.fusion_gate(v.alignments), v.regions)
+    return fu.fusion_candidates(fu.fusion_gate(qs_filter(v.alignments)), v.regions)
 
 
 def clean(v):
@@ -30,7 +33,7 @@ def clean(v):
 
 @query("FLT3_fusion_gate", f"WITH {GATED} SELECT sample_id, read_id, chrom, ref_start, ref_end, mapq, mapping_span FROM gated")
 def fusion_gate(v):
-    return fu.fusion_gate(v.alignments).select("sample_id", "read_id", "chrom", "ref_start", "ref_end", "mapq", "mapping_span")
+    return fu.fusion_gate(qs_filter(v.alignments)).select("sample_id", "read_id", "chrom", "ref_start", "ref_end", "mapq", "mapping_span")
 
 
 @query("AGG27_overlap_artifacts", f"WITH {ARTIFACT} SELECT * FROM art")
@@ -86,9 +89,9 @@ def fusion_counts(v):
 
 @query(
     "AGG36_fusion_funnel",
-    f"""WITH {TAGS} SELECT sample_id, '1_alignments' AS stage, count(*) AS rows FROM alignments GROUP BY 1 UNION ALL SELECT sample_id, '2_gated', count(*) FROM gated GROUP BY 1
-        UNION ALL SELECT sample_id, '3_candidates', count(*) FROM cand GROUP BY 1 UNION ALL SELECT sample_id, '4_without_artifacts', count(*) FROM clean GROUP BY 1
-        UNION ALL SELECT c.sample_id, '5_multi_gene', count(*) FROM clean c JOIN rt USING (sample_id, read_id) GROUP BY 1 UNION ALL SELECT sample_id, '6_supported', count(*) FROM good GROUP BY 1""",
+    f"""WITH {TAGS} SELECT sample_id, '1_alignments' AS stage, count(*) AS rows FROM alignments GROUP BY 1 UNION ALL SELECT sample_id, '2_quality', count(*) FROM fine GROUP BY 1 UNION ALL SELECT sample_id, '3_gated', count(*) FROM gated GROUP BY 1
+        UNION ALL SELECT sample_id, '4_candidates', count(*) FROM cand GROUP BY 1 UNION ALL SELECT sample_id, '5_without_artifacts', count(*) FROM clean GROUP BY 1
+        UNION ALL SELECT c.sample_id, '6_multi_gene', count(*) FROM clean c JOIN rt USING (sample_id, read_id) GROUP BY 1 UNION ALL SELECT sample_id, '7_supported', count(*) FROM good GROUP BY 1""",
 )
 def fusion_funnel(v):
     return fu.fusion_funnel(v.alignments, v.regions)
@@ -236,7 +239,7 @@ PLACES = f"""{GATED}, prim AS (SELECT DISTINCT a.sample_id, a.read_id, a.chrom,
 
 
 def places(v):
-    return fu.breakpoint_candidates(fu.fusion_gate(v.alignments), v.regions)
+    return fu.breakpoint_candidates(fu.fusion_gate(qs_filter(v.alignments)), v.regions)
 
 
 @query("JN16_breakpoint_pairs", f"WITH {PLACES} SELECT * FROM bp")

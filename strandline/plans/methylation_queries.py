@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from strandline.operators import methylation as me
+from strandline.operators import qc
 from strandline.plans.registry import query
 from strandline.sinks import layouts as lay
 from strandline.sources.text import parse_vcf
@@ -35,7 +36,7 @@ def mod_site_counts_by_code(v):
        AND NOT p.is_secondary AND NOT p.is_supplementary AND p.qs < 12)""",
 )
 def qs_filter(v):
-    return me.qs_filter(v.alignments).select("sample_id", "read_id", "chrom", "ref_start", "ref_end")
+    return qc.qs_filter(v.alignments).select("sample_id", "read_id", "chrom", "ref_start", "ref_end")
 
 
 @query(
@@ -52,8 +53,8 @@ MM = """mm_reads AS (SELECT concat('f', CAST(l_suppkey AS STRING)) AS file, conc
 
 @query(
     "FLT15_has_methylation_data",
-    f"""WITH {MM}, k AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY read_id) AS n FROM mm_reads)
-        SELECT file, count(*) AS total_reads, count(mm) AS reads_with_mm, count(mm) >= 10 AND coalesce(bool_or(contains(mm, ':')), FALSE) AS has_data FROM k WHERE n <= 10000 GROUP BY 1""",
+    f"""WITH {MM}
+        SELECT file, count(*) AS total_reads, count(mm) AS reads_with_mm, count(mm) >= 10 AND coalesce(bool_or(contains(mm, ':')), FALSE) AS has_data FROM mm_reads GROUP BY 1""",
 )
 def has_methylation_data(v):
     return me.has_methylation_data(v.sql(f"WITH {MM} SELECT * FROM mm_reads"))

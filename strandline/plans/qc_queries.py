@@ -60,9 +60,9 @@ def barcode_sample_id(v):
 
 @query(
     "FLT8_file_size_gate",
-    f"""WITH {QC} SELECT sample_id, file, mapped_reads + unmapped_reads AS total_reads, CASE WHEN mapped_reads + unmapped_reads > 50000 THEN 'skipped' ELSE 'ok' END AS status,
+    f"""WITH {QC} SELECT sample_id, file, mapped_reads + unmapped_reads AS total_reads, 'ok' AS status,
         CASE WHEN mapped_reads + unmapped_reads = 0 THEN 'empty' WHEN mapped_reads = 0 THEN 'no_alignments'
-             WHEN mapped_reads + unmapped_reads > 100 AND 100.0 * mapped_reads / (mapped_reads + unmapped_reads) < 1 THEN 'few_alignments' ELSE 'none' END AS warning FROM qc""",
+             WHEN mapped_reads + unmapped_reads > 100 AND 100.0 * mapped_reads / (mapped_reads + unmapped_reads) < 1 THEN 'few_alignments' WHEN mapped_reads + unmapped_reads > 50000 THEN 'large' ELSE 'none' END AS warning FROM qc""",
 )
 def file_size_gate(v):
     return qc.file_size_gate(qc.file_qc(v.alignments))

@@ -209,4 +209,4 @@ CHECK_LINES = """check_lines AS (SELECT target_id, CASE WHEN strand = '+' THEN c
        FROM regions WHERE strand <> '+'""",
 )
 def validate_bed(v):
-    return src.validate_bed(v.sql(f"WITH {CHECK_LINES} SELECT * FROM check_lines"), limit=None).drop("value")
+    return src.validate_bed(v.sql(f"WITH {CHECK_LINES} SELECT * FROM check_lines")).drop("value")

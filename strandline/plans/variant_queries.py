@@ -74,7 +74,7 @@ def pileup(v):
 
 @query(
     "AGG19_pileup_reads",
-    """SELECT sample_id, chrom, pos, string_agg(read_id, ',' ORDER BY read_id) AS read_names FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, chrom, pos ORDER BY read_id) AS k FROM pileup_bases WHERE NOT is_del) WHERE k <= 10 GROUP BY 1, 2, 3""",
+    "SELECT DISTINCT sample_id, chrom, pos, read_id FROM pileup_bases WHERE NOT is_del",
 )
 def pileup_reads(v):
     return va.pileup_reads(v.pileup_bases)

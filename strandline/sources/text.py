@@ -271,8 +271,8 @@ def read_job_durations(spark, path):
     return clean_job_durations(spark.read.csv(path, header=True))
 
 
-def validate_bed(lines: DataFrame, limit: int | None = 10) -> DataFrame:
-    """Errors of each line of a region file; ``limit`` lines are reported (None for all).
+def validate_bed(lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """Errors of each line of a region file; all are reported, or the first ``limit`` of them.
 
     Lines come in text order of their number where a ``line`` column exists.
     """

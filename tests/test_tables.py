@@ -65,7 +65,7 @@ def test_probe_margins_and_signs(spark):
 def test_reads_fail_by_their_primary_only(spark):
     data = [("a", False, 11.0), ("a", True, 30.0), ("b", False, None), ("b", True, 3.0), ("c", False, 12.0)]
     df = spark.createDataFrame([("s", r, False, s, q) for r, s, q in data], "sample_id string, read_id string, is_secondary boolean, is_supplementary boolean, qs double")
-    assert rows(me.qs_filter(df), "read_id") == [("b",), ("b",), ("c",)]
+    assert rows(qc.qs_filter(df), "read_id") == [("b",), ("b",), ("c",)]
 
 
 def test_sample_ids(spark):
@@ -76,7 +76,7 @@ def test_sample_ids(spark):
 
 def test_size_gate(spark):
     df = spark.createDataFrame([("s", "a", 50001, 0), ("s", "b", 0, 5), ("s", "c", 1, 200), ("s", "d", 0, 0)], "sample_id string, file string, mapped_reads long, unmapped_reads long")
-    assert rows(qc.file_size_gate(df), "file", "status", "warning") == [("a", "skipped", "none"), ("b", "ok", "no_alignments"), ("c", "ok", "few_alignments"), ("d", "ok", "empty")]
+    assert rows(qc.file_size_gate(df), "file", "status", "warning") == [("a", "ok", "large"), ("b", "ok", "no_alignments"), ("c", "ok", "few_alignments"), ("d", "ok", "empty")]
 
 
 def test_sa_entries(spark):
