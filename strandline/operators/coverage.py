@@ -185,4 +185,4 @@ def iqr_outliers(targets: DataFrame, group: Sequence[str], k: float = 1.5, min_r
 
 def boxplot_stats(targets: DataFrame, group: Sequence[str] = ("sample_id", "chrom")) -> DataFrame:
     q = exact_quantiles(targets, group, "coverage", [0.0, 0.25, 0.5, 0.75, 1.0], ["min", "q1", "median", "q3", "max"])
-    return q.withColumn("chrom_rank", natural_rank(F.col("chrom"))).orderBy("sample_id", "chrom_rank", "chrom")
+    return q.withColumn("chrom_rank", natural_rank(F.col("chrom")))

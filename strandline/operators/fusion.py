@@ -277,7 +277,7 @@ def validated_fusions(pairs: DataFrame, distance: int = 100, min_support: int =
     found = rows.groupBy(*PAIR, "cluster1", "cluster2", "c_start1", "c_end1", "c_start2", "c_end2").agg(
         F.count(F.lit(1)).alias("reads"), F.avg("min_mapq").alias("avg_mapq"), F.avg("min_span").alias("avg_span")
     )
-    return found.filter(F.col("reads") >= min_support).orderBy(F.desc("reads"), *PAIR, "cluster1", "cluster2")
+    return found.filter(F.col("reads") >= min_support)
 
 
 def coordinate_clusters(pairs: DataFrame, distance: int = 10_000, min_support: int = VALIDATED_SUPPORT) -> DataFrame:

@@ -89,7 +89,7 @@ def merge_meth_state(rows: DataFrame) -> DataFrame:
 def collapse_minimal(rows: DataFrame) -> DataFrame:
     """Strands unified, mean percent per position and modification, in order."""
     out = rows.groupBy("sample_id", "chrom", "pos", "mod_code").agg(F.avg("percent_modified").alias("fraction"))
-    return out.select("sample_id", "chrom", F.col("pos").alias("start_pos"), (F.col("pos") + 1).alias("end_pos"), "mod_code", F.lit(".").alias("strand"), "fraction").orderBy("chrom", "start_pos")
+    return out.select("sample_id", "chrom", F.col("pos").alias("start_pos"), (F.col("pos") + 1).alias("end_pos"), "mod_code", F.lit(".").alias("strand"), "fraction")
 
 
 BED_SUMS = ("valid_cov", "n_mod", "n_canonical", "n_othermod", "n_delete", "n_fail", "n_diff", "n_nocall", "score")

@@ -230,6 +230,17 @@ def random_sample(v):
     return cnv.random_sample(v.alignments.select(*key), 0.1, key)
 
 
-@query("SEG1_change_points")
+SEGMENTS = f"""WITH RECURSIVE {TRACK}, sig AS (SELECT sample_id, chrom, list(value ORDER BY bin_idx) AS v FROM raw_track WHERE chrom <> 'chrM' GROUP BY 1, 2 HAVING count(*) > 3),
+  sums AS (SELECT sample_id, chrom, len(v) AS n, list_transform(range(0, len(v) + 1), lambda i: coalesce(list_sum(v[1:i]), 0.0E0)) AS s1, list_transform(range(0, len(v) + 1), lambda i: coalesce(list_sum(list_transform(v[1:i], lambda x: x * x)), 0.0E0)) AS s2 FROM sig),
+  best(sample_id, chrom, e, cost, back) AS (SELECT sample_id, chrom, CAST(1 AS BIGINT), [-10.0E0, 1.0E300], [CAST(0 AS BIGINT), CAST(0 AS BIGINT)] FROM sums
+    UNION ALL SELECT sample_id, chrom, e, list_append(cost, list_min(c)), list_append(back, CAST(list_position(c, list_min(c)) - 1 AS BIGINT)) FROM (
+      SELECT b.sample_id, b.chrom, b.e + 1 AS e, cost, back, list_transform(range(0, b.e), lambda s: cost[s + 1] + s2[b.e + 2] - s2[s + 1] - (s1[b.e + 2] - s1[s + 1]) * (s1[b.e + 2] - s1[s + 1]) / (b.e + 1 - s) + 10.0E0) AS c
+      FROM best b JOIN sums u ON u.sample_id = b.sample_id AND u.chrom = b.chrom WHERE b.e < u.n)),
+  done AS (SELECT b.sample_id, b.chrom, n, back FROM best b JOIN sums u ON u.sample_id = b.sample_id AND u.chrom = b.chrom AND b.e = u.n),
+  walk(sample_id, chrom, stop, back) AS (SELECT sample_id, chrom, CAST(n AS BIGINT), back FROM done UNION ALL SELECT sample_id, chrom, back[stop + 1], back FROM walk WHERE back[stop + 1] > 0)
+  SELECT sample_id, chrom, stop * 1000000 - 1000000 AS start_pos, stop * 1000000 + 1000000 AS end_pos FROM walk"""
+
+
+@query("SEG1_change_points", SEGMENTS)
 def change_points(v):
     return cnv.change_points(raw_track(v))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from strandline.operators import methylation as me
 from strandline.operators import qc
 from strandline.plans.registry import query
+from strandline.session import scratch_path
 from strandline.sinks import layouts as lay
 from strandline.sources.text import parse_vcf
 
@@ -175,7 +176,9 @@ TAIL = "chr(9), CAST(n_mod AS STRING), chr(9), CAST(n_canonical AS STRING)"
         FROM combined WHERE n_mod > 0 OR n_canonical > 0""",
 )
 def write_bedmethyl(v):
-    return lay.bedmethyl_lines(me.mod_site_counts_combined(v.mod_calls))
+    path = scratch_path(v.spark, "bedmethyl")
+    lay.write_lines(lay.bedmethyl_lines(me.mod_site_counts_combined(v.mod_calls)), path)
+    return v.spark.read.text(path)
 
 
 @query(
@@ -184,14 +187,24 @@ def write_bedmethyl(v):
         FROM coded WHERE n_mod > 0 OR n_canonical > 0""",
 )
 def write_meth_state(v):
-    return lay.meth_state(me.mod_site_counts_by_code(v.mod_calls))
+    path = scratch_path(v.spark, "meth-state")
+    lay.write_meth_state(me.mod_site_counts_by_code(v.mod_calls), path)
+    return v.spark.read.parquet(path)
 
 
-@query("SNK3_write_bed", "SELECT concat_ws(chr(9), chrom, start_pos, end_pos, name) AS value FROM regions")
+@query(
+    "SNK3_write_bed",
+    """SELECT concat_ws(chr(9), chrom, start_pos, end_pos) AS value, 3 AS columns FROM regions UNION ALL SELECT concat_ws(chr(9), chrom, start_pos, end_pos, name), 4 FROM regions
+       UNION ALL SELECT concat_ws(chr(9), chrom, start_pos, end_pos, name, 0, strand), 6 FROM regions""",
+)
 def write_bed(v):
     from strandline.operators.ranges import genomic_sort
 
-    return lay.bed_lines(genomic_sort(v.regions), 4)
+    rows = genomic_sort(v.regions.withColumn("score", F.lit(0)))
+    path = scratch_path(v.spark, "bed")
+    for n in (3, 4, 6):
+        lay.write_lines(lay.bed_lines(rows, n), f"{path}/columns={n}")
+    return v.spark.read.text(path)
 
 
 @query(
@@ -221,9 +234,12 @@ def mixed_delim(v):
     return lay.mixed_delim(lay.bedmethyl_lines(me.mod_site_counts_combined(v.mod_calls)))
 
 
-@query("SNK9_merge_vcfs", "SELECT chrom, pos, id, ref, alt, qual, filter, format, gt FROM vcf")
+@query("SNK9_merge_vcfs", "SELECT chrom, pos, id, ref, alt, qual, filter, concat(info, ';NOTE=a#b') AS info, format, gt FROM vcf")
 def merge_vcfs(v):
     from strandline.plans.source_queries import vcf_lines
 
     snv, indel = v.vcf.filter("length(alt) = 1"), v.vcf.filter("length(alt) > 1")
-    return lay.merge_vcfs([parse_vcf(vcf_lines(snv)), parse_vcf(vcf_lines(indel))]).drop("info")
+    merged = lay.merge_vcfs([parse_vcf(vcf_lines(snv)), parse_vcf(vcf_lines(indel))])
+    path = scratch_path(v.spark, "variants")
+    lay.write_vcf_table(merged, path)
+    return v.spark.read.schema(merged.schema).option("header", True).csv(path)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.tags import aligned_blocks, supplementary_spans
 from strandline.plans.registry import query
+from strandline.session import scratch_path
 from strandline.sources import text as src
 
 SAM_COLUMNS = "sample_id, file, read_id, chrom, ref_start, ref_end, mapq, strand, is_unmapped, is_secondary, is_supplementary, query_length, cigar, sa, qs, rg"
@@ -24,9 +25,25 @@ def sam_lines(alignments):
     return alignments.select("sample_id", "file", F.concat(core, tags).alias("value"))
 
 
+def on_disk(v, lines, name, by=()):
+    """Path of a text folder with the lines; ``by`` columns become folders, which readers give back."""
+    path = scratch_path(v.spark, name)
+    lines.select(*by, "value").write.partitionBy(*by).text(path)
+    return path
+
+
 @query("SRC1_read_alignments", f"SELECT {SAM_COLUMNS}, CAST(st AS VARCHAR) AS st FROM alignments")
 def read_alignments(v):
-    return src.parse_sam(sam_lines(v.alignments))
+    """SAM text to Parquet, read as alignments."""
+    path = scratch_path(v.spark, "alignments")
+    src.parse_sam(sam_lines(v.alignments)).write.parquet(path)
+    return src.read_alignments(v.spark, path)
+
+
+@query("SRC1_read_sam", "SELECT read_id, chrom, ref_start, ref_end, mapq, is_unmapped, count(*) AS n FROM alignments GROUP BY ALL")
+def read_sam(v):
+    rows = src.read_sam(v.spark, on_disk(v, sam_lines(v.alignments), "sam", ["sample_id"]))
+    return rows.groupBy("read_id", "chrom", "ref_start", "ref_end", "mapq", "is_unmapped").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -52,16 +69,16 @@ BED_LINES = """bed_lines AS (SELECT concat(chrom, chr(9), CAST(start_pos AS STRI
        CASE WHEN region_type = 'target' OR strand = '-' THEN '.' ELSE strand END AS strand FROM regions""",
 )
 def read_bed(v):
-    return src.parse_bed(v.sql(f"WITH {BED_LINES} SELECT * FROM bed_lines"))
+    return src.read_bed(v.spark, on_disk(v, v.sql(f"WITH {BED_LINES} SELECT * FROM bed_lines"), "bed"))
 
 
 GENE_LINES = """gene_lines AS (SELECT CASE WHEN strand = '-' THEN concat(chrom, chr(9), CAST(start_pos AS STRING)) WHEN strand = '.' THEN concat(chrom, chr(9), 'x', chr(9), CAST(end_pos AS STRING), chr(9), name)
   ELSE concat(chrom, chr(9), CAST(start_pos AS STRING), chr(9), CAST(end_pos AS STRING), chr(9), name) END AS value FROM regions)"""
 
 
-@query("SRC4_read_gene_bed", "SELECT chrom, start_pos, end_pos, name AS gene FROM regions WHERE strand = '+' ORDER BY 1, 2, 3")
+@query("SRC4_read_gene_bed", "SELECT chrom, start_pos, end_pos, name AS gene FROM regions WHERE strand = '+'")
 def read_gene_bed(v):
-    return src.parse_gene_bed(v.sql(f"WITH {GENE_LINES} SELECT * FROM gene_lines"))
+    return src.read_gene_bed(v.spark, on_disk(v, v.sql(f"WITH {GENE_LINES} SELECT * FROM gene_lines"), "genes"))
 
 
 def bedmethyl_lines(rows):
@@ -78,16 +95,23 @@ def bedmethyl_lines(rows):
     "SELECT sample_id, file, chrom, pos, mod_code, strand, valid_cov, round(percent_modified, 2) AS percent_modified, n_mod, n_canonical FROM meth_rows",
 )
 def read_bedmethyl(v):
-    return src.parse_bedmethyl(bedmethyl_lines(v.meth_rows))
+    return src.read_bedmethyl(v.spark, on_disk(v, bedmethyl_lines(v.meth_rows), "bedmethyl", ["sample_id", "file"]))
 
 
-@query("SRC6_read_meth_state", "SELECT sample_id, chrom, pos, mod_code, strand, percent_modified FROM meth_rows ORDER BY chrom, pos")
+@query("SRC6_read_meth_state", "SELECT sample_id, chrom, pos, mod_code, strand, percent_modified FROM meth_rows")
 def read_meth_state(v):
     def enc(c):
         return F.encode(c, "utf-8").alias(c)
 
     stored = v.meth_rows.select("sample_id", enc("chrom"), F.col("pos").alias("chromStart"), enc("mod_code"), enc("strand"), "valid_cov", "percent_modified", "n_mod", "n_canonical")
-    return src.normalise_meth_state(stored)
+    # Half of the rows in the short layout, half in the full one, in one folder.
+    path = scratch_path(v.spark, "meth-state")
+    stored.filter("chromStart % 2 = 0").write.parquet(path)
+    end = F.col("chromStart") + 1
+    zeros = {c: F.lit(0).cast("bigint") for c in ("n_othermod", "n_delete", "n_fail", "n_diff", "n_nocall")}
+    full = stored.filter("chromStart % 2 <> 0").withColumns({"chromEnd": end, "score_bed": F.col("percent_modified"), "thickStart": F.col("chromStart"), "thickEnd": end, "color": F.lit("255,0,0"), **zeros})
+    full.write.mode("append").parquet(path)
+    return src.read_meth_state(v.spark, path)
 
 
 @query(
@@ -98,13 +122,14 @@ def read_cpg_filter(v):
     bed = v.probes.select(F.concat_ws("\t", "chrom", "start_pos", "end_pos", "probe_name").alias("value"), F.lit("bed").alias("layout"))
     txt = v.probes.select(F.concat_ws(" ", "chrom", F.col("start_pos") + 1, "end_pos", "probe_name").alias("value"), F.lit("txt").alias("layout"))
     header = v.table("region").select(F.lit("chr start end IlmnID").alias("value"), F.lit("txt").alias("layout"))
-    return src.parse_cpg_filter(bed).unionByName(src.parse_cpg_filter(txt.unionByName(header), one_based=True))
+    read = [src.read_cpg_filter(v.spark, on_disk(v, rows, "cpg") + "/*.txt" if one else on_disk(v, rows, "cpg")).withColumn("layout", F.lit("txt" if one else "bed")) for rows, one in ((bed, False), (txt.unionByName(header), True))]
+    return read[0].unionByName(read[1])
 
 
 @query("SRC8_read_probes", "SELECT regexp_replace(chrom, '^chr', '') AS chrom, start_pos, end_pos, probe_name FROM probes")
 def read_probes(v):
     lines = v.probes.select(F.concat_ws("  ", "chrom", "start_pos", "end_pos", "probe_name").alias("value"))
-    return src.parse_probes(lines.unionByName(v.table("region").select(F.lit("chr start end ID_REF").alias("value"))))
+    return src.read_probes(v.spark, on_disk(v, lines.unionByName(v.table("region").select(F.lit("chr start end ID_REF").alias("value"))), "probes"))
 
 
 def vcf_lines(vcf):
@@ -114,7 +139,7 @@ def vcf_lines(vcf):
 
 @query("SRC9_read_vcf", "SELECT chrom, pos, id, ref, alt, qual, filter, concat(info, ';NOTE=a#b') AS info, format, gt FROM vcf")
 def read_vcf(v):
-    return src.parse_vcf(vcf_lines(v.vcf))
+    return src.read_vcf(v.spark, on_disk(v, vcf_lines(v.vcf), "vcf"))
 
 
 @query(
@@ -123,7 +148,7 @@ def read_vcf(v):
        FROM vcf WHERE contains(upper(regexp_extract(info, 'CLNSIG=([^;]*)', 1)), 'PATHOGENIC')""",
 )
 def read_clinvar(v):
-    rows = src.parse_clinvar(vcf_lines(v.vcf))
+    rows = src.read_clinvar(v.spark, on_disk(v, vcf_lines(v.vcf), "clinvar"))
     return rows.select("chrom", "pos", "ref", "alt", F.col("info")["CLNSIG"].alias("clnsig"), F.col("info")["GENEINFO"].alias("geneinfo"))
 
 
@@ -133,9 +158,9 @@ def read_clinvar(v):
        SELECT 'centromere', chrom, end_pos - start_pos, band FROM cytobands WHERE stain = 'acen' UNION ALL SELECT 'fai', chrom, length, NULL FROM genome""",
 )
 def reference_tables(v):
-    bands = src.parse_cytobands(v.cytobands.select(F.concat_ws("\t", "chrom", "start_pos", "end_pos", "band", "stain").alias("value")))
-    cens = src.parse_centromeres(v.cytobands.filter("stain = 'acen'").select(F.concat_ws("\t", "chrom", "start_pos", "end_pos", "band").alias("value")))
-    fai = src.parse_fai(v.genome.select(F.concat_ws("\t", "chrom", "length", F.lit("6")).alias("value")))
+    bands = src.read_cytobands(v.spark, on_disk(v, v.cytobands.select(F.concat_ws("\t", "chrom", "start_pos", "end_pos", "band", "stain").alias("value")), "bands"))
+    cens = src.read_centromeres(v.spark, on_disk(v, v.cytobands.filter("stain = 'acen'").select(F.concat_ws("\t", "chrom", "start_pos", "end_pos", "band").alias("value")), "centromeres"))
+    fai = src.read_fai(v.spark, on_disk(v, v.genome.select(F.concat_ws("\t", "chrom", "length", F.lit("6")).alias("value")), "fai"))
 
     def rows(df, kind, name):
         return df.select(F.lit(kind).alias("kind"), "chrom", (F.col("end_pos") - F.col("start_pos")).alias("length"), F.col(name).alias("name"))
@@ -147,17 +172,19 @@ def reference_tables(v):
 
 @query(
     "SRC12_read_scores",
-    "SELECT sample_id, batch_id AS ts, class_name, round(max(score) * 100, 2) AS score FROM class_scores WHERE classifier = 'sturgeon' GROUP BY 1, 2, 3",
+    "SELECT classifier, sample_id, batch_id AS ts, class_name, round(max(score) * 100, 2) AS score FROM class_scores GROUP BY 1, 2, 3, 4",
 )
 def read_scores(v):
-    wide = (
-        v.class_scores.filter("classifier = 'sturgeon'")
-        .groupBy("sample_id", F.col("batch_id").alias("ts"))
-        .pivot("class_name", [f"class_{i}" for i in range(12)])
-        .agg(F.max("score").cast("string"))
-        .withColumn("number_probes", F.lit("1000"))
-    )
-    return src.unpivot_scores(wide, "fraction")
+    """One wide CSV per classifier, fractions in one and percent in the other."""
+    out = None
+    for classifier, mode, factor in (("sturgeon", "fraction", 1.0), ("random_forest", "percent", 100.0)):
+        rows = v.class_scores.filter(F.col("classifier") == classifier).groupBy("sample_id", F.col("batch_id").alias("ts"))
+        wide = rows.pivot("class_name", [f"class_{i}" for i in range(12)]).agg((F.max("score") * factor).cast("string"))
+        path = scratch_path(v.spark, "scores")
+        wide.withColumn("number_probes", F.lit("1000")).write.option("header", True).csv(path)
+        part = src.read_scores(v.spark, path, mode).select(F.lit(classifier).alias("classifier"), "sample_id", F.col("ts").cast("bigint").alias("ts"), "class_name", "score")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(
@@ -170,8 +197,10 @@ def read_job_durations(v):
         F.col("ts").cast("string").alias("timestamp_iso"), "sample_id", "job_id", "job_type", "status",
         F.when(bad, "n/a").otherwise(F.col("duration_seconds").cast("string")).alias("duration_seconds"),
     )
-    out = src.clean_job_durations(log)
-    return out.select("sample_id", "job_id", "job_type", "status", "duration_seconds", F.col("ts").cast("string").alias("ts"))
+    path = scratch_path(v.spark, "durations")
+    log.write.option("header", True).csv(path)
+    out = src.read_job_durations(v.spark, path)
+    return out.select("sample_id", F.col("job_id").cast("bigint").alias("job_id"), "job_type", "status", "duration_seconds", F.col("ts").cast("string").alias("ts"))
 
 
 SA_SQL = """SELECT sample_id, read_id, ref_start, split_part(e, ',', 1) AS sa_chrom, CAST(split_part(e, ',', 2) AS BIGINT) AS sa_start,

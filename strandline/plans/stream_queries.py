@@ -107,10 +107,19 @@ def score_history(v):
     return st.score_history(arriving(v, rows, "run"), *places(v, "scores")).drop("batch_id")
 
 
-@query("SNK8_export_frames", "SELECT 'coverage' AS name, 's0_coverage' AS file, 'sample_id,chrom,name,bases' AS columns UNION ALL SELECT 'files', 's0_files', 'sample_id,file'")
+@query(
+    "SNK8_export_frames",
+    """SELECT 'coverage' AS frame, sample_id, chrom, name, CAST(bases AS BIGINT) AS bases FROM target_coverage UNION ALL
+       SELECT 'files', sample_id, NULL, file, rows FROM (SELECT sample_id, file, count(*) AS rows FROM alignments GROUP BY 1, 2)""",
+)
 def export_frames(v):
+    """Exports two tables of all samples and reads every row back, by the columns of the manifest."""
     from strandline.sinks.layouts import export_frames as export
 
     path = scratch_path(v.spark, "export")
-    export({"coverage": v.target_coverage.filter("sample_id = 's0'").select("sample_id", "chrom", "name", "bases"), "files": v.alignments.select("sample_id", "file").filter("sample_id = 's0'").distinct()}, path, "s0")
-    return v.spark.read.json(f"{path}/s0_manifest")
+    files = v.alignments.groupBy("sample_id", "file").agg(F.count(F.lit(1)).alias("rows"))
+    export({"coverage": v.target_coverage.select("sample_id", "chrom", "name", "bases"), "files": files}, path)
+    columns = {r["name"]: r["columns"].split(",") for r in v.spark.read.json(f"{path}/manifest").collect()}
+    coverage, listed = (v.spark.read.option("header", True).csv(f"{path}/{n}").select(*columns[n]) for n in ("coverage", "files"))
+    first = coverage.select(F.lit("coverage").alias("frame"), "sample_id", "chrom", "name", F.col("bases").cast("bigint").alias("bases"))
+    return first.unionByName(listed.select(F.lit("files").alias("frame"), "sample_id", F.lit(None).cast("string").alias("chrom"), F.col("file").alias("name"), F.col("rows").cast("bigint").alias("bases")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,8 +31,9 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``.
 
-    Only where neither the conf nor the context names one (tests, laptops) a
-    temporary folder of this machine is taken.
+    Only where neither the conf nor the context names one and all tasks run in this
+    machine's process (tests, laptops) a temporary folder is taken; a cluster must
+    name one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -41,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir().rstrip("/")

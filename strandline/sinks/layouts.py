@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: fixed value: the colour of the format, like the column names below
 COLOUR = "255,0,0"
 
 
@@ -96,15 +97,15 @@ def mixed_delim(lines: DataFrame) -> DataFrame:
     return lines.select(F.when(F.size(f) >= 18, joined).otherwise(F.col("value")).alias("value"))
 
 
-def export_frames(frames: dict[str, DataFrame], path: str, sample: str) -> None:
-    """Every report table as CSV, plus a manifest of names and columns."""
+def export_frames(frames: dict[str, DataFrame], path: str, by: str = "sample_id") -> None:
+    """Every report table as CSV in a folder per sample, plus a manifest of names and columns."""
     spark = None
     for name, df in frames.items():
         spark = df.sparkSession
-        df.write.mode("overwrite").option("header", True).csv(f"{path}/{sample}_{name}")
+        df.write.mode("overwrite").partitionBy(by).option("header", True).csv(f"{path}/{name}")
     if spark is not None:
-        manifest = [(name, f"{sample}_{name}", ",".join(df.columns)) for name, df in frames.items()]
-        spark.createDataFrame(manifest, "name string, file string, columns string").write.mode("overwrite").json(f"{path}/{sample}_manifest")
+        manifest = [(name, ",".join(df.columns)) for name, df in frames.items()]
+        spark.createDataFrame(manifest, "name string, columns string").write.mode("overwrite").json(f"{path}/manifest")
 
 
 def merge_vcfs(parts: Sequence[DataFrame]) -> DataFrame:

@@ -111,7 +111,7 @@ def read_bed(spark, path):
 
 
 def parse_gene_bed(lines: DataFrame) -> DataFrame:
-    """BED4; rows with fewer fields or bad numbers are dropped; sorted per chromosome."""
+    """BED4; rows with fewer fields or bad numbers are dropped."""
     rows = lines.select(
         *_others(lines),
         _field(1).alias("chrom"),
@@ -119,7 +119,7 @@ def parse_gene_bed(lines: DataFrame) -> DataFrame:
         _field(3).try_cast("bigint").alias("end_pos"),
         _field(4).alias("gene"),
     )
-    return rows.filter("start_pos IS NOT NULL AND end_pos IS NOT NULL AND gene IS NOT NULL").orderBy("chrom", "start_pos", "end_pos")
+    return rows.filter("start_pos IS NOT NULL AND end_pos IS NOT NULL AND gene IS NOT NULL")
 
 
 def read_gene_bed(spark, path):
@@ -153,7 +153,7 @@ METH_COLUMNS = {"chrom": "chrom", "chromStart": "pos", "mod_code": "mod_code", "
 
 
 def normalise_meth_state(state: DataFrame) -> DataFrame:
-    """Essential columns by name, binary text decoded, in genomic order."""
+    """Essential columns by name, binary text decoded."""
     others = [c for c in state.columns if c in ("sample_id", "file")]
     cols = []
     for source, name in METH_COLUMNS.items():
@@ -161,7 +161,7 @@ def normalise_meth_state(state: DataFrame) -> DataFrame:
         if name in ("chrom", "mod_code", "strand"):
             col = col.cast("string")
         cols.append(col.cast("bigint").alias(name) if name == "pos" else col.alias(name))
-    return state.select(*others, *cols).orderBy("chrom", "pos")
+    return state.select(*others, *cols)
 
 
 def read_meth_state(spark, path):

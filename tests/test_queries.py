@@ -11,8 +11,8 @@ from strandline.plans.views import TABLES
 
 SF = "/root/testdata/sf0.001"
 QUICK = ["JN1_interval_overlap", "WIN4_merge_overlapping", "AGG1_file_qc", "AGG13_genome_coverage", "WIN12_iqr_outliers", "AGG4_mod_site_counts_combined", "AGG26_gene_tags",
-         "AGG32_validated_fusions", "AGG41_cnv_events", "AGG23_vcf_annotations", "AGG48_calibrate_scores", "STM4_stream_methylation", "SRC1_read_alignments"]
-NAMES = list(entry_point.queries()) if os.environ.get("ALL_QUERIES") else QUICK
+         "AGG32_validated_fusions", "AGG41_cnv_events", "AGG23_vcf_annotations", "AGG48_calibrate_scores", "STM4_stream_methylation", "SRC1_read_alignments", "SEG1_change_points", "SNK8_export_frames", "AGG36_fusion_funnel", "SRC12_read_scores"]
+NAMES = [n for n in entry_point.queries() if not n.startswith("op") and n != "pipeline"] if os.environ.get("ALL_QUERIES") else QUICK
 
 
 def norm(v):
@@ -49,8 +49,10 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_sql_has_a_query():
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == {"SEG1_change_points"}
+    core = {n for n in entry_point.queries() if not n.startswith("op") and n != "pipeline"}
+    assert core <= set(entry_point.oracle_sql())
 
 
 def test_entry_has_a_stable_schema(spark):
-    assert entry_point.entry(spark).columns == ["sample_id", "tag", "reads"]
+    found = entry_point.entry(spark)
+    assert found.columns == ["sample_id", "tag", "reads"] and found.count() > 0
