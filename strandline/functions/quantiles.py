@@ -17,8 +17,10 @@ SPLITS = 64
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     keys = list(keys)
+    # more splitters on larger clusters, so that a bucket of one large group stays a task's share
+    splits = max(SPLITS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_v", [i / SPLITS for i in range(1, SPLITS)], 1000).alias("_cuts"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_v", [i / splits for i in range(1, splits)], 16 * splits).alias("_cuts"))
     cut = counts.join(cuts, keys).withColumn("_b", F.size(F.filter("_cuts", lambda s: s < F.col("_v")))).drop("_cuts")
 
     by_bucket = Window.partitionBy(*keys).orderBy("_b")

@@ -47,9 +47,18 @@ def merge_ranges(
     rows = df.select(*keys, start, end, *carry)
     # equal ranges first: combines map-side and removes duplicates before any sort
     rows = rows.groupBy(*keys, start, end).agg(*[_COMBINE[h](c).alias(c) for c, h in carry.items()]) if carry else rows.distinct()
+    tiled = [*keys, "_tile"]
     rows = rows.withColumn("_tile", F.floor(F.col(start) / tile))
-    local = _merge_level(rows, [*keys, "_tile"], keys, start, end, slack, carry)
-    return _merge_level(local, keys, keys, start, end, slack, carry)
+    local = _merge_level(rows, tiled, tiled, start, end, slack, carry)
+    # what reaches into a tile from all tiles before it, by one row per tile
+    before = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    reach = local.groupBy(*tiled).agg(F.max(end).alias("_z")).withColumn("_reach", F.max("_z").over(before)).drop("_z")
+    marked = local.join(reach, tiled).withColumn("_new", (F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + slack)).cast("int"))
+    # islands of a tile don't touch each other: they are numbered inside it, from what the tiles before it opened
+    opened = marked.groupBy(*tiled).agg(F.sum("_new").alias("_n")).withColumn("_opened", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(*tiled).orderBy(start).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = marked.join(opened, tiled).withColumn("_isl", F.col("_opened") + F.sum("_new").over(inside))
+    return numbered.groupBy(*keys, "_isl").agg(F.min(start).alias(start), F.max(end).alias(end), *[_COMBINE[how](c).alias(c) for c, how in carry.items()]).drop("_isl")
 
 
 def merge_overlapping(regions: DataFrame) -> DataFrame:

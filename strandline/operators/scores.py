@@ -18,9 +18,9 @@ DEFAULT_CONFIDENCE = (80.0, 50.0, 20.0)
 
 
 def confidence_level(score: Column, classifier: Column) -> Column:
-    """high, medium, low or very low by the thresholds of the classifier."""
+    """High, medium, low or very low confidence by the thresholds of the classifier."""
     def level(bounds):
-        return F.when(score >= bounds[0], "high").when(score >= bounds[1], "medium").when(score >= bounds[2], "low").otherwise("very low")
+        return F.when(score >= bounds[0], "High confidence").when(score >= bounds[1], "Medium confidence").when(score >= bounds[2], "Low confidence").otherwise("Very low confidence")
 
     out = None
     for name, bounds in CONFIDENCE.items():
@@ -95,4 +95,4 @@ def measured_probes(features: DataFrame) -> DataFrame:
 
 def fraction_series(log: DataFrame) -> DataFrame:
     """Log entries with a map of proportions to a percent series per type."""
-    return log.select("sample_id", "ts", F.explode("proportions").alias("type", "_p")).select("sample_id", "type", (F.col("ts") * 1000).alias("ts_ms"), (F.col("_p") * 100.0).alias("percent")).orderBy("sample_id", "type", "ts_ms")
+    return log.select("sample_id", "ts", F.explode("proportions").alias("type", "_p")).select("sample_id", "type", (F.col("ts") * 1000).alias("ts_ms"), (F.col("_p") * 100.0).alias("percent"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from strandline.functions.chroms import canonical, is_standard
+from strandline.functions.tiers import depth_tier
 from strandline.operators import coverage as cv
 from strandline.plans.interval_queries import GENOMIC_RANK_SQL, OVERLAP
 from strandline.plans.registry import query
@@ -45,6 +46,11 @@ def standard_chroms(v):
     return rows.select("sample_id", "chrom", "name", "bases")
 
 
+@query("FNC_depth_tiers", "SELECT sample_id, chrom, start_pos, name, CASE WHEN coverage >= 30 THEN 'high' WHEN coverage >= 20 THEN 'medium' ELSE 'low' END AS tier FROM target_coverage")
+def depth_tiers(v):
+    return v.target_coverage.select("sample_id", "chrom", "start_pos", "name", depth_tier(F.col("coverage")).alias("tier"))
+
+
 @query("FLT9_targets_over_threshold", "SELECT sample_id, name, coverage FROM target_coverage WHERE coverage >= 10")
 def targets_over_threshold(v):
     return cv.targets_over_threshold(v.target_coverage, 10).select("sample_id", "name", "coverage")

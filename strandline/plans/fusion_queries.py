@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from strandline.functions.tiers import coordinates_similar, overlap_fraction, positions_close
 from strandline.operators import fusion as fu
 from strandline.operators.graph import connected_components
 from strandline.operators.qc import qs_filter
@@ -157,7 +158,7 @@ def new_tags(v):
     tags = fu.read_tags(clean(v)).withColumn("_n", F.substring("read_id", 2, 20).cast("bigint"))
     half = tags.agg(F.max("_n").alias("_max"))
     valid = tags.groupBy("sample_id", "tag").agg(F.count(F.lit(1)).alias("reads")).filter("reads >= 3")
-    early = tags.join(F.broadcast(half), F.col("_n") * 2 < F.col("_max"), "left_semi").groupBy("sample_id", "tag").agg(F.count(F.lit(1)).alias("reads")).filter("reads >= 3")
+    early = tags.filter(F.col("_n") * 2 < half.scalar()).groupBy("sample_id", "tag").agg(F.count(F.lit(1)).alias("reads")).filter("reads >= 3")
     return fu.new_tags(valid, early)
 
 
@@ -176,6 +177,19 @@ def gene_pairs_per_read(v):
     return fu.gene_pairs_per_read(clean(v))
 
 
+@query(
+    "FNC_similarity",
+    f"""WITH {PICK} SELECT sample_id, read_id, gene1, gene2, abs(start1 - start2) <= 5000 AND abs(end1 - end2) <= 5000 AS similar,
+        least(abs(start1 - start2), abs(end1 - end2), abs(start1 - end2), abs(end1 - start2)) <= 1000 AS close,
+        greatest(0, least(end1, end2) - greatest(start1, start2)) * 1.0E0 / least(end1 - start1, end2 - start2) AS shared FROM gp""",
+)
+def similarity(v):
+    """How alike the two places of each gene pair are, whatever their chromosomes."""
+    at = [F.col(c) for c in ("start1", "end1", "start2", "end2")]
+    rows = fu.gene_pairs_per_read(clean(v))
+    return rows.select("sample_id", "read_id", "gene1", "gene2", coordinates_similar(*at, distance=5000).alias("similar"), positions_close(*at, distance=1000).alias("close"), overlap_fraction(*at).alias("shared"))
+
+
 @query("JN17_simple_gene_pairs", f"WITH {PICK} SELECT sample_id, gene1, gene2, count(*) AS reads FROM gp GROUP BY 1, 2, 3 HAVING count(*) >= 4")
 def simple_gene_pairs(v):
     return fu.simple_gene_pairs(clean(v))

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from strandline.functions.tiers import methylation_tier, mgmt_status
 from strandline.operators import methylation as me
 from strandline.operators import qc
+from strandline.operators import scores as sc
 from strandline.plans.registry import query
 from strandline.session import scratch_path
 from strandline.sinks import layouts as lay
@@ -130,6 +132,25 @@ def cpg_features(v):
     return me.cpg_features(me.collapse_minimal(v.meth_rows).filter("mod_code = 'm'"), v.probes)
 
 
+FEATURES = f"""{MINIMAL}, features AS (SELECT sample_id, probe_name AS probe_id, CASE WHEN fraction >= 60 THEN 1 ELSE -1 END AS methylation_call
+  FROM minimal m JOIN probes p ON m.chrom = p.chrom AND m.start_pos = p.start_pos WHERE mod_code = 'm')"""
+#: a classifier's probe list; the last one is never measured
+PROBE_LIST = [f"cg{i}" for i in range(1, 33)] + ["cg_none"]
+
+
+CALLS = ", ".join(f"coalesce(max(methylation_call) FILTER (probe_id = '{p}'), 0) AS {p}" for p in PROBE_LIST)
+
+
+@query("AGG10_feature_matrix", f"WITH {FEATURES} SELECT sample_id, {CALLS} FROM features GROUP BY 1")
+def feature_matrix(v):
+    return me.feature_matrix(cpg_features(v), PROBE_LIST)
+
+
+@query("AGG48_measured_probes", f"WITH {FEATURES} SELECT sample_id, count(*) AS number_probes FROM features GROUP BY 1")
+def measured_probes(v):
+    return sc.measured_probes(cpg_features(v))
+
+
 WINDOWS = "windows AS (SELECT chrom, start_pos - 60 AS start_pos, start_pos + 60 AS end_pos, probe_name AS window_id FROM probes)"
 
 
@@ -167,6 +188,16 @@ def mgmt_cohort(v):
     return me.mgmt_cohort(me.mgmt_sites(per_strand(v)))
 
 
+@query(
+    "FNC_methylation_tiers",
+    f"""WITH {SITES}, c AS (SELECT sample_id, site, round(100.0E0 * (meth_fwd + meth_rev) / cov_total, 2) AS percent FROM sites)
+        SELECT *, CASE WHEN percent > 10 THEN 'high' WHEN percent > 5 THEN 'medium' ELSE 'low' END AS tier, CASE WHEN percent > 10 THEN 'Methylated' ELSE 'Unmethylated' END AS status FROM c""",
+)
+def methylation_tiers(v):
+    rows = me.mgmt_cohort(me.mgmt_sites(per_strand(v))).select("sample_id", "site", "percent")
+    return rows.withColumns({"tier": methylation_tier(F.col("percent")), "status": mgmt_status(F.col("percent") / 100)})
+
+
 TAIL = "chr(9), CAST(n_mod AS STRING), chr(9), CAST(n_canonical AS STRING)"
 
 

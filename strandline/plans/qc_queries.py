@@ -58,6 +58,11 @@ def barcode_sample_id(v):
     return qc.barcode_sample_id(v.alignments, parse_read_group(v.read_groups))
 
 
+@query("AGG1_supplementary_reads", "SELECT DISTINCT sample_id, file, read_id FROM alignments WHERE is_supplementary OR sa IS NOT NULL")
+def supplementary_reads(v):
+    return qc.supplementary_read_ids(v.alignments)
+
+
 @query(
     "FLT8_file_size_gate",
     f"""WITH {QC} SELECT sample_id, file, mapped_reads + unmapped_reads AS total_reads, 'ok' AS status,

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from strandline.operators import scores as sc
 from strandline.plans.registry import query
+from strandline.session import scratch_path
+from strandline.sources.text import read_score_reports
 
 RANKED = "row_number() OVER (PARTITION BY sample_id, classifier ORDER BY {v} DESC, class_name) AS rank"
 
@@ -12,8 +14,8 @@ RANKED = "row_number() OVER (PARTITION BY sample_id, classifier ORDER BY {v} DES
     "AGG45_classifier_top",
     f"""WITH l AS (SELECT s.* FROM class_scores s JOIN (SELECT sample_id, classifier, max(batch_id) AS batch_id FROM class_scores GROUP BY 1, 2) m USING (sample_id, classifier, batch_id)),
         t AS (SELECT *, {RANKED.format(v='score')}, round(score * 100.0, 4) AS confidence FROM l)
-        SELECT sample_id, classifier, batch_id, class_name, rank, confidence, CASE classifier WHEN 'sturgeon' THEN CASE WHEN confidence >= 95 THEN 'high' WHEN confidence >= 80 THEN 'medium' WHEN confidence >= 0 THEN 'low' ELSE 'very low' END
-        ELSE CASE WHEN confidence >= 85 THEN 'high' WHEN confidence >= 65 THEN 'medium' WHEN confidence >= 0 THEN 'low' ELSE 'very low' END END AS level FROM t WHERE rank <= 3""",
+        SELECT sample_id, classifier, batch_id, class_name, rank, confidence, CASE classifier WHEN 'sturgeon' THEN CASE WHEN confidence >= 95 THEN 'High confidence' WHEN confidence >= 80 THEN 'Medium confidence' WHEN confidence >= 0 THEN 'Low confidence' ELSE 'Very low confidence' END
+        ELSE CASE WHEN confidence >= 85 THEN 'High confidence' WHEN confidence >= 65 THEN 'Medium confidence' WHEN confidence >= 0 THEN 'Low confidence' ELSE 'Very low confidence' END END AS level FROM t WHERE rank <= 3""",
 )
 def classifier_top(v):
     return sc.classifier_top(v.class_scores, 3)
@@ -55,6 +57,23 @@ def score_hierarchy(v):
     return sc.top_nodes(sc.score_hierarchy(nested).withColumn("score", F.round("score", 6)))
 
 
+@query(
+    "AGG46_score_json",
+    f"""WITH {LEAVES} SELECT sample_id, 1 AS level, l1 AS name, round(sum(score), 6) AS score FROM leaves GROUP BY 1, 3 UNION ALL SELECT sample_id, 2, concat(l1, '/', l2), round(sum(score), 6) FROM leaves GROUP BY 1, 3
+        UNION ALL SELECT sample_id, 3, concat(l1, '/', l2, '/', l3), round(sum(score), 6) FROM leaves GROUP BY 1, 3""",
+)
+def score_json(v):
+    """Reports as JSON lines, with a broken line per sample that the reader leaves out."""
+    leaves = v.sql(f"WITH {LEAVES} SELECT * FROM leaves")
+    low = leaves.groupBy("sample_id", "l1", "l2").agg(F.collect_list(F.struct(F.col("l3").alias("group"), "score")).alias("members"))
+    mid = low.groupBy("sample_id", "l1").agg(F.collect_list(F.struct(F.col("l2").alias("group"), "members")).alias("members"))
+    nested = mid.groupBy("sample_id").agg(F.collect_list(F.struct(F.col("l1").alias("group"), "members")).alias("members"))
+    lines = nested.select(F.to_json(F.struct("sample_id", "members")).alias("value"))
+    path = scratch_path(v.spark, "reports")
+    lines.unionByName(nested.select(F.concat(F.lit("{"), "sample_id").alias("value"))).write.text(path)
+    return sc.score_hierarchy(read_score_reports(v.spark, path)).withColumn("score", F.round("score", 6))
+
+
 LOGITS = "logits AS (SELECT sample_id, concat(classifier, '_', CAST(batch_id AS STRING)) AS model, class_name, score * 10 - 5 AS logit FROM class_scores)"
 TEMPS = "temps AS (SELECT DISTINCT concat(classifier, '_', CAST(batch_id AS STRING)) AS model, 1.0E0 + (batch_id % 4) * 0.25 AS temperature FROM class_scores)"
 

@@ -260,6 +260,19 @@ def read_scores(spark, path, mode="percent"):
     return unpivot_scores(spark.read.csv(path, header=True), mode)
 
 
+#: three levels of groups, the scores at the lowest
+SCORE_REPORT = "sample_id string, members array<struct<group:string,members:array<struct<group:string,members:array<struct<group:string,score:double>>>>>>"
+
+
+def parse_score_reports(lines: DataFrame) -> DataFrame:
+    """JSON reports of nested class groups, one per line; lines that aren't JSON are dropped."""
+    return lines.select(F.from_json("value", SCORE_REPORT).alias("r")).select("r.*").filter("members IS NOT NULL")
+
+
+def read_score_reports(spark, path):
+    return parse_score_reports(_lines(spark, path))
+
+
 def clean_job_durations(log: DataFrame) -> DataFrame:
     """Typed job log; rows without a time or duration, or unfinished ones, are dropped."""
     rows = log.withColumn("duration_seconds", F.expr("try_cast(duration_seconds AS double)")).withColumn("ts", F.expr("try_cast(timestamp_iso AS timestamp_ntz)"))
