@@ -20,13 +20,19 @@ FAN = 1 << BITS
 TILE = 1 << 16
 
 
-def with_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], tile: Column, name: str) -> DataFrame:
-    """0-based position per key; ``tile`` must not decrease in the given order.
+def with_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], by: Column, name: str) -> DataFrame:
+    """0-based position per key; ``by`` is the first of ``order`` as a number.
 
     Rows are numbered inside tiles, and a tile starts after all earlier ones.
+    Approximate quantiles of ``by`` cut the tiles, so that they hold about equally
+    many rows however the values crowd; positions don't depend on the cuts. More
+    than one tile's share of equal values stays together.
     """
     keys = list(keys)
-    rows = df.withColumn("_t", tile)
+    n = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.withColumn("_by", by.cast("double"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_by", [i / n for i in range(1, n)], 16 * n).alias("_cuts"))
+    rows = rows.join(cuts, keys).withColumn("_t", F.size(F.filter("_cuts", lambda c: c < F.col("_by")))).drop("_cuts", "_by")
     sizes = rows.groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
@@ -51,16 +57,16 @@ def _counts_before(rows: DataFrame, points: DataFrame, node: Sequence[str]) -> D
 
 def rolling_median(
     log: DataFrame, key: str = "job_type", order: Sequence[str] = ("ts", "job_id"), value: str = "duration_seconds", least: int = 5, shortest: int = 10, share: int = 20,
-    time_tile: Column | None = None,
+    time_number: Column | None = None,
 ) -> DataFrame:
     """Median of the last ``max(shortest, n // share)`` values per key, from ``least`` values on.
 
     Groups with fewer than ``shortest`` rows are left out.
     """
-    tile = F.to_date(F.col(order[0])) if time_tile is None else time_tile
+    time = F.col(order[0]).cast("timestamp").cast("double") if time_number is None else time_number
     sizes = log.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= shortest)
-    rows = with_index(log.join(sizes, key), [key], order, tile, "_i")
-    rows = cut_lineage(with_index(rows, [key], [value, *order], F.floor(F.col(value)), "_r"))
+    rows = with_index(log.join(sizes, key), [key], order, time, "_i")
+    rows = cut_lineage(with_index(rows, [key], [value, *order], F.col(value), "_r"))
     ranks = rows.select(key, F.col("_i").alias("pos"), F.col("_r").alias("r"))
     largest = rows.agg(F.max("_n")).first()[0]
     if largest is None:

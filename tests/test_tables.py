@@ -175,5 +175,5 @@ def test_rolling_median_equals_pandas(spark, monkeypatch):
             med = g["duration_seconds"].rolling(max(10, len(g) // 20), min_periods=5).median()
             want.update({(k, j): None if np.isnan(m) else m for j, m in zip(g["job_id"], med)})
     df = spark.createDataFrame(data, "job_type string, job_id long, duration_seconds double")
-    got = rolling.rolling_median(df, order=["job_id"], time_tile=F.expr("job_id div 50"))
+    got = rolling.rolling_median(df, order=["job_id"], time_number=F.col("job_id"))
     assert {(r["job_type"], r["job_id"]): r["rolling_median"] for r in got.collect()} == pytest.approx(want)
