@@ -15,10 +15,10 @@ from strandline.session import scratch_path
 from strandline.streaming import pipelines as st
 
 
-def arriving(v, df, key, files=4, per_batch=2):
-    """The rows of ``df`` as a stream over ``files`` files; a key stays in one file."""
+def arriving(v, df, key=None, files=4, per_batch=2):
+    """The rows of ``df`` as a stream over ``files`` files; a ``key`` stays in one file, without one all keys are in all batches."""
     path = scratch_path(v.spark, "arriving")
-    df.repartition(files, key).write.parquet(path)
+    (df.repartition(files, key) if key else df.repartition(files)).write.parquet(path)
     return st.stream_alignments(v.spark, path, v.spark.read.parquet(path).schema, per_batch, include="*.parquet")
 
 
@@ -29,7 +29,7 @@ def places(v, name):
 @query("SRC14_stream_alignments", "SELECT sample_id, file, count(*) AS n FROM alignments GROUP BY 1, 2")
 def stream_alignments(v):
     out, ck = places(v, "rows")
-    st.drain(arriving(v, v.alignments, "file"), lambda df, n: st.put(df.groupBy("sample_id", "file").agg(F.count(F.lit(1)).alias("n")), out, n), ck)
+    st.drain(arriving(v, v.alignments), lambda df, n: st.put(df.groupBy("sample_id", "file").agg(F.count(F.lit(1)).alias("n")), out, n), ck)
     return v.spark.read.parquet(out).groupBy("sample_id", "file").agg(F.sum("n").alias("n"))
 
 
@@ -47,7 +47,7 @@ def micro_batches(v):
        CAST(sum(CASE WHEN NOT is_secondary THEN query_length ELSE 0 END) AS BIGINT) AS bases, count(*) FILTER (is_supplementary) AS supplementary_rows FROM alignments GROUP BY 1""",
 )
 def stream_qc(v):
-    return st.stream_qc(arriving(v, v.alignments, "file"), *places(v, "qc"))
+    return st.stream_qc(arriving(v, v.alignments), *places(v, "qc"))
 
 
 @query(
@@ -57,7 +57,7 @@ def stream_qc(v):
 )
 def stream_coverage(v):
     panel = v.regions.select("chrom", "start_pos", "end_pos", F.col("target_id").alias("name"))
-    parts = st.stream_coverage(arriving(v, v.alignments, "file"), panel, *places(v, "coverage"))
+    parts = st.stream_coverage(arriving(v, v.alignments), panel, *places(v, "coverage"))
     return cv.coverage_merge([parts], cv.TARGET, ["bases"])
 
 
@@ -66,17 +66,17 @@ def stream_coverage(v):
     "SELECT sample_id, chrom, pos, CAST(sum(valid_cov) AS BIGINT) AS valid_cov, CAST(sum(n_mod) AS BIGINT) AS n_mod, CAST(sum(n_canonical) AS BIGINT) AS n_canonical FROM meth_rows GROUP BY 1, 2, 3",
 )
 def stream_methylation(v):
-    return st.stream_methylation(arriving(v, v.meth_rows, "file"), *places(v, "methylation"))
+    return st.stream_methylation(arriving(v, v.meth_rows), *places(v, "methylation"))
 
 
 @query("STM5_stream_cnv", f"WITH {TRACK} SELECT * FROM raw_track")
 def stream_cnv(v):
-    return st.stream_cnv(arriving(v, v.cnv_starts, "ref_start"), *places(v, "cnv"))
+    return st.stream_cnv(arriving(v, v.cnv_starts), *places(v, "cnv"))
 
 
 @query("STM6_stream_fusion_tags", f"WITH {TAGS} SELECT DISTINCT sample_id, read_id, tag FROM good")
 def stream_fusion_tags(v):
-    return st.stream_fusion_tags(arriving(v, v.alignments, "file"), v.regions, *places(v, "tags")).drop("batch_id")
+    return st.stream_fusion_tags(arriving(v, v.alignments), v.regions, *places(v, "tags"))
 
 
 @query(
@@ -92,13 +92,13 @@ def stream_breakpoint_clusters(v):
 
 @query("STM8_stage_and_accumulate", "SELECT sample_id, count(*) AS rows FROM meth_rows GROUP BY 1")
 def stage_and_accumulate(v):
-    folded = st.stage_and_accumulate(arriving(v, v.meth_rows, "file"), *places(v, "staged"), limit=10)
+    folded = st.stage_and_accumulate(arriving(v, v.meth_rows, files=12, per_batch=1), *places(v, "staged"), limit=10)
     return folded.groupBy("sample_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("STM9_idempotent_files", "SELECT DISTINCT sample_id, file FROM alignments")
 def idempotent_files(v):
-    return st.idempotent_files(arriving(v, v.alignments, "sample_id"), *places(v, "files"))
+    return st.idempotent_files(arriving(v, v.alignments), *places(v, "files"))
 
 
 @query("STM10_score_history", "SELECT sample_id, classifier, batch_id AS run, class_name, score FROM class_scores")
