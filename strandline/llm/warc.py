@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import small_batches, stored
 from strandline.session import scratch_path
 
-MAGIC = b"\x1f\x8b\x08"
+MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 #: Bytes of a range that one task scans, and of one read beyond it.
 SPLIT, READ = 8 << 20, 1 << 20
 #: A member is a record if its head ends within so many bytes.
@@ -98,12 +98,14 @@ def _member(parts: Iterator[bytes]) -> tuple[dict[str, str], bytes, int] | None:
     """Head, block and compressed size of the member that ``parts`` begin with; None if it isn't one of a record."""
     unpack = zlib.decompressobj(31)
     out: list[bytes] = []
-    fed = 0
+    fed, first = 0, b""
     try:
         for part in parts:
             fed += len(part)
             out.append(unpack.decompress(part))
-            if len(out) == 1 and not out[0].startswith(b"WARC/1."):
+            # The first parts may be too short to unpack to anything.
+            first = first if len(first) >= len(VERSION) else first + out[-1]
+            if not VERSION.startswith(first[: len(VERSION)]):
                 return None
             if unpack.eof:
                 break
