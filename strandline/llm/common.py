@@ -56,6 +56,18 @@ def learnable(doc_id: Column) -> Column:
     return doc_id.isNotNull() & ~held_out(doc_id)
 
 
+def bounded_sample(rows: DataFrame, label: str, key: str, most: Column) -> DataFrame:
+    """At most ``most`` rows of each label, those first in hash order of ``key``, with their number ``_n``.
+
+    Rows are thinned by their hash to about twice what is wanted before they meet,
+    so that what a label's window sees doesn't grow with the table.
+    """
+    counts = stored(rows.groupBy(label).agg(F.count(F.lit(1)).alias("_rows")), "label-counts")
+    near = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < (2.0 * most + 200) / F.col("_rows") * float(1 << 30)
+    order = Window.partitionBy(label).orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key)
+    return rows.join(counts, label).filter(near).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_rows")
+
+
 def rows_with(docs: DataFrame, keys: dict[str, Column], plan: DataFrame) -> DataFrame:
     """Rows of ``docs`` joined with the rows of ``plan`` that have the same keys, nulls included.
 

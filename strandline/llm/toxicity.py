@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from strandline.llm.common import held_out, learnable, small_batches, text_of
+from strandline.llm.common import bounded_sample, held_out, learnable, small_batches, text_of
 
 #: Bound of the training sample: rows of label 1 and 0, and code points of all rows of a label.
 TOXIC_ROWS, ORDINARY_ROWS, LABEL_CHARS = 2500, 5000, 40_000_000
@@ -148,8 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     marks = labels.filter(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     rows = docs.filter(learnable(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), text_of().alias("_text"))
     ids = rows.select("_id", F.length("_text").cast("long").alias("_chars")).join(marks, "_id")
-    order = Window.partitionBy("_toxic").orderBy(F.xxhash64("_id"), "_id")
-    ids = ids.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= F.when(F.col("_toxic") == 1, TOXIC_ROWS).otherwise(ORDINARY_ROWS))
+    ids = bounded_sample(ids, "_toxic", "_id", F.when(F.col("_toxic") == 1, TOXIC_ROWS).otherwise(ORDINARY_ROWS))
+    order = Window.partitionBy("_toxic").orderBy("_n")
     ids = ids.withColumn("_sum", F.sum("_chars").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_sum") <= LABEL_CHARS)
     # The sample has TOXIC_ROWS + ORDINARY_ROWS ids at most, whatever the input.
     sample = rows.join(F.broadcast(ids.select("_id", "_toxic").distinct()), "_id").select("_id", "_text", "_toxic").dropDuplicates().toPandas().sort_values(["_id", "_text"])
