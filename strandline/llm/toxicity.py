@@ -72,10 +72,10 @@ def features(text: str | None, ordinary: bytes, toxic: bytes) -> list[float]:
     return [float(best[0]), float(best[:2].mean()), float(best.mean()), float(saved.mean()), *shares, *np.sqrt(shares).tolist(), float(np.log1p(n)), float(best.mean() / np.log1p(n + 3))]
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
+def _trained(samples: list[bytes], size: int, segment: int = 16, match: int = 6) -> bytes:
     """The content that zstandard's trainer picks, without its tables; of few samples, their own bytes."""
     try:
-        return zstandard.train_dictionary(size + 2000, samples, k=16, d=6, level=3).as_bytes()[-size:]
+        return zstandard.train_dictionary(size + 2000, samples, k=segment, d=match, level=3).as_bytes()[-size:]
     except zstandard.ZstdError:
         return b"".join(samples)[-size:] or b"\x00" * 8
 
@@ -120,7 +120,8 @@ def train(texts: list[str], toxic: list[int], seed: int = 1) -> Model:
     plain = [w for t in good for w in windows(t)]
     common = _trained(_pick(plain, TRAIN_WINDOWS, rng), COMMON)
     own = _trained(_pick(plain, TRAIN_WINDOWS, rng), OWN)
-    marked = _trained(passages or [w for t in bad for w in windows(t)], OWN)
+    # Long segments keep passages whole; ordinary text has no such ends.
+    marked = _trained(passages or [w for t in bad for w in windows(t)], OWN, segment=48, match=8)
     ordinary, toxic_dict = own + common, marked + common
     x = np.array([features(texts[i], ordinary, toxic_dict) for i in check])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from html import unescape
 
 import duckdb
 import numpy as np
@@ -276,7 +277,7 @@ def test_pages_keep_their_rows(spark):
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
     for r in pages.collect():
         article = r.html[r.html.index("<article>") :].split("</article>")[0].split("<footer")[0]
-        blocks = [re.sub(r"\s+", " ", re.sub("<[^>]*>", "", b)).strip() for b in re.split("</?(?:p|h1)>", article)]
+        blocks = [re.sub(r"\s+", " ", unescape(re.sub("<[^>]*>", "", b))).strip() for b in re.split("</?(?:p|h1)>", article)]
         assert got[r.page_id].text == "\n\n".join(b for b in blocks if b) and got[r.page_id].n_chars == len(got[r.page_id].text) and got[r.page_id].url == r.url
     odd = spark.createDataFrame([(1, None, None, "t"), (1, None, None, "t"), (None, "u", "<p>x", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_text.extract(odd).collect()) == [("", 0), ("", 0), ("x", 1)]
