@@ -26,8 +26,8 @@ from strandline.llm.common import small_batches, text_of
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: The mark of a blank, which begins words.
 BLANK = "▁"
-#: Words whose encoding a worker remembers between batches, and bytes of text that are matched at once.
-REMEMBERED, BATCH_CHARS = 500_000, 4_000_000
+#: Words whose encoding a worker remembers between batches, code points of texts cut into words at once, and of new words matched at once.
+REMEMBERED, TEXT_CHARS, NEW_CHARS = 400_000, 2_000_000, 600_000
 #: A word begins at a blank; a line end, which no piece holds, stands alone.
 WORDS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
 NONE, START = -1, -2
@@ -238,8 +238,20 @@ class Encoder:
         return np.array(ids, dtype="<i4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of whole texts. Null and empty texts have none."""
-        cut = [WORDS.findall((BLANK + t.replace(" ", BLANK)) if t else "") for t in texts]
+        """Ids of whole texts, some texts at a time. Null and empty texts have none."""
+        out: list[np.ndarray] = []
+        some: list[str] = []
+        size = 0
+        for text in texts:
+            some.append((BLANK + text.replace(" ", BLANK)) if text else "")
+            size += len(some[-1])
+            if size >= TEXT_CHARS:
+                out += self._encode(some)
+                some, size = [], 0
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [WORDS.findall(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
         known = self.known
@@ -249,7 +261,7 @@ class Encoder:
                 if w not in known and w not in fresh:
                     fresh.add(w)
                     waiting += len(w)
-            if waiting > BATCH_CHARS:
+            if waiting > NEW_CHARS:
                 self._learn(fresh)
                 fresh, waiting = set(), 0
         self._learn(fresh)
