@@ -16,6 +16,7 @@ HEADLINE = [
     "JN1_interval_overlap", "JN4_extract_target_reads", "WIN4_merge_overlapping", "AGG1_file_qc", "AGG13_genome_coverage", "AGG14_target_coverage",
     "WIN9_coverage_over_time", "AGG4_mod_site_counts_combined", "AGG9_probe_calls", "AGG26_gene_tags", "AGG27_overlap_artifacts", "AGG32_validated_fusions",
     "AGG37_cnv_bin_counts", "AGG41_cnv_events", "AGG19_pileup", "AGG23_vcf_annotations", "AGG45_classifier_top",
+    "AGG29_cluster_dbscan", "AGG31_master_bed_events", "AGG36_fusion_funnel", "AGG43_cytoband_states_data", "WIN16_rolling_median", "STM6_stream_fusion_tags",
 ]
 
 

@@ -6,7 +6,6 @@ import re
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 
@@ -56,8 +55,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def keep(df):
-    """Cached for reuse in one plan; lost blocks are recomputed from the lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """For reuse in one plan: written once below the shared folder, so that nothing stays in the executors' memory."""
+    return cut_lineage(df)
 
 
 def cut_lineage(df):
