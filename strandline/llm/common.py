@@ -12,7 +12,7 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of one Arrow batch, so that a run of long texts doesn't fill a worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def drop_stored(*tables: DataFrame) -> None:
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes and rows for the session that runs Python over long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

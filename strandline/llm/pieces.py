@@ -27,7 +27,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: The mark of a blank, which begins words.
 BLANK = "▁"
 #: Words whose encoding a worker remembers between batches, code points of texts cut into words at once, and of new words matched at once.
-REMEMBERED, TEXT_CHARS, NEW_CHARS = 400_000, 2_000_000, 600_000
+REMEMBERED, TEXT_CHARS, NEW_CHARS = 300_000, 1_500_000, 250_000
 #: A word begins at a blank; a line end, which no piece holds, stands alone.
 WORDS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
 NONE, START = -1, -2
