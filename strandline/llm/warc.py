@@ -20,8 +20,8 @@ from strandline.session import scratch_path
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 #: Bytes of a range that one task scans, and of one read beyond it.
 SPLIT, READ = 8 << 20, 1 << 20
-#: A member is a record if its head ends within so many bytes.
-HEAD = 64 << 10
+#: Bytes that are unpacked at once.
+CHUNK = 64 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Pages have no time of their own.
 DATE = "2000-01-01T00:00:00Z"
@@ -60,10 +60,11 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes ``pages`` (page_id, url, payload, refers_to, revisit), one archive per partition; gives (path, size, records).
+def write_archives(pages: DataFrame, folder: str, split: int = SPLIT) -> DataFrame:
+    """Writes ``pages`` (page_id, url, payload, refers_to, revisit), one archive per partition; gives (path, size, records, starts).
 
-    Every attempt of a task writes a file of its own name. Only the files that the
+    ``starts`` has the number of records that begin in each range of ``split``
+    bytes; ``records`` is their sum. Every attempt of a task writes a file of its own name. Only the files that the
     returned table names are part of the result, so lost or doubled tasks leave no
     record twice. The table must be stored before it is used.
     """
@@ -72,6 +73,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         system, base = _open(folder)
         system.create_dir(base, recursive=True)
         name, size, n, out = f"{uuid.uuid4().hex}.warc.gz", 0, 0, None
+        starts: list[int] = []
         for batch in batches:
             for row in batch.itertuples(index=False):
                 out = out or system.open_output_stream(f"{base}/{name}", compression=None)
@@ -79,14 +81,18 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 page, to = none(row.page_id), none(row.refers_to)
                 member = record(None if page is None else int(page), none(row.url), row.payload, None if to is None else int(to), bool(row.revisit))
                 out.write(member)
+                starts += [0] * (size // split + 1 - len(starts))
+                starts[size // split] += 1
                 size, n = size + len(member), n + 1
         if out:
             out.close()
-            yield pd.DataFrame({"path": [f"{folder.rstrip('/')}/{name}"], "size": [size], "records": [n]})
+            # A range in which only a long last member goes on has no record.
+            starts += [0] * (-(-size // split) - len(starts))
+            yield pd.DataFrame({"path": [f"{folder.rstrip('/')}/{name}"], "size": [size], "records": [n], "starts": [starts]})
 
     # Ids travel as text: a column of whole numbers with nulls would pass through floating point.
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", F.col("refers_to").cast("string").alias("refers_to"), "revisit")
-    return rows.mapInPandas(written, "path string, size long, records long")
+    return rows.mapInPandas(written, "path string, size long, records long, starts array<long>")
 
 
 def _head(data: bytes) -> dict[str, str]:
@@ -113,7 +119,7 @@ def _member(parts: Iterator[bytes]) -> tuple[dict[str, str], bytes, int] | None:
         return None
     whole = b"".join(out)
     end = whole.find(b"\r\n\r\n")
-    head = _head(whole[:end]) if unpack.eof and 0 <= end <= HEAD else {}
+    head = _head(whole[:end]) if unpack.eof and end >= 0 else {}
     length = head.get("content-length", "")
     if "warc-type" not in head or not length.isdigit() or len(whole) != end + 4 + int(length) + 4:
         return None
@@ -134,8 +140,8 @@ def records_of_range(system: fs.FileSystem, path: str, start: int, end: int) ->
         view = memoryview(data)
 
         def parts(at: int) -> Iterator[bytes]:
-            for i in range(at, len(data), HEAD):
-                yield view[i : i + HEAD]
+            for i in range(at, len(data), CHUNK):
+                yield view[i : i + CHUNK]
             for place in range(start + len(data), size, READ):
                 file.seek(place)
                 yield file.read(READ)
@@ -154,26 +160,32 @@ def read_archives(files: DataFrame, split: int = SPLIT) -> DataFrame:
     """Records of the archives ``(path, size)``: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
 
     ``payload`` is null for revisits. A record whose payload doesn't have the
-    digest of its head raises.
+    digest of its head raises. Where ``files`` has ``starts`` for the same ``split``,
+    a range with another number of records raises too, so none is left out unseen.
     """
-    ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
-    ranges = ranges.select("path", "start", F.least(F.col("start") + split, "size").alias("end"))
+    starts = F.col("starts") if "starts" in files.columns else F.lit(None).cast("array<long>")
+    ranges = files.select("path", "size", starts.alias("starts"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
+    # As text, since numbers with nulls would pass through floating point.
+    written = F.get("starts", (F.col("start") / split).cast("int")).cast("string").alias("written")
+    ranges = ranges.select("path", "start", F.least(F.col("start") + split, "size").alias("end"), written)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 system, path = _open(r.path)
-                rows, held = [], 0
+                rows, held, n = [], 0, 0
                 for head, block in records_of_range(system, path, int(r.start), int(r.end)):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     kind, sum_ = head["warc-type"], head.get("warc-payload-digest", "").removeprefix("sha1:")
                     if kind == "response" and digest(payload) != sum_:
                         raise ValueError(f"payload of {head.get('warc-record-id')} in {path} has another digest")
                     rows.append((head.get("page-id"), head.get("warc-target-uri"), kind, head.get("refers-to-page-id"), int(_head(http)["content-length"]), sum_, payload if kind == "response" else None))
-                    held += len(payload)
+                    held, n = held + len(payload), n + 1
                     if held > SPLIT:
                         yield pd.DataFrame(rows, columns=COLUMNS)
                         rows, held = [], 0
+                if r.written is not None and n != int(r.written):
+                    raise ValueError(f"{n} records of {r.written} in bytes {r.start} to {r.end} of {path}")
                 yield pd.DataFrame(rows, columns=COLUMNS)
 
     out = ranges.repartition(F.xxhash64("path", "start")).mapInPandas(read, "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary")
@@ -201,10 +213,11 @@ def archive(spark: SparkSession, pages: DataFrame, least_bytes: int = 0, split:
     """Writes all ``pages`` to archives in the shared folder and gives what is read back from them.
 
     Null html is an empty payload, null urls and ids have no field in the record;
-    an empty table gives no archive and no row. Other columns are not read.
+    an empty table gives no archive and no row. Other columns are not read. Raises
+    if another number of records is read than was written.
     """
     small_batches(spark)
-    files = stored(write_archives(to_records(pages, least_bytes), scratch_path(spark, "warc")), "warc-files")
+    files = stored(write_archives(to_records(pages, least_bytes), scratch_path(spark, "warc"), split), "warc-files")
     return read_archives(files, split)
 
 

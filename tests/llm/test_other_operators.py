@@ -166,6 +166,24 @@ def test_ranges_pass_over_false_magic(spark, tmp_path):
         assert sorted((r.page_id, len(r.payload)) for r in warc.read_archives(files, split).collect()) == [(1, 500), (2, 70_000)]
 
 
+@pytest.mark.parametrize("split", [1000, warc.SPLIT])
+def test_archives_keep_pages_of_long_urls(spark, split):
+    noise = "".join(f"{x:08x}" for x in np.random.default_rng(5).integers(0, 1 << 32, 25_000))
+    urls = ["data:text/html," + noise, "http://a/" + "日本語" * 3000, "http://a/b"]
+    frame = pages(spark, [(i, u, f"<p>{i}", "", 0) for i, u in enumerate(urls)])
+    rows = {r.page_id: r for r in warc.archive(spark, frame, split=split).collect()}
+    assert sorted(rows) == [0, 1, 2] and rows[0].url == urls[0] and {len(r.payload) for r in rows.values()} == {4}
+
+
+def test_another_number_of_records_raises(spark):
+    frame = warc.to_records(pages(spark, [(i, "u", f"<p>{i}" * 99, "", 0) for i in range(20)]))
+    files = stored(warc.write_archives(frame, scratch_path(spark, "warc"), 500), "warc-files")
+    assert all(sum(r.starts) == r.records for r in files.collect())
+    assert warc.read_archives(files, 500).count() == 20
+    with pytest.raises(Exception, match="records of"):
+        warc.read_archives(files.withColumn("starts", F.transform("starts", lambda n: n + 1)), 500).collect()
+
+
 def test_archive_query_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{SF}/pages.parquet'")
