@@ -1,7 +1,8 @@
 """Toxicity by compression distance: which of two zstandard dictionaries helps a window more.
 
 One dictionary holds what ordinary text repeats, the other the same and, in place of
-some of it, passages that toxic texts repeat and ordinary ones don't. A text is read
+some of it, passages of toxic rows around words and beginnings of words that toxic
+rows share and ordinary ones don't. A text is read
 in overlapping windows; each is compressed with both, and the saved bytes become a
 score by thresholds that rows kept from the dictionaries calibrate.
 """
@@ -16,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -30,9 +31,11 @@ CALIBRATION = 0.4
 #: Bytes of a window and of what neighbours share, so that a word lies whole in one of them.
 WINDOW, OVERLAP = 40, 16
 #: Bytes of the dictionaries' common part and of the part of their own, and zstandard's level.
-COMMON, OWN, LEVEL = 8192, 3072, 9
-#: A word marks a toxic passage if this share of toxic rows has it, and so many times that of the ordinary ones.
-MARK_SHARE, MARK_RATIO = 0.016, 4.0
+COMMON, OWN, LEVEL = 8192, 2048, 9
+#: A word, or a word's first bytes of these lengths, marks a passage if so many toxic rows have it, and their share is so many times that of the ordinary ones.
+STEM, MARK_ROWS, MARK_RATIO = (5, 12), 4, 10.0
+#: Bytes of a passage on either side of its marks.
+CONTEXT = 12
 #: Windows and passages that train one dictionary.
 TRAIN_WINDOWS, TRAIN_PASSAGES = 40_000, 8_000
 SAVED = (3, 4, 5, 6)
@@ -84,6 +87,39 @@ def _pick(items: list, most: int, rng: np.random.Generator) -> list:
     return items if len(items) <= most else [items[i] for i in sorted(rng.choice(len(items), most, replace=False))]
 
 
+def _beginnings(word: bytes) -> list[bytes]:
+    """The word, told from beginnings by a blank, and its beginnings."""
+    return [word + b" ", *(word[:i] for i in range(STEM[0], min(len(word), STEM[1]) + 1))]
+
+
+def marks_of(bad: list[str], good: list[str]) -> set[bytes]:
+    """Words and beginnings of words that many more toxic than ordinary rows have."""
+
+    def having(text: str) -> set[bytes]:
+        return {b for w in set(WORDS.findall(text.lower().encode("utf-8"))) for b in _beginnings(w)}
+
+    in_bad, in_good = Counter(), Counter()
+    for t in bad:
+        in_bad.update(having(t))
+    in_bad = {b: n for b, n in in_bad.items() if n >= MARK_ROWS}
+    for t in good:
+        in_good.update(having(t) & in_bad.keys())
+    return {b for b, n in in_bad.items() if n / len(bad) >= MARK_RATIO * (in_good[b] + 1) / (len(good) + 1)}
+
+
+def passages_of(text: str, marks: set[bytes]) -> list[bytes]:
+    """Stretches of the text around marked words; those that overlap are one."""
+    data, spans = text.lower().encode("utf-8"), []
+    for m in WORDS.finditer(data):
+        if not marks.isdisjoint(_beginnings(m[0])):
+            start, end = max(0, m.start() - CONTEXT), m.end() + CONTEXT
+            if spans and start < spans[-1][1]:
+                spans[-1][1] = end
+            else:
+                spans.append([start, end])
+    return [data[a:b] for a, b in spans]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(30):
@@ -107,21 +143,12 @@ def train(texts: list[str], toxic: list[int], seed: int = 1) -> Model:
     if len(set(y[learn])) < 2 or len(set(y[check])) < 2:
         learn = check = order
     bad, good = ([texts[i] for i in learn if y[i] == v] for v in (1, 0))
-    in_bad, in_good = Counter(), Counter()
-    for docs, counts in ((bad, in_bad), (good, in_good)):
-        for t in docs:
-            counts.update(set(WORDS.findall(t.lower().encode("utf-8"))))
-    least = max(2, MARK_SHARE * len(bad))
-    marks = sorted(w for w, n in in_bad.items() if n >= least and n / len(bad) >= MARK_RATIO * (in_good[w] + 1) / (len(good) + 1))
-    passages = []
-    if marks:
-        find = re.compile(rb"(?s).?\b(?:" + b"|".join(marks) + rb")\b.?")
-        passages = _pick([m for t in bad for m in find.findall(t.lower().encode("utf-8"))], TRAIN_PASSAGES, rng)
+    marks = marks_of(bad, good)
+    passages = _pick([x for t in bad for x in passages_of(t, marks)], TRAIN_PASSAGES, rng)
     plain = [w for t in good for w in windows(t)]
     common = _trained(_pick(plain, TRAIN_WINDOWS, rng), COMMON)
     own = _trained(_pick(plain, TRAIN_WINDOWS, rng), OWN)
-    # Long segments keep passages whole; ordinary text has no such ends.
-    marked = _trained(passages or [w for t in bad for w in windows(t)], OWN, segment=48, match=8)
+    marked = _trained(passages or _pick([w for t in bad for w in windows(t)], TRAIN_WINDOWS, rng), OWN, match=8)
     ordinary, toxic_dict = own + common, marked + common
     x = np.array([features(texts[i], ordinary, toxic_dict) for i in check])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -144,16 +171,28 @@ def score(text: str | None, model: Model) -> float:
     return float(1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30))))
 
 
+def within(ids: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Of rows (_id, _toxic, _chars) in order, the ids of each label that fit into ``most`` code points; a longer one is passed over."""
+    room, taken = {}, []
+    for (label, key), chars in ids.groupby(["_toxic", "_id"], sort=False)["_chars"].sum().items():
+        if chars <= room.setdefault(label, most):
+            room[label] -= chars
+            taken.append((key, label))
+    return pd.DataFrame(taken, columns=["_id", "_toxic"])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Trains on labelled rows that are not held out: the first of each label in hash order, whole texts."""
+    """Trains on labelled rows that are not held out: the first of each label in hash order that fit, whole texts."""
     marks = labels.filter(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     rows = docs.filter(learnable(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), text_of().alias("_text"))
     ids = rows.select("_id", F.length("_text").cast("long").alias("_chars")).join(marks, "_id")
     ids = bounded_sample(ids, "_toxic", "_id", F.when(F.col("_toxic") == 1, TOXIC_ROWS).otherwise(ORDINARY_ROWS))
-    order = Window.partitionBy("_toxic").orderBy("_n")
-    ids = ids.withColumn("_sum", F.sum("_chars").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_sum") <= LABEL_CHARS)
     # The sample has TOXIC_ROWS + ORDINARY_ROWS ids at most, whatever the input.
-    sample = rows.join(F.broadcast(ids.select("_id", "_toxic").distinct()), "_id").select("_id", "_text", "_toxic").dropDuplicates().toPandas().sort_values(["_id", "_text"])
+    ids = within(ids.toPandas().sort_values("_n"), LABEL_CHARS)
+    if ids.empty:
+        return train([], [])
+    ids = docs.sparkSession.createDataFrame(ids, rows.select("_id").schema.add("_toxic", marks.schema["_toxic"].dataType))
+    sample = rows.join(F.broadcast(ids), "_id").select("_id", "_text", "_toxic").dropDuplicates().toPandas().sort_values(["_id", "_text"])
     sample = sample.head(TOXIC_ROWS + ORDINARY_ROWS)
     return train(sample["_text"].tolist(), sample["_toxic"].astype(int).tolist())
 

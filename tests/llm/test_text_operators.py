@@ -225,6 +225,26 @@ def test_toxicity_of_edge_cases(edge, empty, spark):
     assert {r.score for r in toxicity.toxicity(edge, spark.createDataFrame([(1, 1, "")], marks)).collect()} == {1.0}
 
 
+def test_toxic_words_that_are_each_rare_or_begin_with_an_accent():
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("etaoinsrh"), rng.integers(2, 8)))
+    text = lambda *marks: " ".join(np.insert([word() for _ in range(60)], 30, marks).tolist())
+    known, rare = lambda: text("trash", "trash"), lambda: text("êpoux" + word(), "êpoux" + word())
+    toxic = [known() for _ in range(100)] + [rare() for _ in range(100)]
+    model = toxicity.train(toxic + [text() for _ in range(600)], [1] * 200 + [0] * 600)
+    assert np.mean([toxicity.score(rare(), model) >= 0.5 for _ in range(50)]) > 0.8
+    assert np.mean([toxicity.score(text(), model) >= 0.5 for _ in range(50)]) < 0.2
+
+
+def test_a_long_row_leaves_the_rest_of_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LABEL_CHARS", 600)
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: sorted(map(len, texts)))
+    for long in (1, 2, 3):
+        docs = spark.createDataFrame([(i, f"{i:010d}" * (100 if i == long else 1)) for i in range(40)], "doc_id long, text string")
+        want = docs.filter(toxicity.learnable(F.col("doc_id")) & (F.length("text") == 10)).count()
+        assert toxicity.fit(docs, docs.select("doc_id", F.lit(1).alias("toxic"))) == [10] * want
+
+
 def test_pieces_equal_the_reference_encoder(spark, docs, edge, empty):
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
     for frame in (docs, edge):
