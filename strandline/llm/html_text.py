@@ -3,8 +3,9 @@
 Every element gets its characters per tag, adjusted by how much of both are links.
 The element whose children's densities sum up highest holds the main text; the least
 density on its way up to the body is the threshold that neighbours of that way need
-to belong to it. Elements that are no text of the page (scripts, menus, forms,
-adverts, comments and so on) are cut off before.
+to belong to it. Elements that are no text of the page (scripts, menus, adverts,
+comments and so on) are cut off before; forms, and elements that only their class, id
+or role names so, stay where they hold an article or much of the page's text.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ P_SCOPE = frozenset("td th table caption button object body html".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are never main text.
 CUT = RAW | frozenset("head nav header footer aside form button select option input label menu dialog object canvas audio video svg math map".split())
+#: Elements that are cut as those that CUT_WORDS name.
+WEAK = frozenset({"form"})
+#: Share of the page's text outside links up to which an element is cut by name; share of text in articles above which larger ones are, too.
+NAMED_SHARE, MAIN_SHARE = 0.3, 0.1
 #: Words in class, id or role that tell the same.
 CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login sidebar aside complementary widget widgets related recommended recommendations share sharing social comment comments reply replies respond discussion disqus feedback nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer contentinfo copyright legal toolbar pagination pager search".split()
@@ -57,29 +62,59 @@ class Page:
     tag: list[str] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
     cut: list[bool] = field(default_factory=list)
+    named: list[bool] = field(default_factory=list)
     tokens: list[tuple[int, str | None]] = field(default_factory=list)
 
-    def add(self, tag: str, parent: int, cut: bool) -> int:
+    def add(self, tag: str, parent: int, cut: bool, named: bool = False) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.cut.append(cut)
+        self.named.append(named)
         return len(self.tag) - 1
 
 
-def _noise(tag: str, attributes: str, inside_main: bool) -> bool:
+def _noise(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool]:
+    """Whether an element is never text of the page, and whether its name tells so."""
     if tag == "header" and inside_main:
-        return False
-    if tag in CUT:
-        return True
+        return False, False
+    if tag in CUT - WEAK:
+        return True, False
+    named = tag in WEAK
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, named
     for name, double, single, bare, lone in ATTRIBUTE.findall(attributes):
         key, value = (name or lone).lower(), double or single or bare
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
+            return True, False
         if key in ("class", "id", "role") and not (tag in HEADINGS and inside_main) and CUT_WORDS & {w.lower() for w in WORD_PARTS.findall(value)}:
-            return True
-    return False
+            named = True
+    return False, named
+
+
+def cut_named(page: Page) -> None:
+    """Cuts elements that their name tells to be none of the text.
+
+    One that holds an article or main stays. So does one with much of the page's
+    text outside links, unless a tenth of that text is in articles and outside such elements.
+    """
+    n = len(page.tag)
+    size, holds, linked, in_main, in_named = [0] * n, [False] * n, [False] * n, [False] * n, [False] * n
+    for i in range(n - 1, 0, -1):
+        holds[page.parent[i]] |= not page.cut[i] and (holds[i] or page.tag[i] in MAIN)
+    for i in range(1, n):
+        up = page.parent[i]
+        linked[i], in_main[i] = page.tag[i] == "a" or linked[up], page.tag[i] in MAIN or in_main[up]
+        in_named[i] = in_named[up] or (page.named[i] and not holds[i])
+    main = 0
+    for i, text in page.tokens:
+        if text and not page.cut[i] and not linked[i]:
+            size[i] += (k := len("".join(text.split())))
+            main += k if in_main[i] and not in_named[i] else 0
+    for i in range(n - 1, 0, -1):
+        size[page.parent[i]] += size[i]
+    most = size[0] if main > MAIN_SHARE * size[0] else NAMED_SHARE * size[0]
+    for i in range(1, n):
+        page.cut[i] = page.cut[i] or page.cut[page.parent[i]] or (page.named[i] and not holds[i] and size[i] <= most)
 
 
 def parse(html: str) -> Page:
@@ -150,7 +185,8 @@ def parse(html: str) -> Page:
             pop_to(len(stack) - 1)
         if tag in BLOCK:
             page.tokens.append((stack[-1], None))
-        node = page.add(tag, stack[-1], page.cut[stack[-1]] or _noise(tag, attributes, main_depth > 0))
+        cut, named = _noise(tag, attributes, main_depth > 0)
+        node = page.add(tag, stack[-1], page.cut[stack[-1]] or cut, named)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(html, at)
             close = html.find(">", end.end()) if end else -1
@@ -160,6 +196,7 @@ def parse(html: str) -> Page:
         elif len(stack) < DEPTH and (tag in BLOCK - VOID or tag not in VOID and not attributes.endswith("/")):
             stack.append(node)
             main_depth += tag in MAIN
+    cut_named(page)
     return page
 
 

@@ -292,6 +292,20 @@ def test_main_text_of_hostile_pages_ends(html):
     html_text.main_text(html)
 
 
+WORDS = "Words of the text go on and on, and then on again. " * 9
+
+
+@pytest.mark.parametrize("wrapper", ["<div class='layout has-sidebar'><article>%s</article></div>", "<div class='has-sidebar'>%s</div>", "<section id='search-results'>%s</section>", "<form action='/x'>%s</form>"])
+def test_wrappers_keep_their_text(wrapper):
+    page = "<body><nav><a href=x>Menu</a></nav>" + wrapper % f"<p>{WORDS}</p><div class='sidebar'><p>Others.</p></div>" + "<div class='share'>Share it</div></body>"
+    assert html_text.main_text(page) == WORDS.strip()
+
+
+def test_long_comments_beside_an_article_are_cut():
+    page = f"<body><article><p>{WORDS}</p></article><div id='comments'><p>{'I liked it. ' * 60}</p></div></body>"
+    assert html_text.main_text(page) == WORDS.strip()
+
+
 def test_pages_keep_their_rows(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
