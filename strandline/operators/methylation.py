@@ -153,6 +153,19 @@ def feature_matrix(features: DataFrame, probe_ids: Sequence[str], missing: int =
     return wide.fillna(missing)
 
 
+def feature_blocks(features: DataFrame, probes: DataFrame, size: int = 1024) -> DataFrame:
+    """Feature vectors over every listed probe: one row per sample and block with a call.
+
+    A block is ``size`` bases of a chromosome by the probe's start, so it is bounded
+    by the genome and needs no order over all probes. ``calls`` maps a probe to its
+    call; absent probes mean 0. Of several calls the highest counts.
+    """
+    place = probes.groupBy(F.col("probe_name").alias("probe_id")).agg(F.min(F.struct("chrom", F.floor(F.col("start_pos") / size).alias("block"))).alias("_at"))
+    calls = features.groupBy("sample_id", "probe_id").agg(F.max("methylation_call").alias("methylation_call")).join(place, "probe_id")
+    pair = F.struct("probe_id", "methylation_call")
+    return calls.groupBy("sample_id", F.col("_at.chrom").alias("chrom"), F.col("_at.block").alias("block")).agg(F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("calls"))
+
+
 def windows_of_sites(rows: DataFrame, windows: DataFrame) -> DataFrame:
     """CpG rows inside each reference window; every containing window matches."""
     return window_containment(rows, windows)

@@ -146,6 +146,18 @@ def feature_matrix(v):
     return me.feature_matrix(cpg_features(v), PROBE_LIST)
 
 
+@query(
+    "AGG10_feature_blocks",
+    f"""WITH {FEATURES}, best AS (SELECT sample_id, probe_id, max(methylation_call) AS c FROM features GROUP BY 1, 2),
+        place AS (SELECT probe_name AS probe_id, min(chrom) AS chrom, CAST(floor(min(start_pos) / 1024.0E0) AS BIGINT) AS block FROM probes GROUP BY 1)
+        SELECT sample_id, chrom, block, count(*) AS n_calls, string_agg(concat(probe_id, ':', c), ',' ORDER BY probe_id) AS calls FROM best JOIN place USING (probe_id) GROUP BY 1, 2, 3""",
+)
+def feature_blocks(v):
+    """Every probe's call; maps as text, so that they compare whole."""
+    text = F.transform(F.map_entries("calls"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return me.feature_blocks(cpg_features(v), v.probes).select("sample_id", "chrom", "block", F.size("calls").cast("bigint").alias("n_calls"), F.array_join(text, ",").alias("calls"))
+
+
 @query("AGG48_measured_probes", f"WITH {FEATURES} SELECT sample_id, count(*) AS number_probes FROM features GROUP BY 1")
 def measured_probes(v):
     return sc.measured_probes(cpg_features(v))

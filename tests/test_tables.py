@@ -177,3 +177,11 @@ def test_rolling_median_equals_pandas(spark, monkeypatch):
     df = spark.createDataFrame(data, "job_type string, job_id long, duration_seconds double")
     got = rolling.rolling_median(df, order=["job_id"], time_number=F.col("job_id"))
     assert {(r["job_type"], r["job_id"]): r["rolling_median"] for r in got.collect()} == pytest.approx(want)
+
+
+def test_feature_blocks_hold_every_probe(spark):
+    probes = spark.createDataFrame([("chr1", 20 * i, f"cg{i}") for i in range(200)], "chrom string, start_pos long, probe_name string")
+    data = [(s, f"cg{i}", 1 if i % 3 else -1) for s in ("a", "b") for i in range(0, 200, 2)] + [("a", "cg0", 1)]
+    got = me.feature_blocks(spark.createDataFrame(data, "sample_id string, probe_id string, methylation_call long"), probes).collect()
+    assert {(r.sample_id, r.chrom, r.block) for r in got} == {(s, "chr1", b) for s in ("a", "b") for b in range(4)}
+    assert {(r.sample_id, p): c for r in got for p, c in r.calls.items()} == {(s, p): c for s, p, c in data}
