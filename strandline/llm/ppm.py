@@ -8,8 +8,9 @@ one had ruled out. A text ends with an end mark, and its context starts with end
 
 Texts are read in chunks. What a chunk needs from the model is the set of its distinct
 grams (context and byte) and words, so those are what tasks exchange: counted over all
-chunks, priced level by level, and sent back to the chunk that asked. No task ever holds
-the model.
+chunks, priced level by level, and sent back to the chunk that asked. A gram goes by its
+bytes as a number, a word on its way back by -1 - its place among the chunk's words in
+order of appearance. No task ever holds the model.
 """
 
 from __future__ import annotations
@@ -21,15 +22,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import small_batches, stored, text_of
+from strandline.session import scratch_path
 
 #: Bytes of the longest context; a gram of ORDER + 1 bytes has to fit 63 bits.
 ORDER = 4
 #: Bytes of text that share one exchange of grams, and those coded at once.
-CHUNK, SLICE = 16 << 20, 2 << 20
+CHUNK, SLICE = 32 << 20, 1 << 19
 #: The end mark is a byte that no UTF-8 text holds; with it there are 256 symbols.
 END, SYMBOLS = 0xFF, 256
 
@@ -77,22 +79,36 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first)
 
 
+def groups(texts: list[bytes], size: int = SLICE) -> Iterator[range]:
+    """Runs of texts that together hold about ``size`` bytes; a longer text is a run of its own."""
+    first, total = 0, 0
+    for i, text in enumerate(texts):
+        if i > first and total + len(text) > size:
+            yield range(first, i)
+            first, total = i, 0
+        total += len(text)
+    if texts:
+        yield range(first, len(texts))
+
+
 def chunk_grams(texts: list[bytes], learned: list[bool], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of a chunk and how often each occurs in its training texts."""
-    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+    """Distinct grams of a chunk, sorted, and how often each occurs in its training texts."""
+    done, fresh, waiting = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)), [], 0
     for training in (True, False):
         mine = [t for t, flag in zip(texts, learned, strict=True) if flag == training]
-        if not mine:
-            continue
-        symbols, _, codes = coded(mine, order)
-        for _, values in grams(symbols, codes, order):
-            keys, counts = np.unique(values, return_counts=True)
-            found = [merged([*found, (keys, counts * training)])]
-    return found[0]
+        for run in groups(mine):
+            symbols, _, codes = coded([mine[i] for i in run], order)
+            for _, values in grams(symbols, codes, order):
+                keys, counts = np.unique(values, return_counts=True)
+                fresh.append((keys, counts * training))
+                waiting += len(keys)
+                if waiting > len(done[0]) + SLICE:
+                    done, fresh, waiting = merged([done, *fresh]), [], 0
+    return merged([done, *fresh]) if fresh else done
 
 
 def chunk_words(texts: list[bytes], learned: list[bool]) -> Counter:
-    """Words of a chunk and how often each occurs in its training texts; the empty word is the end of a text."""
+    """Words of a chunk in order of appearance and how often each occurs in its training texts; the empty word is the end of a text."""
     found: Counter = Counter()
     for text, training in zip(texts, learned, strict=True):
         words = text.split()  # of bytes: at the white space of the contract
@@ -102,7 +118,10 @@ def chunk_words(texts: list[bytes], learned: list[bool]) -> Counter:
 
 
 def read_chunks(docs: DataFrame, order: int, chunk: int) -> DataFrame:
-    """One table of texts (kind 0), their distinct grams (1) and words (2), every row with its chunk."""
+    """One table of texts (kind 0), their distinct grams (1) and words (2), every row with its chunk.
+
+    ``key`` is the number of a text within its chunk, the gram, or the word's place.
+    """
     rows = docs.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), (F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).alias("learned"), text_of().cast("binary").alias("text")
     )
@@ -113,17 +132,17 @@ def read_chunks(docs: DataFrame, order: int, chunk: int) -> DataFrame:
         ids, held, learned, texts, total = [], [], [], [], 0
         id_field = None
 
+        def batch(kind, key, **columns):
+            types = {"doc_id": id_field, "held_out": pa.bool_(), "text": pa.binary(), "word": pa.binary(), "n": pa.int64()}
+            every = {name: columns.get(name, pa.nulls(len(key), of)) for name, of in types.items()}
+            return pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(key), number)), "kind": pa.array(np.full(len(key), kind, dtype=np.int32)), "key": pa.array(key), **every})
+
         def emit():
-            yield batch(len(texts), TEXT, doc_id=pa.array(ids, id_field), held_out=pa.array(held, pa.bool_()), text=pa.array(texts, pa.binary()))
+            yield batch(TEXT, np.arange(len(texts)), doc_id=pa.array(ids, id_field), held_out=pa.array(held, pa.bool_()), text=pa.array(texts, pa.binary()))
             keys, counts = chunk_grams(texts, learned, order)
-            yield batch(len(keys), GRAM, gram=pa.array(keys), n=pa.array(counts))
+            yield batch(GRAM, keys, n=pa.array(counts))
             words = chunk_words(texts, learned)
-            yield batch(len(words), WORD, word=pa.array(words.keys(), pa.binary()), n=pa.array(words.values(), pa.int64()))
-
-        def batch(size, kind, **columns):
-            types = {"doc_id": id_field, "held_out": pa.bool_(), "text": pa.binary(), "gram": pa.int64(), "word": pa.binary(), "n": pa.int64()}
-            every = {name: columns.get(name, pa.nulls(size, of)) for name, of in types.items()}
-            return pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(size, number)), "kind": pa.array(np.full(size, kind, dtype=np.int32)), **every})
+            yield batch(WORD, -1 - np.arange(len(words)), word=pa.array(words.keys(), pa.binary()), n=pa.array(words.values(), pa.int64()))
 
         for part in batches:
             id_field = part.schema.field("doc_id").type
@@ -140,7 +159,10 @@ def read_chunks(docs: DataFrame, order: int, chunk: int) -> DataFrame:
         if texts:
             yield from emit()
 
-    return rows.mapInArrow(split, f"chunk long, kind int, doc_id {id_type}, held_out boolean, text binary, gram long, word binary, n long")
+    found = rows.mapInArrow(split, f"chunk long, kind int, key long, doc_id {id_type}, held_out boolean, text binary, word binary, n long")
+    path = scratch_path(docs.sparkSession, "ppm-chunks")
+    found.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def _suffix(gram: str, k: int) -> Column:
@@ -202,19 +224,31 @@ def prices(wanted: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> Data
 
 def text_prices(texts: list[bytes], keys: np.ndarray, price: np.ndarray, order: int) -> list[float]:
     """Log10 probability of each text, from the prices of all grams of the chunk (``keys`` sorted)."""
-    symbols, ends, codes = coded(texts, order)
     sums = np.zeros(len(texts))
-    for at, values in grams(symbols, codes, order):
-        if not len(values):
-            continue
-        distinct, place = np.unique(values, return_inverse=True)
-        each = price[np.searchsorted(keys, distinct)][place]
-        text = np.searchsorted(ends, at, "right")
-        first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
-        sums[text[first]] += np.add.reduceat(each, first)
+    for run in groups(texts):
+        symbols, ends, codes = coded([texts[i] for i in run], order)
+        for at, values in grams(symbols, codes, order):
+            if not len(values):
+                continue
+            distinct, place = np.unique(values, return_inverse=True)
+            each = price[np.searchsorted(keys, distinct)][place]
+            text = np.searchsorted(ends, at, "right")
+            first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+            sums[run.start + text[first]] += np.add.reduceat(each, first)
     return sums.tolist()
 
 
+def text_words(texts: list[bytes], counts: list[int], scale: float) -> Iterator[tuple[int, int, float]]:
+    """Tokens, known tokens and base score of each text; ``counts`` by the words' places."""
+    places: dict[bytes, int] = {}
+    logs = {c: math.log10((c + 0.5) / scale) for c in set(counts)}
+    for text in texts:
+        words = text.split()
+        words.append(b"")
+        mine = [counts[places.setdefault(w, len(places))] for w in words]
+        yield len(mine), sum(1 for c in mine if c), math.fsum([logs[c] for c in mine])
+
+
 def score(docs: DataFrame, order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per row of ``docs``.
 
@@ -227,44 +261,37 @@ def score(docs: DataFrame, order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    table = stored(read_chunks(docs, order, chunk), "ppm-chunks")
-    gram_rows = table.filter(F.col("kind") == GRAM).select("chunk", "gram", "n")
-    word_rows = table.filter(F.col("kind") == WORD).select("chunk", "word", "n")
-
-    gram_counts = stored(gram_rows.groupBy("gram").agg(F.sum("n").alias("c")), "ppm-grams")
+    table = read_chunks(docs, order, chunk)
+    gram_rows = table.filter(F.col("kind") == GRAM).select("chunk", "key", "n")
+    gram_counts = stored(gram_rows.groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("c")), "ppm-grams")
     levels = trie(gram_counts.filter("c > 0"), order)
     priced = prices(gram_counts.select("gram"), levels)
-    word_counts = stored(word_rows.groupBy("word").agg(F.sum("n").alias("c")), "ppm-words")
-    total, distinct = word_counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
 
-    asked = (
-        gram_rows.join(priced, "gram").select("chunk", "gram", F.lit(None).cast("binary").alias("word"), F.col("price").alias("value"))
-        .unionByName(word_rows.join(word_counts, "word").select("chunk", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value")))
-    )
-    texts = table.filter(F.col("kind") == TEXT).select(F.col("chunk").alias("of"), "doc_id", "held_out", "text")
-    id_type = texts.schema["doc_id"].dataType.simpleString()
+    # A word has one row per chunk that holds it.
+    same = Window.partitionBy("word")
+    word_rows = table.filter(F.col("kind") == WORD).select("chunk", "key", "word", "n")
+    counted = word_rows.select("chunk", "key", "n", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("chunk")) == 1).alias("first"))
+    words = stored(counted, "ppm-words")
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
     scale = total + 0.5 * (distinct + 1)
 
+    grams_back = gram_rows.withColumnRenamed("key", "gram").join(priced, "gram").select("chunk", F.col("gram").alias("key"), F.col("price").alias("value"))
+    asked = grams_back.unionByName(words.select("chunk", "key", F.col("c").cast("double").alias("value")))
+    texts = table.filter(F.col("kind") == TEXT).select(F.col("chunk").alias("of"), F.col("key").alias("row"), "doc_id", "held_out", "text")
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.take(pa.array(np.argsort(left["row"].to_numpy())))
         body = left["text"].to_pylist()
-        of_words = right.filter(right["gram"].is_null())
-        counts = dict(zip(of_words["word"].to_pylist(), of_words["value"].to_pylist(), strict=True))
-        logs = {w: math.log10((c + 0.5) / scale) for w, c in counts.items()}
-        n_tokens, n_known, base = [], [], []
-        for text in body:
-            words = text.split()
-            words.append(b"")
-            n_tokens.append(len(words))
-            n_known.append(sum(1 for w in words if counts[w]))
-            base.append(math.fsum([logs[w] for w in words]))
-        of_grams = right.filter(right["gram"].is_valid())
-        keys, price = of_grams["gram"].to_numpy(), of_grams["value"].to_numpy()
-        by_key = np.argsort(keys, kind="stable")
-        n = len(body)
+        keys, values = right["key"].to_numpy(), right["value"].to_numpy()
+        by_key = np.argsort(keys)
+        keys, values = keys[by_key], values[by_key]
+        n_words = int(np.searchsorted(keys, 0))
+        tokens, known, base = zip(*text_words(body, values[:n_words][::-1].astype(np.int64).tolist(), scale), strict=True) if body else ((), (), ())
         return pa.table({
-            "doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(base, pa.float64()),
-            "score": pa.array(text_prices(body, keys[by_key], price[by_key], order) if n else [], pa.float64()),
+            "doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
+            "train_tokens": pa.array([total] * len(body), pa.int64()), "base_score": pa.array(base, pa.float64()),
+            "score": pa.array(text_prices(body, keys[n_words:], values[n_words:], order), pa.float64()),
         })
 
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
