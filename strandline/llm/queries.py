@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import exact_dedup, html_text, language, mixing, near_dedup, neighbours, pieces, pii, ppm, toxicity, warc, whitening
+from strandline.llm import conversations, exact_dedup, html_text, language, mixing, near_dedup, neighbours, pieces, pii, ppm, toxicity, warc, whitening
 from strandline.llm.common import documents
 
 
@@ -57,6 +57,10 @@ def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(documents(spark, sf_dir))
 
 
-ALL = (op1_exact_dedup, op2_html_text, op3_pii, op4_mixing, op5_language_id, op6_nearest_neighbours, op7_near_dedup, op8_warc, op9_toxicity, op10_sentencepiece, op11_whitening, op12_lm_scores)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ALL = (op1_exact_dedup, op2_html_text, op3_pii, op4_mixing, op5_language_id, op6_nearest_neighbours, op7_near_dedup, op8_warc, op9_toxicity, op10_sentencepiece, op11_whitening, op12_lm_scores, op13_conversation_repair)
 QUERIES = {f.__name__: f for f in ALL}
-ORACLE = {"op1_exact_dedup": exact_dedup.SQL, "op8_warc": warc.SQL}
+ORACLE = {"op1_exact_dedup": exact_dedup.SQL, "op8_warc": warc.SQL, "op13_conversation_repair": conversations.SQL}
