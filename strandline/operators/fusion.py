@@ -296,14 +296,22 @@ def simple_gene_pairs(candidates: DataFrame, min_support: int = VALIDATED_SUPPOR
 
 def breakpoint_candidates(gated: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Alignments on the regions, and the places their SA text names."""
-    panel = regions.select("chrom", "start_pos", "end_pos")
-    cols = [*READ, "chrom", "ref_start", "ref_end", "strand", "mapq", "mapping_span"]
-    on_panel = interval_join(gated.select(*cols, "sa"), panel, min_overlap=MIN_OVERLAP).select(*cols, "sa").distinct()
-    extra = supplementary_spans(on_panel.select(*READ, "sa")).select(
+    panel = on_panel(gated, regions).distinct()
+    return panel.drop("sa"), named_places(panel)
+
+
+def on_panel(gated: DataFrame, regions: DataFrame) -> DataFrame:
+    """Alignments with their SA text, once per region that they overlap."""
+    cols = [*READ, "chrom", "ref_start", "ref_end", "strand", "mapq", "mapping_span", "sa"]
+    return interval_join(gated.select(*cols), regions.select("chrom", "start_pos", "end_pos"), min_overlap=MIN_OVERLAP).select(*cols)
+
+
+def named_places(rows: DataFrame) -> DataFrame:
+    """The places that the SA text of each row names."""
+    return supplementary_spans(rows.select(*READ, "sa")).select(
         *READ, F.col("sa_chrom").alias("chrom"), F.col("sa_start").alias("ref_start"), F.col("sa_end").alias("ref_end"), F.col("sa_strand").alias("strand"),
         F.col("sa_mapq").alias("mapq"), (F.col("sa_end") - F.col("sa_start")).alias("mapping_span"),
     )
-    return on_panel.select(*cols), extra
 
 
 def breakpoint_pairs(primary: DataFrame, supplementary: DataFrame) -> DataFrame:
@@ -329,12 +337,16 @@ def cluster_canonical(primary: DataFrame, supplementary: DataFrame, bin_size: in
     return out.withColumns({"p_end": F.col("p_start") + bin_size, "s_end": F.col("s_start") + bin_size})
 
 
+def binned_spot(bin_size: int = 500) -> Column:
+    """Chromosome, bin of the midpoint and strand of an alignment."""
+    mid = F.expr("(ref_start + ref_end) div 2")
+    return F.struct("chrom", (mid - mid % bin_size).alias("pos"), "strand")
+
+
 def cluster_reads(primary: DataFrame, supplementary: DataFrame, bin_size: int = 500) -> DataFrame:
     """Distinct ordered endpoint bins of each read."""
     def side(df, name):
-        mid = F.expr("(ref_start + ref_end) div 2")
-        spot = F.struct("chrom", (mid - mid % bin_size).alias("pos"), "strand")
-        return df.select(*READ, spot.alias(name)).distinct()
+        return df.select(*READ, binned_spot(bin_size).alias(name)).distinct()
 
     pairs = side(primary, "x").join(side(supplementary, "y"), READ).select(*READ, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     names = [F.col(f"{e}.{c}").alias(f"{p}_{n}") for e, p in (("a", "p"), ("b", "s")) for c, n in (("chrom", "chrom"), ("pos", "start"), ("strand", "strand"))]

@@ -88,7 +88,11 @@ def supplementary_read_ids(alignments: DataFrame) -> DataFrame:
 
 def failing_reads(alignments: DataFrame, minimum: float = 12.0) -> DataFrame:
     """Reads whose primary is below ``minimum``; no value passes."""
-    return alignments.filter("NOT is_secondary AND NOT is_supplementary").filter(F.col("qs") < minimum).select("sample_id", "read_id").distinct()
+    return alignments.filter(failing_rule(minimum)).select("sample_id", "read_id").distinct()
+
+
+def failing_rule(minimum: float = 12.0) -> Column:
+    return ~F.col("is_secondary") & ~F.col("is_supplementary") & (F.col("qs") < minimum)
 
 
 def qs_filter(alignments: DataFrame, minimum: float = 12.0) -> DataFrame:

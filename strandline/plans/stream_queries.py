@@ -76,7 +76,8 @@ def stream_cnv(v):
 
 @query("STM6_stream_fusion_tags", f"WITH {TAGS} SELECT DISTINCT sample_id, read_id, tag FROM good")
 def stream_fusion_tags(v):
-    return st.stream_fusion_tags(arriving(v, v.alignments), v.regions, *places(v, "tags"))
+    """In 20 batches, so that most reads have rows in several."""
+    return st.stream_fusion_tags(arriving(v, v.alignments, files=20, per_batch=1), v.regions, *places(v, "tags"))
 
 
 @query(
@@ -86,7 +87,8 @@ def stream_fusion_tags(v):
         SELECT sample_id, a.chrom AS p_chrom, a.pos AS p_start, a.strand AS p_strand, b.chrom AS s_chrom, b.pos AS s_start, b.strand AS s_strand FROM o GROUP BY sample_id, a, b HAVING count(DISTINCT read_id) >= 3""",
 )
 def stream_breakpoint_clusters(v):
-    out = st.stream_breakpoint_clusters(arriving(v, v.alignments, "file"), v.regions, *places(v, "clusters"))
+    """In 20 batches; the ends of a read pair up whichever batch they come in."""
+    out = st.stream_breakpoint_clusters(arriving(v, v.alignments, files=20, per_batch=1), v.regions, *places(v, "clusters"))
     return out.drop("batch_id", "reads")
 
 

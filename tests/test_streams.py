@@ -1,9 +1,14 @@
+import random
+
 from conftest import rows
 from pyspark.sql import functions as F
 
+from strandline.operators import fusion as fu
+from strandline.operators.qc import qs_filter
 from strandline.session import scratch_path
 from strandline.sinks.layouts import append_candidates
 from strandline.streaming import pipelines as st
+from strandline.streaming import states
 
 
 def feed(spark, df, files):
@@ -58,3 +63,77 @@ def test_a_repeated_batch_replaces_itself(spark):
     append_candidates(rows_, path, 0)
     append_candidates(rows_, path, 1)
     assert spark.read.parquet(path).count() == 10
+
+
+REGIONS = [("chr1", 1000, 3000, "A"), ("chr1", 10_000, 13_000, "B"), ("chr2", 1000, 3000, "C")]
+
+
+def alignment(read, gene, offset=0, qs=20.0, extra=False, sa="chr2,1500,+,400M,60,0;"):
+    chrom, start, _, _ = REGIONS["ABC".index(gene)]
+    return ("s", f"r{read}", chrom, start + 100 + offset, start + 600 + offset, False, False, extra, 60, sa, qs, "+", 0, 500)
+
+
+NAMES = "sample_id string, read_id string, chrom string, ref_start long, ref_end long, is_unmapped boolean, is_secondary boolean, is_supplementary boolean, mapq int, sa string, qs double, strand string, read_start long, read_end long"
+
+#: Per batch the alignments that arrive with it.
+ARRIVALS = [
+    [alignment(i, "A") for i in range(12)] + [alignment(12, "A", qs=5.0)],
+    [alignment(i, "B", extra=True) for i in range(9)] + [alignment(12, "B", extra=True)],
+    # 0 and 1 move to another tag, 2 loses its own by a near copy, 9 to 11 join late
+    [alignment(0, "C", extra=True), alignment(1, "C", extra=True), alignment(2, "B", 20, extra=True)] + [alignment(i, "C", extra=True) for i in (9, 10, 11)],
+    # 3 fails after it had a tag, 4 gets a far alignment on a gene it has, 13 fails before its genes come
+    [alignment(3, "A", 300, qs=3.0), alignment(4, "B", 900, extra=True), alignment(13, "A", qs=1.0)],
+    [alignment(13, "B", extra=True), alignment(0, "B", 2000, extra=True)],
+]
+
+
+def arrivals(spark, batches):
+    path = scratch_path(spark, "arrivals")
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, NAMES).coalesce(1).write.parquet(f"{path}/n{n}")
+    return st.stream_alignments(spark, path, spark.createDataFrame([], NAMES).schema, 1)
+
+
+def panel(spark):
+    return spark.createDataFrame([(c, s, e, g, "target") for c, s, e, g in REGIONS], "chrom string, start_pos long, end_pos long, name string, region_type string")
+
+
+def test_tags_that_change_end_and_fail_late(spark):
+    rows_ = spark.createDataFrame([r for b in ARRIVALS for r in b], NAMES)
+    clean = fu.without_artifacts(fu.fusion_candidates(fu.fusion_gate(qs_filter(rows_)), panel(spark)))
+    want = rows(fu.supported_rows(clean).select("read_id", "tag").distinct(), "read_id", "tag")
+    out = scratch_path(spark, "o")
+    assert rows(st.stream_fusion_tags(arrivals(spark, ARRIVALS), panel(spark), out, scratch_path(spark, "c")), "read_id", "tag") == want
+    assert {t for _, t in want} == {"A,B", "A,C"} and not {"r2", "r3", "r12", "r13"} & {r for r, _ in want}
+    changes = {(r.read_id, r.version): (r.before, r.tag) for r in spark.read.parquet(f"{out}/changes").collect()}
+    assert changes["r0", 2] == ("A,B", "A,B,C") and changes["r2", 2] == ("A,B", None) and changes["r3", 2] == ("A,B", None) and ("r4", 2) not in changes
+
+
+def test_a_batch_reads_its_own_rows_only(spark):
+    """Many batches of equally many rows on the same reads: input and touched states stay as they are."""
+    batches = [[alignment(i, "ABC"[(i + n) % 3], 50 * n, extra=n > 0) for i in range(8)] for n in range(6)]
+    seen = []
+    stream = arrivals(spark, batches)
+    found = fu.fusion_candidates(fu.fusion_gate(stream), panel(spark))
+    events = st._with_state(found, stream, states.PLACE, states.tag_change, states.TAG_CHANGE, states.TAG_STATE)
+    query = events.writeStream.format("noop").option("checkpointLocation", scratch_path(spark, "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    for p in query.recentProgress:
+        seen.append((p["numInputRows"], p["stateOperators"][0]["numRowsUpdated"], p["stateOperators"][0]["numRowsTotal"]))
+    assert len(seen) == 6 and {s[1:] for s in seen} == {(8, 8)} and len({s[0] for s in seen}) == 1
+
+
+def test_pairs_across_batches_and_late_failure(spark):
+    batches = [[alignment(i, "A", sa="chr2,1500,+,400M,60,0;") for i in range(5)], [alignment(0, "A", 5, qs=2.0), alignment(9, "A")], [alignment(1, "A", 4)]]
+    out = st.stream_breakpoint_clusters(arrivals(spark, batches), panel(spark), scratch_path(spark, "o"), scratch_path(spark, "c"))
+    assert [(r.p_chrom, r.s_chrom, r.batch_id, r.reads) for r in out.collect()] == [("chr1", "chr2", 0, 5)]
+    support = states._pairs(["p\tchr1\t1000\t+", "s\tchr2\t1500\t+", "s\tchr1\t500\t-"])
+    assert support == {(("chr1", 1000, "+"), ("chr2", 1500, "+")), (("chr1", 500, "-"), ("chr1", 1000, "+"))}
+
+
+def test_near_places_against_all_pairs():
+    rng = random.Random(4)
+    for _ in range(300):
+        spots = sorted({(rng.choice("ab"), rng.randint(0, 400), rng.randint(0, 400), rng.choice("xyz"), 0, 1) for _ in range(rng.randint(1, 7))})
+        want = any(a[0] == b[0] and abs(a[1] - b[1]) <= 50 and abs(a[2] - b[2]) <= 50 for i, a in enumerate(spots) for b in spots[i + 1 :])
+        assert states.near_places(["\t".join(map(str, s)) for s in spots]) == want
