@@ -6,9 +6,8 @@ reduced to distinct rows before they are counted or listed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -469,44 +468,61 @@ def master_bed_events(primary: DataFrame, supplementary: DataFrame, distance: in
     return merge_nearby(events, ["sample_id", "chrom", "event_type"], distance)
 
 
+class OpenRegions:
+    """The greedy clusters of one stretch that later regions can still join, in the order they were opened."""
+
+    def __init__(self, distance: int):
+        self.distance, self.open = distance, []
+
+    def joined(self, start: int, end: int) -> str:
+        """The name of the cluster that takes this region; regions come by (start, end).
+
+        A cluster takes a region that overlaps its span, has both ends near the span's, or
+        its midpoint near the span's; the first that does grows by it. A region that no
+        cluster takes opens one. A cluster further left than ``distance`` takes nothing any
+        more, so only neighbours within one distance are ever held.
+        """
+        self.open = [c for c in self.open if start <= c[1] + self.distance]
+        for cluster in self.open:
+            lo, hi, name = cluster
+            ends = abs(lo - start) <= self.distance and abs(hi - end) <= self.distance
+            if start <= hi or ends or abs((lo + hi) // 2 - (start + end) // 2) <= self.distance:
+                cluster[1] = max(hi, end)
+                return name
+        self.open.append([start, end, f"{start}-{end}"])
+        return self.open[-1][2]
+
+
 def cluster_regions(rows: DataFrame, distance: int = 200) -> DataFrame:
     """Greedy merge of regions per chromosome with a growing cluster span.
 
     ``rows`` holds one line per region and read; regions are events on bins or
     clusters, so a chromosome has at most as many distinct ones as bins. A region
     can only join a cluster that starts within ``distance`` of everything before
-    it, so the order-bound scan runs per connected stretch of distinct regions,
-    and a stretch of one region needs no scan.
+    it, so the merge is bound to the order within connected stretches of distinct
+    regions only: they pass in sorted order, and a task holds no more of a stretch
+    than the clusters still open. A stretch of one region needs no pass.
     """
     keys = ["sample_id", "chrom"]
     spots = rows.select(*keys, "start_pos", "end_pos").distinct()
     stretches = merge_ranges(spots, keys, slack=distance).withColumnsRenamed({"start_pos": "stretch", "end_pos": "_z"})
     inside = interval_join(spots, stretches, on=keys, left_span=("start_pos", "end_pos"), right_span=("stretch", "_z"), closed=True).drop("_z")
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_pos", "end_pos"]).reset_index(drop=True)
-        start, end = pdf["start_pos"].to_numpy(), pdf["end_pos"].to_numpy()
-        owner = np.full(len(pdf), -1)
-        for i in range(len(pdf)):
-            if owner[i] >= 0:
-                continue
-            owner[i], lo, hi = i, start[i], end[i]
-            for j in range(i + 1, len(pdf)):
-                if start[j] > hi + distance:
-                    break
-                if owner[j] >= 0:
-                    continue
-                overlap = not (hi < start[j] or lo > end[j])
-                ends_close = abs(lo - start[j]) <= distance and abs(hi - end[j]) <= distance
-                if overlap or ends_close or abs((lo + hi) // 2 - (start[j] + end[j]) // 2) <= distance:
-                    owner[j], lo, hi = i, min(lo, start[j]), max(hi, end[j])
-        pdf["cluster"] = [f"{start[o]}-{end[o]}" for o in owner]
-        return pdf[[*keys, "start_pos", "end_pos", "cluster"]]
+    def passed(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, regions = None, OpenRegions(distance)
+        for pdf in pdfs:
+            names = []
+            for sample, chrom, stretch, start, end in pdf[[*keys, "stretch", "start_pos", "end_pos"]].itertuples(index=False, name=None):
+                if (sample, chrom, stretch) != here:
+                    here, regions = (sample, chrom, stretch), OpenRegions(distance)
+                names.append(regions.joined(start, end))
+            yield pdf[[*keys, "start_pos", "end_pos"]].assign(cluster=names)
 
     alone = F.col("_many") == 1
     inside = keep(inside.join(inside.groupBy(*keys, "stretch").agg(F.count(F.lit(1)).alias("_many")), [*keys, "stretch"]))
     single = inside.filter(alone).select(*keys, "start_pos", "end_pos", F.concat_ws("-", "start_pos", "end_pos").alias("cluster"))
-    scanned = inside.filter(~alone).drop("_many").groupBy(*keys, "stretch").applyInPandas(scan, "sample_id string, chrom string, start_pos long, end_pos long, cluster string")
+    ordered = inside.filter(~alone).drop("_many").repartition(*keys, "stretch").sortWithinPartitions(*keys, "stretch", "start_pos", "end_pos")
+    scanned = ordered.mapInPandas(passed, "sample_id string, chrom string, start_pos long, end_pos long, cluster string")
     owners = single.unionByName(scanned)
     hit = rows.join(owners, [*keys, "start_pos", "end_pos"])
     group = [*keys, "cluster"]

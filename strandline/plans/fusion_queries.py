@@ -326,6 +326,40 @@ def cluster_regions(v):
     return fu.cluster_regions(rows.select("sample_id", "read_id", "chrom", "start_pos", (F.col("start_pos") + 500).alias("end_pos"), "mapq", "mapping_span"))
 
 
+SHORT = "20 + (ref_start + ref_end) // 2 % 23 * 10"
+
+
+@query(
+    "AGG34_cluster_short_regions",
+    f"""WITH RECURSIVE {PLACES}, rows_in AS (SELECT sample_id, read_id, chrom, (ref_start + ref_end) // 2 AS s, (ref_start + ref_end) // 2 + {SHORT} AS e, mapq, mapping_span FROM prim
+          UNION ALL SELECT sample_id, read_id, chrom, (ref_start + ref_end) // 2, (ref_start + ref_end) // 2 + {SHORT}, mapq, ref_end - ref_start FROM supp),
+        spots AS (SELECT DISTINCT sample_id, chrom, s, e FROM rows_in),
+        marks AS (SELECT *, coalesce(s > max(e) OVER (PARTITION BY sample_id, chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 200, true) AS f FROM spots),
+        numbered AS (SELECT *, sum(f::INT) OVER (PARTITION BY sample_id, chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM marks),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY sample_id, chrom, g ORDER BY s, e) AS i FROM numbered),
+        -- region by region: the first open cluster that takes it grows, or the region opens one
+        walk(sample_id, chrom, g, i, s, e, owner, open) AS (
+          SELECT sample_id, chrom, g, i, s, e, concat(s::VARCHAR, '-', e::VARCHAR), [struct_pack(lo := s, hi := e, name := concat(s::VARCHAR, '-', e::VARCHAR))] FROM placed WHERE i = 1
+          UNION ALL
+          SELECT sample_id, chrom, g, i, s, e, coalesce(t.name, own), CASE WHEN t IS NULL THEN list_append(open, struct_pack(lo := s, hi := e, name := own))
+            ELSE list_transform(open, lambda c: CASE WHEN c.name = t.name THEN struct_pack(lo := c.lo, hi := greatest(c.hi, e), name := c.name) ELSE c END) END
+          FROM (SELECT p.*, w.open, concat(p.s::VARCHAR, '-', p.e::VARCHAR) AS own,
+              list_filter(w.open, lambda c: p.s <= c.hi + 200 AND (p.s <= c.hi OR abs(c.lo - p.s) <= 200 AND abs(c.hi - p.e) <= 200 OR abs((c.lo + c.hi) // 2 - (p.s + p.e) // 2) <= 200))[1] AS t
+            FROM walk w JOIN placed p ON p.sample_id = w.sample_id AND p.chrom = w.chrom AND p.g = w.g AND p.i = w.i + 1)),
+        owned AS (SELECT r.*, w.owner FROM rows_in r JOIN walk w USING (sample_id, chrom, s, e)),
+        each AS (SELECT sample_id, chrom, owner, s, e, avg(mapq) AS q, avg(mapping_span) AS m FROM owned GROUP BY ALL),
+        stats AS (SELECT sample_id, chrom, owner, min(s) AS start_pos, max(e) AS end_pos, round(round(avg(q), 6), 1) AS avg_mapq, round(round(avg(m), 6), 0) AS avg_span FROM each GROUP BY ALL),
+        reads AS (SELECT sample_id, chrom, owner, count(DISTINCT read_id) AS reads FROM owned GROUP BY ALL)
+        SELECT sample_id, chrom, owner AS cluster, start_pos, end_pos, reads, avg_mapq, avg_span FROM stats JOIN reads USING (sample_id, chrom, owner)""",
+)
+def cluster_short_regions(v):
+    """Regions of 20 to 240 bases at the midpoints of all places, short enough that near ends and near midpoints decide beside overlap."""
+    primary, extra = places(v)
+    mid = F.expr("(ref_start + ref_end) div 2")
+    rows = primary.unionByName(extra).withColumn("start_pos", mid).withColumn("end_pos", F.col("start_pos") + 20 + F.col("start_pos") % 23 * 10)
+    return fu.cluster_regions(rows.select("sample_id", "read_id", "chrom", "start_pos", "end_pos", "mapq", "mapping_span"))
+
+
 @query("SNK4_append_candidates", f"WITH {CAND} SELECT candidate_type, sample_id, count(*) AS rows FROM cand GROUP BY 1, 2")
 def append_candidates(v):
     """Writes two batches below the shared folder and counts what was stored."""

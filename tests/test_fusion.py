@@ -133,3 +133,60 @@ def test_region_clusters_against_the_written_out_rule(spark):
         want.append((lo, hi, n))
     df = spark.createDataFrame([("s", f"r{i}", "chr1", a, b, 60, b - a) for i, (a, b) in enumerate(spots)], "sample_id string, read_id string, chrom string, start_pos long, end_pos long, mapq int, mapping_span long")
     assert rows(fu.cluster_regions(df), "start_pos", "end_pos", "reads") == sorted(want)
+
+
+def greedy_regions(regions, distance=200):
+    """Cluster by cluster: the first region left opens one and passes over all later ones."""
+    regions, owner, by = sorted(set(regions)), {}, {"overlap": 0, "ends": 0, "middle": 0, "left": 0}
+    for i, opener in enumerate(regions):
+        if opener in owner:
+            continue
+        owner[opener], (lo, hi) = opener, opener
+        for region in regions[i + 1 :]:
+            start, end = region
+            if start > hi + distance:
+                break
+            if region in owner:
+                continue
+            ends = abs(lo - start) <= distance and abs(hi - end) <= distance
+            middle = abs((lo + hi) // 2 - (start + end) // 2) <= distance
+            if start <= hi or ends or middle:
+                by["overlap" if start <= hi else "middle" if middle and not ends else "ends"] += 1
+                owner[region], hi = opener, max(hi, end)
+            else:
+                by["left"] += 1
+    return {r: f"{o[0]}-{o[1]}" for r, o in owner.items()}, by
+
+
+def test_regions_join_by_each_of_three_rules(spark):
+    rng = random.Random(6)
+    total = dict.fromkeys(("overlap", "ends", "middle", "left"), 0)
+    made, want = [], set()
+    for k in range(60):
+        regions = []
+        for _ in range(rng.randint(1, 25)):
+            start = rng.randint(0, 4000)
+            regions.append((start, start + rng.choice([10, 60, 150, 380, 700, 1500])))
+        owner, by = greedy_regions(regions)
+        total = {r: n + by[r] for r, n in total.items()}
+        made += [("s", f"chr{k}", f"r{i}", *r, 60, 500) for i, r in enumerate(regions)]
+        spans = {}
+        for (start, end), name in owner.items():
+            lo, hi = spans.get(name, (start, end))
+            spans[name] = min(lo, start), max(hi, end)
+        want |= {(f"chr{k}", name, *span) for name, span in spans.items()}
+    assert min(total.values()) > 0
+    df = spark.createDataFrame(made, "sample_id string, chrom string, read_id string, start_pos long, end_pos long, mapq int, mapping_span long")
+    assert {(r.chrom, r.cluster, r.start_pos, r.end_pos) for r in fu.cluster_regions(df).collect()} == want
+
+
+def test_near_ends_mean_near_midpoints():
+    """The rule on both ends never decides alone: it holds only where the midpoints are near as well."""
+    rng = random.Random(8)
+    for _ in range(2000):
+        lo, start = rng.randint(0, 50), rng.randint(0, 50)
+        hi, end = lo + rng.randint(0, 60), start + rng.randint(0, 60)
+        if abs(lo - start) <= 20 and abs(hi - end) <= 20:
+            assert abs((lo + hi) // 2 - (start + end) // 2) <= 20
+    regions = fu.OpenRegions(200)
+    assert [regions.joined(*r) for r in ((0, 10), (150, 600), (160, 210), (205, 700))] == ["0-10", "150-600", "0-10", "0-10"]
