@@ -1,10 +1,12 @@
+import math
 import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from strandline.operators import fusion as fu
-from strandline.operators.graph import connected_components
+from strandline.operators.graph import connected_components, contractions
 
 CAND = "sample_id string, read_id string, chrom string, ref_start long, ref_end long, gene string, gene_start long, gene_end long, mapq int, mapping_span long, strand string"
 
@@ -190,3 +192,33 @@ def test_near_ends_mean_near_midpoints():
             assert abs((lo + hi) // 2 - (start + end) // 2) <= 20
     regions = fu.OpenRegions(200)
     assert [regions.joined(*r) for r in ((0, 10), (150, 600), (160, 210), (205, 700))] == ["0-10", "150-600", "0-10", "0-10"]
+
+
+def test_contraction_shrinks_chains_stars_and_repeated_edges(spark):
+    n = 3000
+    chain = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = contractions(chain)
+    assert len(found) <= 2 * math.log2(n)
+    sizes = [t.count() for t in found]
+    assert sizes[0] == n and all(b < 0.7 * a for a, b in zip(sizes, sizes[1:], strict=False) if a > 50)
+    got = connected_components(chain.union(chain), "a", "b").groupBy("component").count().collect()
+    assert [tuple(r) for r in got] == [(0, n)]
+    star = spark.range(1, 2000).select(F.lit(5000).cast("long").alias("a"), F.col("id").alias("b"))
+    assert len(contractions(star)) <= 3
+    assert [tuple(r) for r in connected_components(star, "a", "b").groupBy("component").count().collect()] == [(1, 2000)]
+    assert connected_components(star.limit(0), "a", "b").collect() == []
+
+
+def test_components_by_key_against_a_search(spark):
+    rng = random.Random(11)
+    edges = [(rng.choice("pq"), rng.randint(0, 60), rng.randint(0, 60)) for _ in range(55)]
+    want = {}
+    for key in "pq":
+        label = {v: v for k, *e in edges if k == key for v in e}
+        for _ in label:
+            for k, a, b in edges:
+                if k == key:
+                    label[a] = label[b] = min(label[a], label[b])
+        want |= {(key, v): c for v, c in label.items()}
+    got = connected_components(spark.createDataFrame(edges, "k string, a long, b long"), "a", "b", ["k"])
+    assert {(r.k, r.vertex): r.component for r in got.collect()} == want
