@@ -291,6 +291,86 @@ def even_sample(track: DataFrame, k: int) -> DataFrame:
     return rows.filter((F.col("_n") <= k) | hit).drop("_i", "_n")
 
 
+def apportioned(sizes: DataFrame, budget: int, within: Sequence[str], series: Sequence[str]) -> DataFrame:
+    """Adds ``share``: how many of ``budget`` places each series of a group gets, by its rows ``n``.
+
+    Every series gets one place, the largest first where there are too few; the others
+    go by size, rounded down, and what is left by the largest remainders (ties in series
+    order). The shares of a group add up to the budget, or to all rows if those are fewer.
+    One row per series meets in a window, never the points themselves.
+    """
+    group = Window.partitionBy(*within)
+    largest = Window.partitionBy(*within).orderBy(F.desc("n"), *series)
+    counted = sizes.withColumns({"_total": F.sum("n").over(group), "_series": F.count(F.lit(1)).over(group), "_at": F.row_number().over(largest)})
+    spare = F.greatest(F.lit(0), budget - F.col("_series"))
+    room = F.greatest(F.lit(1), F.col("_total") - F.col("_series"))
+    split = counted.withColumn("_quota", spare * (F.col("n") - 1)).withColumn("_room", room)
+    split = split.withColumns({"_down": F.expr("_quota div _room"), "_left": F.col("_quota") % F.col("_room")})
+    order = Window.partitionBy(*within).orderBy(F.desc("_left"), *series)
+    split = split.withColumns({"_rest": spare - F.sum("_down").over(group), "_turn": F.row_number().over(order)})
+    share = F.when(F.col("_total") <= budget, F.col("n")).when(F.col("_series") > budget, (F.col("_at") <= budget).cast("bigint")).otherwise(1 + F.col("_down") + (F.col("_turn") <= F.col("_rest")).cast("bigint"))
+    return split.select(*sizes.columns, share.cast("bigint").alias("share"))
+
+
+def even_sample_budget(track: DataFrame, budget: int) -> DataFrame:
+    """``budget`` rows of a sample, spread over its chromosomes by their length and evenly within each.
+
+    Of a chromosome with ``k`` of ``n`` rows, place ``s`` is row ``s (n - 1) / (k - 1)``,
+    halves up; a single place is the middle row.
+    """
+    shares = apportioned(keep(track.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("n"))), budget, ["sample_id"], ["chrom"]).filter("share > 0")
+    places = shares.select(*TRACK, "n", "share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("share") - 1)).alias("s"))
+    at = F.when(F.col("share") == 1, F.expr("n div 2")).otherwise(F.expr("(2 * s * (n - 1) + share - 1) div greatest(1, 2 * (share - 1))"))
+    rows = track.withColumn("_i", (F.row_number().over(Window.partitionBy(*TRACK).orderBy("bin_idx")) - 1).cast("bigint"))
+    return rows.join(places.select(*TRACK, at.alias("_i")), [*TRACK, "_i"]).drop("_i")
+
+
+#: Narrowest bins, levels of doubled width, and reads that an autosomal bin should hold on average.
+BASE_WIDTH, WIDTH_LEVELS, READS_PER_BIN = 125_000, 7, 30
+
+
+def base_counts(starts: DataFrame, min_mapq: int = 60, base: int = BASE_WIDTH) -> DataFrame:
+    """Starts per narrowest bin; parts of a sample's files are counted apart and added up."""
+    rows = starts.filter((F.col("mapq") >= min_mapq) & (F.col("chrom") != "chrM"))
+    return rows.groupBy(*TRACK, F.expr(f"ref_start div {base}").alias("bin_idx")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def fitted_bins(counts: DataFrame, reads_per_bin: int = READS_PER_BIN, base: int = BASE_WIDTH, levels: int = WIDTH_LEVELS) -> DataFrame:
+    """Counts of each sample on the bin width that its own depth allows: ``sample_id, width, chrom, bin_idx, n``.
+
+    ``counts`` are narrowest bins of any number of parts. Widths are the base times powers
+    of two; a sample takes the narrowest on which its autosomal bins, empty ones included,
+    hold ``reads_per_bin`` on average, or the widest. Coarser bins are sums of narrower
+    ones, so the reads are counted once.
+    """
+    counts = keep(counts.groupBy(*TRACK, "bin_idx").agg(F.sum("n").alias("n")))
+    lasts = counts.filter(is_autosome(F.col("chrom"))).groupBy(*TRACK).agg(F.max("bin_idx").alias("_last"), F.sum("n").alias("_n"))
+    bins = [F.sum(F.shiftright("_last", k) + 1).alias(f"_bins{k}") for k in range(levels)]
+    depth = lasts.groupBy("sample_id").agg(F.sum("_n").alias("_n"), *bins)
+    level = F.lit(levels - 1)
+    for k in range(levels - 2, -1, -1):
+        level = F.when(F.col("_n") >= reads_per_bin * F.col(f"_bins{k}"), k).otherwise(level)
+    chosen = counts.join(depth.select("sample_id", level.alias("_level")), "sample_id")
+    coarse = chosen.groupBy(*TRACK, (base * F.pow(F.lit(2.0), "_level")).cast("bigint").alias("width"), F.expr("shiftright(bin_idx, _level)").alias("bin_idx")).agg(F.sum("n").alias("n"))
+    return coarse.select("sample_id", "width", "chrom", "bin_idx", "n")
+
+
+def width_and_variance(bins: DataFrame, ploidy: float = 2.0) -> DataFrame:
+    """Per sample its width, autosomal bins and reads, and the variance between neighbouring bins.
+
+    The variance is half the mean squared difference of neighbouring values, empty bins
+    included, so real changes of level count once and noise counts everywhere.
+    """
+    auto = keep(bins.filter(is_autosome(F.col("chrom"))))
+    last = auto.groupBy("sample_id", "width", "chrom").agg(F.max("bin_idx").alias("_last"), F.sum("n").alias("_n"))
+    mean = last.groupBy("sample_id", "width").agg(F.sum(F.col("_last") + 1).alias("bins"), F.sum("_n").alias("reads"))
+    grid = last.select(*TRACK, F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("bin_idx")).join(auto.select(*TRACK, "bin_idx", "n"), [*TRACK, "bin_idx"], "left")
+    before = F.lag(F.coalesce("n", F.lit(0))).over(Window.partitionBy(*TRACK).orderBy("bin_idx"))
+    steps = grid.withColumn("_d", F.coalesce("n", F.lit(0)) - before).groupBy("sample_id").agg(F.sum(F.col("_d") * F.col("_d")).alias("_sq"), F.count("_d").alias("_pairs"))
+    level = ploidy * F.col("bins") / F.col("reads")
+    return mean.join(steps, "sample_id").select("sample_id", "width", "bins", "reads", (level * level * F.col("_sq") / (2 * F.col("_pairs"))).alias("variance"))
+
+
 def downsample_mean(track: DataFrame, group: int, width: int = 1_000_000) -> DataFrame:
     """Means over groups of bins at the centre of each group; a last, smaller group counts too.
 

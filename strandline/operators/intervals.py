@@ -5,7 +5,8 @@ Spark has no range join, so every overlap join is an equi-join on
 touch and a pair is kept only in its first shared bucket, so no ``distinct`` is
 needed afterwards. The join carries no broadcast hint: Catalyst and AQE
 broadcast a panel by its measured size, and otherwise sort-merge it with AQE
-splitting hot buckets.
+splitting hot buckets. Spans that may be as long as a chromosome meet in nested bins
+instead, one stored row each.
 """
 
 from __future__ import annotations
@@ -61,6 +62,60 @@ def interval_join(
     return lefts.join(rights, keep, "inner").drop("_b", "_rb", *[f"_r_{k}" for k in on])
 
 
+#: Bins of the nested join are BUCKET * 8^k wide; the widest holds any chromosome.
+LEVELS = 6
+
+
+def _own_bin(first: Column, last: Column) -> Column:
+    """Level and number of the narrowest bin that holds positions ``first`` to ``last``."""
+    fits = None
+    for k in range(LEVELS):
+        width = BUCKET * 8**k
+        here = F.struct(F.lit(k).alias("level"), _bucket(first, width).alias("bin"))
+        found = _bucket(first, width) == _bucket(last, width)
+        fits = F.when(found, here) if fits is None else fits.when(found, here)
+    return fits.otherwise(F.struct(F.lit(LEVELS).alias("level"), F.lit(0).cast("bigint").alias("bin")))
+
+
+def _wider_bins(own: Column) -> Column:
+    """The bins around a bin, one per wider level."""
+    levels = F.sequence(own["level"] + 1, F.lit(LEVELS))
+    number = lambda k: F.when(k == LEVELS, F.lit(0).cast("bigint")).otherwise(F.floor(own["bin"] / F.pow(F.lit(8.0), k - own["level"])).cast("bigint"))
+    return F.when(own["level"] == LEVELS, F.array().cast("array<struct<level:int,bin:bigint>>")).otherwise(F.transform(levels, lambda k: F.struct(k.alias("level"), number(k).alias("bin"))))
+
+
+def nested_interval_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str] = ("chrom",),
+    left_span: tuple[str, str] = ("ref_start", "ref_end"),
+    right_span: tuple[str, str] = ("start_pos", "end_pos"),
+    min_overlap: int = 0,
+    closed: bool = False,
+) -> DataFrame:
+    """The pairs of ``interval_join`` for spans of any length: no span is copied per bucket that it touches.
+
+    Bins are nested, eight in the next wider one. A span is stored once, in the
+    narrowest bin that holds it, and looked up in that bin and those around it, so a
+    whole chromosome is one stored row and at most six look-ups. Spans that overlap lie
+    in bins of which one holds the other, so two joins find each pair once: stored left
+    spans with right look-ups, and left look-ups in wider bins with stored right spans.
+    """
+    extra = 1 if closed else 0
+    ls, le = F.col(left_span[0]), F.col(left_span[1]) + extra
+    rs, re_ = F.col(right_span[0]), F.col(right_span[1]) + extra
+    rights = right.withColumnsRenamed({k: f"_r_{k}" for k in on}).withColumn("_own", _own_bin(rs, re_ - 1)).filter(rs < re_)
+    lefts = left.withColumn("_own", _own_bin(ls, le - 1)).filter(ls < le)
+    lefts, rights = lefts.withColumnRenamed("_own", "_lo"), rights.withColumnRenamed("_own", "_ro")
+    own_l, own_r = F.col("_lo"), F.col("_ro")
+    met = F.least(le, re_) - F.greatest(ls, rs) > min_overlap
+    for key in on:
+        met = met & (F.col(key) == F.col(f"_r_{key}"))
+    narrow = lefts.join(rights.withColumn("_rb", F.explode(F.concat(F.array(own_r), _wider_bins(own_r)))), (own_l == F.col("_rb")) & met).drop("_rb")
+    wide = lefts.withColumn("_lb", F.explode(_wider_bins(own_l))).join(rights, (F.col("_lb") == own_r) & met).drop("_lb")
+    return narrow.unionByName(wide).drop("_lo", "_ro", *[f"_r_{k}" for k in on])
+
+
 def overlap_length(left_span=("ref_start", "ref_end"), right_span=("start_pos", "end_pos")) -> Column:
     return F.least(F.col(left_span[1]), F.col(right_span[1])) - F.greatest(F.col(left_span[0]), F.col(right_span[0]))
 
@@ -98,7 +153,7 @@ def count_reads_per_target(alignments: DataFrame, regions: DataFrame, keys: Sequ
 
 
 def first_matching_region(points: DataFrame, regions: DataFrame, point_keys: Sequence[str], order: str, position: str = "pos") -> DataFrame:
-    """The first region in ``order`` whose closed interval holds the point.
+    """The first region in ``order`` whose closed interval holds the point, one row per distinct point.
 
     ``min`` of a struct instead of a ranking window: it combines map-side.
     """
@@ -106,14 +161,14 @@ def first_matching_region(points: DataFrame, regions: DataFrame, point_keys: Seq
     side = side.select("chrom", F.col("start_pos").alias("_rs"), F.col("end_pos").alias("_re"), "_p")
     pairs = interval_join(points.withColumn("_pe", F.col(position)), side, left_span=(position, "_pe"), right_span=("_rs", "_re"), closed=True)
     rest = [c for c in points.columns if c not in point_keys]
-    best = pairs.groupBy(*point_keys).agg(*[F.first(c).alias(c) for c in rest], F.min("_p").alias("_p"))
+    best = pairs.groupBy(*point_keys, *rest).agg(F.min("_p").alias("_p"))
     return best.select(*points.columns, "_p.*")
 
 
 def genes_in_region(spans: DataFrame, genes: DataFrame, keys: Sequence[str], span=("start_pos", "end_pos")) -> DataFrame:
     """Distinct genes touching each closed region, as a sorted list."""
     side = genes.select("chrom", F.col("start_pos").alias("_gs"), F.col("end_pos").alias("_ge"), "gene")
-    hits = interval_join(spans, side, left_span=span, right_span=("_gs", "_ge"), closed=True, width=1 << 20)
+    hits = nested_interval_join(spans, side, left_span=span, right_span=("_gs", "_ge"), closed=True)
     return hits.select(*keys, "gene").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("gene")).alias("genes"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: fixed value: the promoter locus of the MGMT gene
@@ -200,3 +200,30 @@ def sample_table_filter(samples: DataFrame, origin: str | None = None, job_type:
 
 def files_by_time(qc: DataFrame) -> DataFrame:
     return qc.select("sample_id", "file", "last_start").orderBy("last_start", "file")
+
+
+#: fixed values: files of a batch, by job type, and the idle time in milliseconds that ends one
+BATCH_SIZES = {"cnv": 50, "preprocessing": 1}
+BATCH_SIZE, IDLE_MS = 20, 2000
+
+
+def batch_plan(arrivals: DataFrame, large: float, sizes: dict[str, int] | None = None, size: int = BATCH_SIZE, idle_ms: int = IDLE_MS) -> DataFrame:
+    """The batch of every arriving file: ``sample_id, job_type, file, session, batch``.
+
+    ``arrivals`` has ``sample_id, job_type, file, ts_ms, size``, one row per file. A session
+    of a sample and job type ends where nothing arrives for ``idle_ms``; within it the
+    files fill batches in order of arrival. A file above ``large`` is a batch of its
+    own, and takes no place in the others, but its arrival keeps the session open.
+    Sessions count from 1 in a window per sample and job type, over file rows only;
+    batches of a session count from 0, those of large files below -1 downward.
+    """
+    limit = F.lit(size)
+    for job, n in (BATCH_SIZES if sizes is None else sizes).items():
+        limit = F.when(F.col("job_type") == job, n).otherwise(limit)
+    series = Window.partitionBy("sample_id", "job_type").orderBy("ts_ms", "file")
+    opens = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(series) >= idle_ms, F.lit(True))
+    rows = arrivals.withColumns({"_opens": opens.cast("bigint"), "_large": F.col("size") > large})
+    rows = rows.withColumn("session", F.sum("_opens").over(series.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy("sample_id", "job_type", "session", "_large").orderBy("ts_ms", "file")) - 1
+    rows = rows.withColumns({"_at": place.cast("bigint"), "_limit": limit.cast("bigint")})
+    return rows.select("sample_id", "job_type", "file", "session", F.when(F.col("_large"), -1 - F.col("_at")).otherwise(F.expr("_at div _limit")).alias("batch"))

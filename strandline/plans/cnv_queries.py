@@ -210,6 +210,53 @@ def even_sample(v):
     return cnv.even_sample(raw_track(v), 12)
 
 
+@query(
+    "SRT4_even_sample_budget",
+    f"""WITH {TRACK}, r AS (SELECT *, row_number() OVER (PARTITION BY sample_id, chrom ORDER BY bin_idx) - 1 AS i FROM raw_track),
+        sizes AS (SELECT sample_id, chrom, count(*) AS n FROM r GROUP BY 1, 2),
+        sums AS (SELECT *, sum(n) OVER (PARTITION BY sample_id) AS total, count(*) OVER (PARTITION BY sample_id) AS k FROM sizes),
+        quota AS (SELECT *, (200 - k) * (n - 1) // (total - k) AS down, (200 - k) * (n - 1) % (total - k) AS remains FROM sums),
+        turns AS (SELECT *, 200 - k - sum(down) OVER (PARTITION BY sample_id) AS spare, row_number() OVER (PARTITION BY sample_id ORDER BY remains DESC, chrom) AS turn FROM quota),
+        shares AS (SELECT *, CASE WHEN total <= 200 THEN n ELSE 1 + down + (turn <= spare)::INT END AS share FROM turns),
+        spots AS (SELECT sample_id, chrom, CASE WHEN share = 1 THEN n // 2 ELSE (2 * s * (n - 1) + share - 1) // (2 * (share - 1)) END AS i FROM (SELECT *, unnest(range(0, share::BIGINT)) AS s FROM shares))
+        SELECT sample_id, chrom, bin_idx, value FROM r JOIN spots USING (sample_id, chrom, i)""",
+)
+def even_sample_budget(v):
+    """200 rows of each sample, over all its chromosomes."""
+    return cnv.even_sample_budget(raw_track(v), 200)
+
+
+FITTED = """base AS (SELECT sample_id, chrom, ref_start // 125000 AS b, count(*) AS n FROM cnv_starts WHERE mapq >= 60 AND chrom <> 'chrM' GROUP BY 1, 2, 3),
+  ends AS (SELECT sample_id, chrom, max(b) AS lastb, sum(n) AS n FROM base WHERE regexp_matches(chrom, '^chr[0-9]+$') GROUP BY 1, 2),
+  tried AS (SELECT sample_id, k, sum(n) AS n, sum((lastb >> k) + 1) AS bins FROM ends, (SELECT unnest(range(0, 7)) AS k) GROUP BY 1, 2),
+  level AS (SELECT sample_id, coalesce(min(k) FILTER (n >= 30 * bins), 6) AS k FROM tried GROUP BY 1),
+  fitted AS (SELECT sample_id, 125000 * (1 << any_value(k)) AS width, chrom, b >> k AS bin_idx, sum(n) AS n FROM base JOIN level USING (sample_id) GROUP BY sample_id, chrom, b >> k)"""
+
+
+def fitted(v):
+    """The reads come in two parts, which are counted apart."""
+    parts = [cnv.base_counts(v.cnv_starts.filter(f"ref_start % 2 = {i}")) for i in (0, 1)]
+    return cnv.fitted_bins(parts[0].unionByName(parts[1]))
+
+
+@query("AGG37_fitted_bins", f"WITH {FITTED} SELECT sample_id, width, chrom, bin_idx, CAST(n AS BIGINT) AS n FROM fitted")
+def fitted_bins(v):
+    return fitted(v)
+
+
+@query(
+    "AGG37_width_and_variance",
+    f"""WITH {FITTED}, tops AS (SELECT sample_id, width, chrom, max(bin_idx) AS lastb, sum(n) AS n FROM fitted WHERE regexp_matches(chrom, '^chr[0-9]+$') GROUP BY 1, 2, 3),
+        cells AS (SELECT sample_id, width, chrom, unnest(range(0, lastb + 1)) AS bin_idx FROM tops),
+        steps AS (SELECT c.sample_id, coalesce(f.n, 0) - lag(coalesce(f.n, 0)) OVER (PARTITION BY c.sample_id, c.chrom ORDER BY c.bin_idx) AS d FROM cells c LEFT JOIN fitted f USING (sample_id, chrom, bin_idx)),
+        noise AS (SELECT sample_id, sum(d * d) AS sq, count(d) AS pairs FROM steps GROUP BY 1),
+        totals AS (SELECT sample_id, width, CAST(sum(lastb + 1) AS BIGINT) AS bins, CAST(sum(n) AS BIGINT) AS reads FROM tops GROUP BY 1, 2)
+        SELECT sample_id, width, bins, reads, (2.0E0 * bins / reads) * (2.0E0 * bins / reads) * sq / (2 * pairs) AS variance FROM totals JOIN noise USING (sample_id)""",
+)
+def width_and_variance(v):
+    return cnv.width_and_variance(fitted(v))
+
+
 @query(
     "SRT5_downsample_mean",
     f"""WITH {TRACK}, r AS (SELECT *, max(bin_idx) OVER (PARTITION BY sample_id, chrom) + 1 AS n FROM raw_track)

@@ -82,6 +82,22 @@ def variants_in_regions(v):
     return out.select("chrom", "pos", "id", "alt", "target_id", F.col("name").alias("gene"))
 
 
+@query(
+    "JN1_nested_spans",
+    """WITH long AS (SELECT chrom, min(start_pos) AS a, max(end_pos) AS b, 'chromosome' AS kind FROM cytobands GROUP BY 1 UNION ALL SELECT chrom, min(start_pos), max(end_pos), concat('arm ', substr(band, 1, 1)) FROM cytobands GROUP BY chrom, substr(band, 1, 1)
+         UNION ALL SELECT chrom, start_pos, end_pos, band FROM cytobands)
+       SELECT l.chrom, l.kind, g.gene, g.start_pos, least(l.b, g.end_pos) - greatest(l.a, g.start_pos) AS overlap FROM long l JOIN cnv_genes g ON l.chrom = g.chrom AND least(l.b, g.end_pos) - greatest(l.a, g.start_pos) > 0""",
+)
+def nested_spans(v):
+    """Genes in whole chromosomes, arms and bands at once: spans of 5 to 50 million bases against spans of 20,000."""
+    spans = [F.min("start_pos").alias("a"), F.max("end_pos").alias("b")]
+    arms = v.cytobands.groupBy("chrom", F.concat(F.lit("arm "), F.substring("band", 1, 1)).alias("kind")).agg(*spans)
+    whole = v.cytobands.groupBy("chrom", F.lit("chromosome").alias("kind")).agg(*spans)
+    long = whole.unionByName(arms).unionByName(v.cytobands.select("chrom", F.col("band").alias("kind"), F.col("start_pos").alias("a"), F.col("end_pos").alias("b")))
+    pairs = iv.nested_interval_join(long, v.cnv_genes, left_span=("a", "b"))
+    return pairs.select("chrom", "kind", "gene", "start_pos", iv.overlap_length(("a", "b")).alias("overlap"))
+
+
 @query(
     "JN12_genes_in_region",
     """SELECT c.chrom, c.band, count(*) AS n_genes, string_agg(g.gene, ',' ORDER BY g.gene) AS genes

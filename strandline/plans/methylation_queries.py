@@ -224,6 +224,37 @@ def write_bedmethyl(v):
     return v.spark.read.text(path)
 
 
+def line_key():
+    fields = F.split("value", "\t")
+    return fields[0], fields[1].cast("bigint")
+
+
+@query(
+    "SNK1_ordered_parts",
+    f"""WITH {COMBINED}, lines AS (SELECT chrom, pos, concat_ws(chr(9), chrom, pos, pos + 1, 'C', valid_cov, strand, pos, pos + 1, '255,0,0', valid_cov, printf('%.2f', percent_modified), n_mod, n_canonical, 0, 0, n_fail, 0, 0) AS value
+        FROM combined WHERE n_mod > 0 OR n_canonical > 0) SELECT row_number() OVER (ORDER BY chrom, pos, value) AS line, value FROM lines""",
+)
+def ordered_parts(v):
+    """Every line with its number over all parts, as the files hold it."""
+    path = scratch_path(v.spark, "ordered")
+    lay.write_ordered(lay.bedmethyl_lines(me.mod_site_counts_combined(v.mod_calls)), line_key(), path, rows_per_part=300)
+    return lay.read_ordered(v.spark, path)
+
+
+@query(
+    "SNK3_ordered_range",
+    """WITH lines AS (SELECT chrom, start_pos, concat_ws(chr(9), chrom, start_pos, end_pos) AS value FROM regions), numbered AS (SELECT *, row_number() OVER (ORDER BY chrom, start_pos, value) AS line FROM lines)
+       SELECT line, value FROM numbered WHERE chrom = 'chr3' AND start_pos BETWEEN 100000 AND 120000""",
+)
+def ordered_range(v):
+    """One stretch of a chromosome, from the parts that the manifest names."""
+    path = scratch_path(v.spark, "ordered-bed")
+    lay.write_ordered(lay.bed_lines(v.regions, 3), line_key(), path, rows_per_part=100)
+    found = lay.read_ordered(v.spark, path, ("chr3", 100_000), ("chr3", 120_000))
+    chrom, start = line_key()
+    return found.filter((chrom == "chr3") & start.between(100_000, 120_000))
+
+
 @query(
     "SNK2_write_meth_state",
     f"""WITH {BY_CODE} SELECT sample_id, chrom, pos AS "chromStart", mod_code, strand, valid_cov, CAST(printf('%.2f', percent_modified) AS DOUBLE) AS percent_modified, n_mod, n_canonical

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from strandline.operators import scores as sc
 from strandline.plans.registry import query
 from strandline.session import scratch_path
-from strandline.sources.text import read_score_reports
+from strandline.sources.text import log_proportions, log_shapes, read_json_log, read_score_reports
 
 RANKED = "row_number() OVER (PARTITION BY sample_id, classifier ORDER BY {v} DESC, class_name) AS rank"
 
@@ -97,3 +97,29 @@ def calibrate_scores(v):
 def bed_fraction_series(v):
     log = v.job_events.select("sample_id", F.col("job_id").alias("ts"), F.create_map(F.lit("cnv_breakpoints"), F.col("duration_seconds") / 1000, F.lit("target_panel"), F.col("duration_seconds") / 2000).alias("proportions"))
     return sc.fraction_series(log)
+
+
+def json_log(v):
+    """A log on disk: six in ten records hold a map, three a single type, and one in ten is cut off."""
+    half = F.create_map(F.lit("cnv_breakpoints"), F.col("duration_seconds") / 1000, F.lit("target_panel"), F.col("duration_seconds") / 2000)
+    newer = F.to_json(F.struct("sample_id", F.col("job_id").alias("ts"), half.alias("proportions")))
+    older = F.to_json(F.struct("sample_id", F.col("job_id").alias("ts"), F.lit("cnv_breakpoints").alias("type"), (F.col("duration_seconds") / 1000).alias("proportion")))
+    turn = F.expr("job_id div 3 % 10")
+    line = F.when(turn < 6, newer).when(turn < 9, older).otherwise(F.substring(newer, 1, 25))
+    path = scratch_path(v.spark, "json-log")
+    v.job_events.select(line.alias("value")).write.text(path)
+    return read_json_log(v.spark, path)
+
+
+@query(
+    "SET7_json_log",
+    """SELECT sample_id, 'cnv_breakpoints' AS type, job_id * 1000 AS ts_ms, 100.0 * (duration_seconds / 1000) AS percent FROM job_events WHERE job_id // 3 % 10 < 9
+       UNION ALL SELECT sample_id, 'target_panel', job_id * 1000, 100.0 * (duration_seconds / 2000) FROM job_events WHERE job_id // 3 % 10 < 6""",
+)
+def fractions_of_json_log(v):
+    return sc.fraction_series(log_proportions(json_log(v)))
+
+
+@query("SET7_json_log_shapes", "SELECT CASE WHEN job_id // 3 % 10 < 6 THEN 'map' WHEN job_id // 3 % 10 < 9 THEN 'single' ELSE 'broken' END AS shape, count(*) AS lines FROM job_events GROUP BY 1")
+def shapes_of_json_log(v):
+    return log_shapes(json_log(v))

@@ -7,6 +7,7 @@ read back as a stream of several micro-batches.
 from pyspark.sql import functions as F
 
 from strandline.operators import coverage as cv
+from strandline.operators import qc
 from strandline.plans.cnv_queries import TRACK
 from strandline.plans.coverage_queries import OVERLAP
 from strandline.plans.fusion_queries import PLACES, TAGS
@@ -103,6 +104,38 @@ def idempotent_files(v):
     return st.idempotent_files(arriving(v, v.alignments), *places(v, "files"))
 
 
+@query(
+    "STM9_changed_files",
+    """WITH files AS (SELECT sample_id, file AS path, count(*) AS size FROM alignments GROUP BY 1, 2)
+       SELECT sample_id, path, size, 1 AS modified FROM files UNION ALL SELECT sample_id, path, size + 7, 2 FROM files WHERE size % 3 = 0""",
+)
+def changed_files(v):
+    """The listing comes three times: as it is, unchanged, and with every third file rewritten under its name."""
+    files = v.alignments.groupBy("sample_id", F.col("file").alias("path")).agg(F.count(F.lit(1)).alias("size")).withColumn("modified", F.lit(1))
+    third = F.col("size") % 3 == 0
+    again = files.withColumns({"size": F.when(third, F.col("size") + 7).otherwise(F.col("size")), "modified": F.when(third, 2).otherwise(1)})
+    path = scratch_path(v.spark, "listing")
+    for n, part in enumerate((files, files, again)):
+        part.coalesce(1).write.parquet(f"{path}/n{n}")
+    listing = st.stream_alignments(v.spark, path, files.schema, 1)
+    return st.changed_files(listing, *places(v, "fingerprints")).drop("fingerprint")
+
+
+@query(
+    "STM1_batch_plan",
+    """WITH arrivals AS (SELECT sample_id, job_type, concat('f', job_id) AS file, job_id * 5 + job_id // 2000 * 5000 AS ts_ms, duration_seconds AS size FROM job_events),
+       gaps AS (SELECT *, coalesce(ts_ms - lag(ts_ms) OVER w >= 2000, true)::INT AS opens FROM arrivals WINDOW w AS (PARTITION BY sample_id, job_type ORDER BY ts_ms, file)),
+       sessions AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY sample_id, job_type ORDER BY ts_ms, file ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM gaps),
+       placed AS (SELECT *, row_number() OVER (PARTITION BY sample_id, job_type, session, size > 300 ORDER BY ts_ms, file) - 1 AS place FROM sessions)
+       SELECT sample_id, job_type, file, session, CASE WHEN size > 300 THEN -1 - place ELSE place // CASE job_type WHEN 'cnv' THEN 50 WHEN 'preprocessing' THEN 1 ELSE 20 END END AS batch FROM placed""",
+)
+def batch_plan(v):
+    """Arrivals every 5 ms a job, with a pause of 5 s after each 2,000 jobs; files above 300 are large."""
+    ts = F.expr("job_id * 5 + job_id div 2000 * 5000").alias("ts_ms")
+    log = v.job_events.select("sample_id", "job_type", F.concat(F.lit("f"), "job_id").alias("file"), ts, F.col("duration_seconds").alias("size"))
+    return qc.batch_plan(log, 300)
+
+
 @query("STM10_score_history", "SELECT sample_id, classifier, batch_id AS run, class_name, score FROM class_scores")
 def score_history(v):
     rows = v.class_scores.withColumnRenamed("batch_id", "run")

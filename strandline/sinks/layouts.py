@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: fixed value: the colour of the format, like the column names below
@@ -52,6 +52,40 @@ def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     lines.write.mode(mode).text(path)
 
 
+def write_ordered(lines: DataFrame, key: Sequence[Column], path: str, rows_per_part: int = 1_000_000) -> None:
+    """Text parts in the order of ``key`` (columns of ``value``) across all parts, with a manifest.
+
+    Parts are ranges of the sampled keys, sorted on their own, so no task sees more than its
+    part. The manifest has the file, rows, offset, and first and last key of each part, taken
+    from what was written.
+    """
+    parts = max(1, -(-lines.count() // rows_per_part))
+    lines.repartitionByRange(parts, *key, "value").sortWithinPartitions(*key, "value").write.text(f"{path}/lines")
+    written = lines.sparkSession.read.text(f"{path}/lines").select("value", F.col("_metadata.file_name").alias("file"))
+    whole = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(key)])
+    per_part = written.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.min(whole).alias("first"), F.max(whole).alias("last"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    per_part.withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0))).write.parquet(f"{path}/manifest")
+
+
+def read_ordered(spark: SparkSession, path: str, low: Sequence | None = None, high: Sequence | None = None) -> DataFrame:
+    """``line`` (from 1) and ``value`` of the parts that can hold keys from ``low`` to ``high``, which may be shorter than the key; others are not opened."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    kinds = [f.dataType for f in manifest.schema["first"].dataType.fields]
+    start = lambda whole, bound: F.struct(*[F.col(f"{whole}.k{i}") for i in range(len(bound))])
+    given = lambda bound: F.struct(*[F.lit(v).cast(kinds[i]).alias(f"k{i}") for i, v in enumerate(bound)])
+    if low is not None:
+        manifest = manifest.filter(start("last", low) >= given(low))
+    if high is not None:
+        manifest = manifest.filter(start("first", high) <= given(high))
+    parts = manifest.select("file", "offset").collect()  # one row per part
+    if not parts:
+        return spark.createDataFrame([], "line long, value string")
+    texts = spark.read.text([f"{path}/lines/{p.file}" for p in parts], wholetext=True)
+    split = texts.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\n\\z", ""), "\n")).alias("at", "value"))
+    return split.join(manifest.select("file", "offset"), "file").select((F.col("offset") + F.col("at") + 1).alias("line"), "value")
+
+
 def append_candidates(candidates: DataFrame, path: str, batch_id: int | None = None) -> None:
     """Appends a batch below ``candidate_type`` and ``sample_id`` folders.
 

@@ -307,3 +307,32 @@ def validate_bed(lines: DataFrame, limit: int | None = None) -> DataFrame:
     if limit is None:
         return rows
     return rows.orderBy(*(["line"] if "line" in rows.columns else ["value"])).limit(limit)
+
+
+def read_json_log(spark, path: str) -> DataFrame:
+    """Lines of a JSON log whose records change shape: ``value, record`` (a variant) and ``broken`` for lines that are no JSON."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.withColumn("record", F.try_parse_json("value")).withColumn("broken", F.col("record").isNull())
+
+
+def log_proportions(log: DataFrame) -> DataFrame:
+    """``sample_id, ts, proportions`` of the records of either shape.
+
+    Newer records hold a map of proportions by type, older ones a single type and its
+    proportion. Broken lines and records of neither shape are not among them; ``log_shapes``
+    counts those.
+    """
+    field = lambda path, kind: F.try_variant_get("record", path, kind)
+    single = F.when(field("$.type", "string").isNotNull() & field("$.proportion", "double").isNotNull(), F.create_map(field("$.type", "string"), field("$.proportion", "double")))
+    rows = log.filter(~F.col("broken")).select(
+        field("$.sample_id", "string").alias("sample_id"), field("$.ts", "bigint").alias("ts"), F.coalesce(field("$.proportions", "map<string,double>"), single).alias("proportions")
+    )
+    return rows.filter("proportions IS NOT NULL")
+
+
+def log_shapes(log: DataFrame) -> DataFrame:
+    """Lines by shape: ``map``, ``single``, ``other`` and ``broken``."""
+    field = lambda path, kind: F.try_variant_get("record", path, kind)
+    shape = F.when(F.col("broken"), "broken").when(field("$.proportions", "map<string,double>").isNotNull(), "map")
+    shape = shape.when(field("$.type", "string").isNotNull() & field("$.proportion", "double").isNotNull(), "single").otherwise("other")
+    return log.groupBy(shape.alias("shape")).agg(F.count(F.lit(1)).alias("lines"))
