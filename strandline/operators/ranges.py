@@ -147,19 +147,40 @@ def genome_fraction(regions: DataFrame, lengths: DataFrame) -> DataFrame:
 def master_regions(sources: dict[str, DataFrame], panel: DataFrame | None = None, expand: Sequence[str] = ("cnv",)) -> DataFrame:
     """Union of all sources on both strands, merged, then merged with the panel."""
     cols = ["chrom", "start_pos", "end_pos", "name", "strand"]
-    parts = []
-    for name, df in sources.items():
-        part = expand_breakpoints(df) if name in expand else both_strands(df)
-        parts.append(part.select(*cols))
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
+    parts = stranded_sources(sources, expand)
+    union = None
+    for part in parts.values():
+        union = part.select(*cols) if union is None else union.unionByName(part.select(*cols))
     merged = merge_overlapping(union)
     if panel is not None:
         merged = merge_overlapping(merged.select(*cols).unionByName(both_strands(panel).select(*cols)))
     return merged
 
 
+def stranded_sources(sources: dict[str, DataFrame], expand: Sequence[str] = ("cnv",)) -> dict[str, DataFrame]:
+    """Each source as it enters the union: breakpoints widened, rows without strand on both."""
+    return {name: expand_breakpoints(df) if name in expand else both_strands(df) for name, df in sources.items()}
+
+
+def source_report(sources: dict[str, DataFrame], panel: DataFrame, lengths: DataFrame, expand: Sequence[str] = ("cnv",)) -> DataFrame:
+    """Regions and covered share of the genome per source, for the panel, and for the merged whole."""
+    keys = ["chrom", "strand"]
+    parts = {**stranded_sources(sources, expand), "target_panel": both_strands(panel)}
+    spans = {name: part.select(*keys, "start_pos", "end_pos") for name, part in parts.items()}
+    merged = {name: merge_ranges(rows, keys) for name, rows in spans.items()}
+    whole = None
+    for rows in merged.values():
+        whole = rows if whole is None else whole.unionByName(rows)
+    merged["master"] = spans["master"] = merge_ranges(whole, keys)
+    out = None
+    for name, rows in spans.items():
+        counted = rows.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("regions"))
+        share = genome_fraction(merged[name], lengths).select("plus_proportion", "minus_proportion", "total_proportion")
+        one = counted.join(share, F.lit(True))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def first_per_gene(regions: DataFrame, order: Sequence[str]) -> DataFrame:
     """Comma lists of genes split; the first region of each gene stays."""
     rows = regions.withColumn("gene", F.explode(F.split("name", ","))).withColumn("gene", F.trim("gene")).filter("gene <> ''")

@@ -183,6 +183,25 @@ def gene_variant_summary(joined: DataFrame, min_depth: int = 10) -> DataFrame:
     return out.withColumn("pathogenic_status", status)
 
 
+def gene_variant_rows(evidence: DataFrame, min_depth: int = 10) -> DataFrame:
+    """One row per sample, gene and variant of a summary, with its evidence and coverage status."""
+    status = F.when(F.col("depth") >= min_depth, "high").otherwise("low")
+    symbol = F.substring_index(info_map(F.col("info"))["GENEINFO"], ":", 1)
+    return evidence.select("sample_id", symbol.alias("gene"), "chrom", "pos", "id", "ref", "alt", "depth", "alt_support", "vaf", "evidence_level", "zygosity", status.alias("coverage_status"))
+
+
+def gene_regions(rows: DataFrame, regions: DataFrame, key: str = "target_id") -> DataFrame:
+    """How many regions the variants of a sample's gene lie in."""
+    spots = rows.select("sample_id", "gene", "chrom", "pos").distinct().withColumn("_e", F.col("pos"))
+    hit = interval_join(spots, regions.select("chrom", "start_pos", "end_pos", key), left_span=("pos", "_e"), closed=True)
+    return hit.select("sample_id", "gene", key).distinct().groupBy("sample_id", "gene").agg(F.count(F.lit(1)).alias("regions"))
+
+
+def only_low_coverage(summary: DataFrame) -> DataFrame:
+    """Genes that have variants, none of them well covered."""
+    return summary.filter((F.col("high_coverage_variants") == 0) & (F.col("total_variants") > 0))
+
+
 def top_genes(summary: DataFrame, k: int = 20) -> DataFrame:
     """The ``k`` genes of each sample with the deepest variant."""
     w = Window.partitionBy("sample_id").orderBy(F.desc("max_depth"), "gene")

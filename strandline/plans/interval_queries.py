@@ -240,14 +240,33 @@ MASTER = f"""WITH cnv_in AS (SELECT chrom, start_pos, end_pos, name FROM regions
   {_merged('pool2')}"""
 
 
-@query("SET4_master_regions", MASTER)
-def master_regions(v):
+def master_sources(v):
     cnv = v.regions.filter("region_type = 'target'").select("chrom", "start_pos", "end_pos", "name")
     fusion = v.alignments.filter("is_supplementary").select(
         "chrom", F.col("ref_start").alias("start_pos"), F.col("ref_end").alias("end_pos"), F.lit("breakpoint").alias("name"), "strand"
     )
-    panel = v.regions.select("chrom", "start_pos", "end_pos", "name", "strand")
-    return rg.master_regions({"cnv": cnv, "fusion": fusion}, panel)
+    return {"cnv": cnv, "fusion": fusion}, v.regions.select("chrom", "start_pos", "end_pos", "name", "strand")
+
+
+@query("SET4_master_regions", MASTER)
+def master_regions(v):
+    return rg.master_regions(*master_sources(v))
+
+
+_SHARE = """SELECT '{name}' AS source, (SELECT count(*) FROM {rows}) AS regions, plus / g AS plus_proportion, minus / g AS minus_proportion, (plus + minus) / (2 * g) AS total_proportion
+  FROM (SELECT coalesce(sum(b) FILTER (strand = '+'), 0) AS plus, coalesce(sum(b) FILTER (strand = '-'), 0) AS minus, (SELECT sum(length) FROM genome) AS g
+    FROM (SELECT strand, greatest(0, least(end_pos, length) - greatest(start_pos, 0)) AS b FROM ({merged}) m JOIN genome USING (chrom)))"""
+
+
+@query(
+    "SET4_source_report",
+    MASTER.replace("\n  " + _merged("pool2"), "")
+    + f""", widened AS (SELECT chrom, start_pos, end_pos, name, strand FROM ({EXPANDED.format(src='cnv_in')})), fus_rows AS (SELECT * FROM fus_in), panel AS ({STRANDED.format(src='regions')}), whole AS ({_merged('pool2')})
+      {_SHARE.format(name='cnv', rows='widened', merged=_merged('widened'))} UNION ALL {_SHARE.format(name='fusion', rows='fus_rows', merged=_merged('fus_rows'))}
+      UNION ALL {_SHARE.format(name='target_panel', rows='panel', merged=_merged('panel'))} UNION ALL {_SHARE.format(name='master', rows='whole', merged=_merged('whole'))}""",
+)
+def source_report(v):
+    return rg.source_report(*master_sources(v), v.genome)
 
 
 @query(

@@ -239,3 +239,23 @@ CHECK_LINES = """check_lines AS (SELECT target_id, CASE WHEN strand = '+' THEN c
 )
 def validate_bed(v):
     return src.validate_bed(v.sql(f"WITH {CHECK_LINES} SELECT * FROM check_lines")).drop("value")
+
+
+#: Operations of every kind: insertions, skips, clips of both sorts, padding, = and X, and alignments without operations.
+SHAPES = ["concat('3H5S', n, 'M4I', n + 2, 'M2D7M')", "concat(n, '=1X', n, '=300N', n + 5, 'M6S')", "concat('2S', n, 'M2P3I', n, 'M9H')", "concat('10I', n, 'X')", "'*'", "concat('5S', n, 'M5D', n + 1, 'M')"]
+SHAPED = "CASE ref_start % 6 " + " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(SHAPES)) + " END"
+
+
+@query(
+    "STR2_block_shapes",
+    f"""WITH shaped AS (SELECT sample_id, read_id, ref_start, is_secondary, {SHAPED} AS cigar FROM (SELECT *, CAST(query_length AS VARCHAR) AS q, query_length AS n FROM alignments)),
+        once AS (SELECT DISTINCT sample_id, read_id, ref_start, cigar FROM shaped),
+        lists AS (SELECT *, regexp_extract_all(cigar, '([0-9]+)[MIDNSHP=X]', 1) AS ns, regexp_extract_all(cigar, '[0-9]+([MIDNSHP=X])', 1) AS ops FROM once),
+        steps AS (SELECT sample_id, read_id, ref_start, cigar, unnest(range(1, len(ops) + 1)) AS i, CAST(unnest(ns) AS BIGINT) AS n, unnest(ops) AS op FROM lists),
+        places AS (SELECT *, coalesce(sum(CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THEN n ELSE 0 END) OVER w, 0) AS r, coalesce(sum(CASE WHEN op IN ('M', 'I', 'S', '=', 'X') THEN n ELSE 0 END) OVER w, 0) AS q
+          FROM steps WINDOW w AS (PARTITION BY sample_id, read_id, ref_start, cigar ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT sample_id, read_id, ref_start, cigar, CAST(ref_start + r AS BIGINT) AS block_start, CAST(ref_start + r + n AS BIGINT) AS block_end, CAST(q AS BIGINT) AS read_offset FROM places WHERE op IN ('M', '=', 'X')""",
+)
+def block_shapes(v):
+    rows = v.alignments.withColumn("n", F.col("query_length")).withColumn("cigar", F.expr(SHAPED))
+    return aligned_blocks(rows.select("sample_id", "read_id", "ref_start", "cigar").distinct())

@@ -62,6 +62,31 @@ def stream_coverage(v):
     return cv.coverage_merge([parts], cv.TARGET, ["bases"])
 
 
+@query(
+    "STM3_coverage_timeline",
+    f"""WITH parts AS (SELECT a.sample_id, g.chrom, g.start_pos, g.end_pos, g.target_id AS name, a.ref_start % 4 AS batch_id, CAST(sum(least(a.ref_end, g.end_pos) - greatest(a.ref_start, g.start_pos)) AS BIGINT) AS bases
+          FROM regions g JOIN alignments a ON {OVERLAP.format(n=0)} AND NOT a.is_unmapped AND NOT a.is_secondary GROUP BY 1, 2, 3, 4, 5, 6),
+        stamps AS (SELECT sample_id, ref_start % 4 AS batch_id, max(st) AS ts FROM alignments GROUP BY 1, 2),
+        sums AS (SELECT *, CAST(sum(bases) OVER (PARTITION BY sample_id, chrom, start_pos, end_pos, name ORDER BY batch_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM parts)
+        SELECT sample_id, chrom, start_pos, end_pos, name, batch_id, ts, bases, total, total / (end_pos - start_pos + 1) AS coverage FROM sums JOIN stamps USING (sample_id, batch_id)""",
+)
+def coverage_timeline(v):
+    """Four batches, by the remainder of the start."""
+    path = scratch_path(v.spark, "quarters")
+    for n in range(4):
+        v.alignments.filter(f"ref_start % 4 = {n}").coalesce(1).write.parquet(f"{path}/n{n}")
+    panel = v.regions.select("chrom", "start_pos", "end_pos", F.col("target_id").alias("name"))
+    stream = st.stream_alignments(v.spark, path, v.spark.read.parquet(f"{path}/n0").schema, 1)
+    return st.coverage_timeline(st.stream_coverage(stream, panel, *places(v, "timeline"))).withColumn("batch_id", F.col("batch_id").cast("bigint"))
+
+
+@query("STM4_files_per_sample", "SELECT sample_id, count(DISTINCT file) AS files FROM meth_rows GROUP BY 1")
+def files_per_sample(v):
+    out, ck = places(v, "methylation-files")
+    st.stream_methylation(arriving(v, v.meth_rows), out, ck)
+    return st.files_per_sample(v.spark, out)
+
+
 @query(
     "STM4_stream_methylation",
     "SELECT sample_id, chrom, pos, CAST(sum(valid_cov) AS BIGINT) AS valid_cov, CAST(sum(n_mod) AS BIGINT) AS n_mod, CAST(sum(n_canonical) AS BIGINT) AS n_canonical FROM meth_rows GROUP BY 1, 2, 3",

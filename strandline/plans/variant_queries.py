@@ -139,3 +139,36 @@ def gene_variant_summary(v):
 @query("AGG22_top_genes", f"WITH {GENES} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY max_depth DESC, gene) AS rank FROM gs) WHERE rank <= 20")
 def top_genes(v):
     return va.top_genes(gene_summary(v))
+
+
+GENE = "string_split(regexp_extract(info, 'GENEINFO=([^;]*)', 1), ':')[1]"
+
+
+def gene_rows(v):
+    joined = va.variants_at_pileup(va.variant_filter(v.vcf, pathogenic_only=True), va.pileup(v.pileup_bases))
+    return va.gene_variant_rows(va.variant_evidence(joined))
+
+
+@query(
+    "AGG22_variant_rows",
+    f"""WITH {PILE} SELECT p.sample_id, {GENE} AS gene, v.chrom, v.pos, v.id, v.ref, v.alt, depth, CASE WHEN length(v.ref) <> length(v.alt) THEN 0 ELSE {_PICK.format(c='v.alt')} END AS alt_support,
+        CASE WHEN depth >= 10 THEN 'high' ELSE 'low' END AS coverage_status FROM vcf v JOIN pile p ON v.chrom = p.chrom AND v.pos = p.pos WHERE {SUBSTRING}""",
+)
+def gene_variant_rows(v):
+    return gene_rows(v).select("sample_id", "gene", "chrom", "pos", "id", "ref", "alt", "depth", "alt_support", "coverage_status")
+
+
+@query(
+    "AGG22_gene_regions",
+    f"""WITH {PILE} SELECT p.sample_id, {GENE} AS gene, count(DISTINCT g.target_id) AS regions FROM vcf v JOIN pile p ON v.chrom = p.chrom AND v.pos = p.pos
+        JOIN regions g ON g.chrom = v.chrom AND v.pos BETWEEN g.start_pos AND g.end_pos WHERE {SUBSTRING} GROUP BY 1, 2""",
+)
+def gene_regions(v):
+    return va.gene_regions(gene_rows(v), v.regions)
+
+
+@query("AGG22_only_low_coverage", f"WITH {GENES.replace('depth >= 10', 'depth >= 25').replace('depth < 10', 'depth < 25')} SELECT * FROM gs WHERE high_coverage_variants = 0")
+def only_low_coverage(v):
+    """With 25 reads for good coverage, which about half of the genes have."""
+    joined = va.variants_at_pileup(va.variant_filter(v.vcf, pathogenic_only=True), va.pileup(v.pileup_bases))
+    return va.only_low_coverage(va.gene_variant_summary(joined, 25))

@@ -6,8 +6,10 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from strandline.functions.tags import aligned_blocks
 from strandline.operators import cnv, qc
 from strandline.operators.intervals import BUCKET, LEVELS, interval_join, nested_interval_join
+from strandline.operators.ranges import source_report
 from strandline.session import scratch_path
 from strandline.sinks import layouts as lay
 from strandline.sources.text import log_proportions, log_shapes, read_json_log
@@ -166,3 +168,32 @@ def test_a_changed_file_counts_again_and_a_repeated_one_does_not(spark):
     out, ck = scratch_path(spark, "o"), scratch_path(spark, "c")
     for _ in range(2):
         assert rows(st.changed_files(listing, out, ck), "path", "size", "modified") == [("f1", 10, 1), ("f1", 11, 2), ("f2", 20, 1)]
+
+
+def test_source_report_counts_and_covers(spark):
+    one = "chrom string, start_pos long, end_pos long, name string, strand string"
+    cnv_in = spark.createDataFrame([("c1", 50_000, 60_000, "a")], "chrom string, start_pos long, end_pos long, name string")
+    fusion = spark.createDataFrame([("c1", 100, 200, "b", "+"), ("c1", 150, 300, "c", "+"), ("c2", 0, 500, "d", ".")], one)
+    panel = spark.createDataFrame([("c1", 250, 400, "p", "+"), ("c2", 400, 900, "q", "-")], one)
+    lengths = spark.createDataFrame([("c1", 100_000), ("c2", 1000)], "chrom string, length long")
+    got = {r.source: (r.regions, round(r.plus_proportion * 101_000), round(r.minus_proportion * 101_000)) for r in source_report({"cnv": cnv_in, "fusion": fusion}, panel, lengths).collect()}
+    assert got == {"cnv": (4, 30_000, 30_000), "fusion": (4, 700, 500), "target_panel": (2, 150, 500), "master": (5, 30_800, 30_900)}
+
+
+def test_timeline_adds_up_and_files_count_once(spark):
+    part = "sample_id string, chrom string, start_pos long, end_pos long, name string, length long, coverage double, bases long, ts date, batch_id int"
+    parts = spark.createDataFrame([("s", "c1", 1, 100, "t", 100, 0.0, b, None, n) for n, b in ((0, 50), (2, 25), (5, 25))], part)
+    assert rows(st.coverage_timeline(parts), "batch_id", "bases", "total", "coverage") == [(0, 50, 50, 0.5), (2, 25, 75, 0.75), (5, 25, 100, 1.0)]
+    calls = spark.range(60).select(F.lit("s").alias("sample_id"), F.concat(F.lit("f"), F.col("id") % 7).alias("file"), F.lit("c").alias("chrom"), F.col("id").alias("pos"), *[F.lit(1).alias(c) for c in ("valid_cov", "n_mod", "n_canonical")])
+    path, out = scratch_path(spark, "calls"), scratch_path(spark, "o")
+    calls.repartition(5).write.parquet(path)
+    st.stream_methylation(st.stream_alignments(spark, path, calls.schema, 1), out, scratch_path(spark, "c"))
+    assert rows(st.files_per_sample(spark, out), "sample_id", "files") == [("s", 7)]
+
+
+def test_blocks_of_every_operation(spark):
+    shapes = {"3H5S4M2I6M1D2M7S": [(100, 104, 5), (104, 110, 11), (111, 113, 17)], "2=1X300N5M": [(100, 102, 0), (102, 103, 2), (403, 408, 3)], "4M2P3M": [(100, 104, 0), (104, 107, 4)], "*": [], "9I": [], "5N2M": [(105, 107, 0)]}
+    df = spark.createDataFrame([(c, 100) for c in shapes], "cigar string, ref_start long")
+    got = aligned_blocks(df)
+    for cigar, want in shapes.items():
+        assert rows(got.filter(F.col("cigar") == cigar), "block_start", "block_end", "read_offset") == want
