@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,13 @@ def drop_stored(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder that all tasks share."""
+    if uri.startswith("file:/") and not uri.startswith("file:///"):
+        uri = "file://" + uri[len("file:") :]
+    return fs.FileSystem.from_uri(uri)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes and rows for the session that runs Python over long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

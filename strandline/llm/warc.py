@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import small_batches, stored
+from strandline.llm.common import open_folder, small_batches, stored
 from strandline.session import scratch_path
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
@@ -53,13 +53,6 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a folder that all tasks share."""
-    if uri.startswith("file:/") and not uri.startswith("file:///"):
-        uri = "file://" + uri[len("file:") :]
-    return fs.FileSystem.from_uri(uri)
-
-
 def write_archives(pages: DataFrame, folder: str, split: int = SPLIT) -> DataFrame:
     """Writes ``pages`` (page_id, url, payload, refers_to, revisit), one archive per partition; gives (path, size, records, starts).
 
@@ -70,7 +63,7 @@ def write_archives(pages: DataFrame, folder: str, split: int = SPLIT) -> DataFra
     """
 
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = _open(folder)
+        system, base = open_folder(folder)
         system.create_dir(base, recursive=True)
         name, size, n, out = f"{uuid.uuid4().hex}.warc.gz", 0, 0, None
         starts: list[int] = []
@@ -172,7 +165,7 @@ def read_archives(files: DataFrame, split: int = SPLIT) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                system, path = _open(r.path)
+                system, path = open_folder(r.path)
                 rows, held, n = [], 0, 0
                 for head, block in records_of_range(system, path, int(r.start), int(r.end)):
                     http, _, payload = block.partition(b"\r\n\r\n")

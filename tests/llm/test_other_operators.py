@@ -1,5 +1,6 @@
 """Mixing, neighbours, archives and the pipeline: edge cases and comparison with brute force."""
 
+import io
 import re
 import uuid
 
@@ -132,6 +133,59 @@ def test_neighbours_of_edge_cases(spark):
     assert neighbours.nearest(vectors(spark, [])).collect() == []
 
 
+def test_collisions_select_few_vectors(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    index, asked = neighbours.Index(ids, x, np.ones(len(ids), dtype=int)), ids % 20 == 0
+    found = list(index.search(ids[asked], x[asked], 20))
+    hits = 0
+    for q in np.flatnonzero(asked):
+        score = np.where(ids == ids[q], -np.inf, x @ x[q])
+        hits += len({i for own, i, _, _ in found if own == ids[q]} & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+    assert index.verified <= 0.3 * asked.sum() * len(ids) and hits >= 0.95 * 20 * asked.sum()
+
+
+def test_a_written_index_is_the_same():
+    x = np.random.default_rng(3).standard_normal((50, 4)) * 1e300
+    index, file = neighbours.Index(np.arange(50), x, np.ones(50, dtype=int)), io.BytesIO()
+    index.write(file)
+    file.seek(0)
+    again = neighbours.Index.read(file)
+    assert (again.sorted == index.sorted).all() and (np.ldexp(again.vectors, again.exponent) == x).all()
+
+
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((200, 6))
+    x[7] *= 1e200
+    x[9] *= 1e-200
+    x[40] *= 100
+    frame = spark.createDataFrame([(i, x[i].tolist()) for i in range(200)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(frame).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = []
+    for q in range(0, 200, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits.append(len({f[1] for f in got[q]} & set(np.argsort(-score)[:20].tolist())))
+        assert all(f[2] == pytest.approx(score[f[1]], rel=1e-9) for f in got[q])
+    assert np.mean(hits) / 20 >= 0.9
+
+
+def test_repeated_ids_and_rows_spread_over_blocks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(20, rng.standard_normal(4).tolist()) for _ in range(400)] + [(1, [1.0, 0.0, 0.0, 0.0])] * 400 + [(i, rng.standard_normal(4).tolist()) for i in range(2, 20)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    blocks = neighbours.build(neighbours.usable(frame), block=50).collect()
+    sizes = [neighbours.Index.read(neighbours._load(r.path)) for r in blocks]
+    assert sum(i.copies.sum() for i in sizes) == len(rows) and max(len(i.ids) for i in sizes) < 100
+    got = neighbours.nearest(frame, block=50).collect()
+    best = min(r[1] for r in rows if r[0] == 20)
+    want = sorted(((-float(np.dot(v, best)), i) for i, v in rows if i != 20))[:20]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [i for _, i in want]
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, payload string, record_type int")
 
