@@ -20,6 +20,8 @@ from strandline.session import scratch_path
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 #: Bytes of a range that one task scans, and of one read beyond it.
 SPLIT, READ = 8 << 20, 1 << 20
+#: Ranges that one reading task takes.
+RANGES = 4
 #: Bytes that are unpacked at once.
 CHUNK = 64 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -181,7 +183,9 @@ def read_archives(files: DataFrame, split: int = SPLIT) -> DataFrame:
                     raise ValueError(f"{n} records of {r.written} in bytes {r.start} to {r.end} of {path}")
                 yield pd.DataFrame(rows, columns=COLUMNS)
 
-    out = ranges.repartition(F.xxhash64("path", "start")).mapInPandas(read, "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary")
+    # An explicit number: the rows are small, the bytes they stand for aren't, so they must not be merged by size.
+    tasks = ranges.count()
+    out = ranges.repartitionByRange(max(1, -(-tasks // RANGES)), "path", "start").mapInPandas(read, "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary")
     return out.withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")})
 
 
