@@ -3,7 +3,8 @@
 Every element gets its characters per tag, adjusted by how much of both are links.
 The element whose children's densities sum up highest holds the main text; the least
 density on its way up to the body is the threshold that neighbours of that way need
-to belong to it. Elements that are no text of the page (scripts, menus, adverts,
+to belong to it. An article or main around that element widens it to its own borders,
+and neighbours then are measured by its density. Elements that are no text of the page (scripts, menus, adverts,
 comments and so on) are cut off before; forms, and elements that only their class, id
 or role names so, stay where they hold an article or much of the page's text.
 """
@@ -43,7 +44,11 @@ NAMED_SHARE, MAIN_SHARE = 0.3, 0.1
 CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login sidebar aside complementary widget widgets related recommended recommendations share sharing social comment comments reply replies respond discussion disqus feedback nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer contentinfo copyright legal toolbar pagination pager search".split()
 )
+#: Words that say nothing in such a name.
+PLAIN_WORDS = frozenset("area block box container inner item items list panel section wrap wrapper".split())
 MAIN = frozenset({"article", "main"})
+#: Share of the main element's density that text beside it needs, and of its density sum, which articles don't need.
+BESIDE, BESIDE_SUM = 0.5, 0.25
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
 #: Once a quote of a tag never ends, the rest of the page is read without regard to quotes.
 TAG_START = re.compile("</?[a-zA-Z]")
@@ -62,10 +67,11 @@ class Page:
     tag: list[str] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
     cut: list[bool] = field(default_factory=list)
-    named: list[bool] = field(default_factory=list)
+    #: 1 if an element's name tells that it is no text, 2 if it tells nothing else.
+    named: list[int] = field(default_factory=list)
     tokens: list[tuple[int, str | None]] = field(default_factory=list)
 
-    def add(self, tag: str, parent: int, cut: bool, named: bool = False) -> int:
+    def add(self, tag: str, parent: int, cut: bool, named: int = 0) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.cut.append(cut)
@@ -73,21 +79,24 @@ class Page:
         return len(self.tag) - 1
 
 
-def _noise(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool]:
+def _noise(tag: str, attributes: str, inside_main: bool) -> tuple[bool, int]:
     """Whether an element is never text of the page, and whether its name tells so."""
     if tag == "header" and inside_main:
-        return False, False
+        return False, 0
     if tag in CUT - WEAK:
-        return True, False
-    named = tag in WEAK
-    if not attributes or tag in ("html", "body", "article", "main"):
+        return True, 0
+    named = 2 if tag in WEAK else 0
+    if not attributes or tag in ("html", "body"):
         return False, named
     for name, double, single, bare, lone in ATTRIBUTE.findall(attributes):
         key, value = (name or lone).lower(), double or single or bare
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True, False
-        if key in ("class", "id", "role") and not (tag in HEADINGS and inside_main) and CUT_WORDS & {w.lower() for w in WORD_PARTS.findall(value)}:
-            named = True
+        if tag not in MAIN and (key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I))):
+            return True, 0
+        if key in ("class", "id", "role") and not (tag in HEADINGS and inside_main):
+            for one in value.split():
+                words = {w.lower() for w in WORD_PARTS.findall(one)}
+                if CUT_WORDS & words:
+                    named = max(named, 2 if words <= CUT_WORDS | PLAIN_WORDS else 1)
     return False, named
 
 
@@ -95,16 +104,20 @@ def cut_named(page: Page) -> None:
     """Cuts elements that their name tells to be none of the text.
 
     One that holds an article or main stays. So does one with much of the page's
-    text outside links, unless a tenth of that text is in articles and outside such elements.
+    text outside links, unless a tenth of that text is in articles and outside such
+    elements. Within an article, one with much of the article's text stays unless its
+    name tells nothing else.
     """
     n = len(page.tag)
-    size, holds, linked, in_main, in_named = [0] * n, [False] * n, [False] * n, [False] * n, [False] * n
+    size, holds, linked, in_main, in_named = [0] * n, [False] * n, [False] * n, [0] * n, [False] * n
     for i in range(n - 1, 0, -1):
         holds[page.parent[i]] |= not page.cut[i] and (holds[i] or page.tag[i] in MAIN)
+    weak = [bool(page.named[i]) and not holds[i] and page.tag[i] not in MAIN for i in range(n)]
     for i in range(1, n):
         up = page.parent[i]
-        linked[i], in_main[i] = page.tag[i] == "a" or linked[up], page.tag[i] in MAIN or in_main[up]
-        in_named[i] = in_named[up] or (page.named[i] and not holds[i])
+        # The outermost article or main around an element.
+        linked[i], in_main[i] = page.tag[i] == "a" or linked[up], in_main[up] or (i if page.tag[i] in MAIN else 0)
+        in_named[i] = in_named[up] or weak[i]
     main = 0
     for i, text in page.tokens:
         if text and not page.cut[i] and not linked[i]:
@@ -114,7 +127,8 @@ def cut_named(page: Page) -> None:
         size[page.parent[i]] += size[i]
     most = size[0] if main > MAIN_SHARE * size[0] else NAMED_SHARE * size[0]
     for i in range(1, n):
-        page.cut[i] = page.cut[i] or page.cut[page.parent[i]] or (page.named[i] and not holds[i] and size[i] <= most)
+        bound = NAMED_SHARE * size[in_main[i]] if in_main[i] and page.named[i] == 1 else most
+        page.cut[i] = page.cut[i] or page.cut[page.parent[i]] or (weak[i] and size[i] <= bound)
 
 
 def parse(html: str) -> Page:
@@ -232,6 +246,31 @@ def densities(page: Page) -> tuple[list[float], list[float]]:
     return density, total
 
 
+def beside(page: Page, main: int, density: list[float], total: list[float]) -> list[int]:
+    """Blocks beside the way from an article or main to the body that are text like it.
+
+    They are as dense as a share of it and hold an element whose density sum is a
+    share of the highest in it; other parts of a split article need the first only.
+    A name that tells otherwise leaves them out, of an article as well.
+    """
+    peak = total[:]
+    for i in range(len(peak) - 1, 0, -1):
+        if not page.cut[i]:
+            peak[page.parent[i]] = max(peak[page.parent[i]], peak[i])
+    way = {main}
+    up = main
+    while up:
+        up = page.parent[up]
+        way.add(up)
+    out = []
+    for i in range(1, len(page.tag)):
+        if page.cut[i] or page.named[i] or i in way or page.parent[i] not in way - {main} or page.tag[i] not in BLOCK:
+            continue
+        if density[i] >= BESIDE * density[main] and (page.tag[i] in MAIN or peak[i] >= BESIDE_SUM * peak[main]):
+            out.append(i)
+    return out
+
+
 def main_elements(page: Page) -> list[int]:
     """Elements whose whole subtrees are the main text, in page order."""
     density, total = densities(page)
@@ -244,7 +283,7 @@ def main_elements(page: Page) -> list[int]:
     threshold = min(density[i] for i in path)
     whole = next((i for i in reversed(path) if page.tag[i] in MAIN), None)
     if whole is not None:
-        return [whole]
+        return sorted({whole, *beside(page, whole, density, total)})
     on_path, roots = set(path), {best}
     for i in range(1, len(page.tag)):
         # Beside the way to the body: headings, and elements as dense as the way is.

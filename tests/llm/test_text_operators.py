@@ -1,6 +1,7 @@
 """Operators on text: edge cases and comparison with brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 from html import unescape
@@ -282,6 +283,60 @@ def test_main_text_of_a_page():
     assert html_text.main_text(PAGE) == "Title & more\n\nFirst paragraph of the text, long enough to count, with one link in it.\n\nSecond paragraph here goes on and on.\n\nitem one\n\nitem two"
 
 
+SENTENCE = "The quick survey of the river found that many of its banks had moved since anyone measured them with care. "
+MENU = '<nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="ad">Buy now.</div>'
+
+
+def paragraphs(n, name=""):
+    return [f"{name} {i} {SENTENCE}{SENTENCE}".strip() for i in range(n)]
+
+
+def marked(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+A, B = paragraphs(4, "first"), paragraphs(3, "second")
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        (f"<article>{marked(A)}</article><article>{marked(B)}</article>", A + B),
+        (f"<div><article>{marked(A)}</article></div><div><article>{marked(B)}</article></div>", A + B),
+        (f"<article>{marked(A)}</article><div>{marked(B)}</div>", A + B),
+        (f'<article>{marked(B)}<section class="legal-notice-analysis">{marked(A)}</section></article>', B + A),
+        (f"<div>{marked(A)}</div>", A),
+        (f'<article>{marked(B)}<div class="comments-list">{marked(A)}</div></article>', B),
+        (f'<article>{marked(A)}</article><section id="comments"><article class="comment">{marked(B)}</article></section>', A),
+        (f'<article>{marked(A)}</article><article class="comment">{marked(B)}</article>', A),
+        (f"<article>{marked(A)}</article><article><h3><a href=/x>More of this</a></h3><p>Short text.</p></article>", A),
+        (f"<article>{marked(A)}</article><div>{SENTENCE}</div>", A),
+    ],
+)
+def test_density_keeps_all_of_the_article_and_nothing_beside_it(body, want):
+    assert html_text.main_text(f"<html><body>{MENU}{body}<footer>end</footer></body></html>").split("\n\n") == [t.strip() for t in want]
+
+
+def test_density_sums_equal_a_written_out_version(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").orderBy("page_id").limit(10).collect():
+        page = html_text.parse(r.html)
+        live = [i for i in range(len(page.tag)) if not page.cut[i]]
+        up = lambda i: [i] + (up(page.parent[i]) if i else [])
+        text = {i: sum(len(re.sub(r"\s", "", t)) for j, t in page.tokens if t and j == i) for i in live}
+        under = {i: [j for j in live if i in up(j)] for i in live}
+        is_link = {i: any(page.tag[j] == "a" for j in up(i)) for i in live}
+        share = sum(text[j] for j in live if is_link[j]) / max(sum(text.values()), 1)
+        density = {}
+        for i in live:
+            c, lc = sum(text[j] for j in under[i]), sum(text[j] for j in under[i] if is_link[j])
+            t, lt = max(len(under[i]) - 1, 1), sum(is_link[j] for j in under[i] if j != i)
+            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e) + math.e - 1
+            density[i] = max(0.0, c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1e-9)) / math.log(base)) if lc < c else 0.0
+        got, sums = html_text.densities(page)
+        assert all(got[i] == pytest.approx(density[i]) for i in live)
+        assert all(sums[i] == pytest.approx(sum(density[j] for j in live if j and page.parent[j] == i)) for i in live)
+
+
 @pytest.mark.parametrize("html, text", [(None, ""), ("", ""), ("plain < text", "plain < text"), ("<p>a", "a"), ("<nav><a href=x>m</a></nav>", ""), ("<script>a", ""), ('<a href="x', ""), ("<!-- a", ""), ("</p></div>b", "b")])
 def test_main_text_of_broken_pages(html, text):
     assert html_text.main_text(html) == text
