@@ -199,6 +199,27 @@ def test_language_of_edge_cases(edge, empty, spark):
     assert language.drop_rejected(edge).columns == edge.columns
 
 
+def test_language_of_long_and_repeated_rows_only(spark):
+    docs = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    # French texts are long ones only; most German rows repeat one id and text.
+    french = docs.filter("lang = 'fr'").withColumn("text", F.concat_ws(" ", F.lit("du texte " * 3), F.expr("repeat(text || ' ', cast(ceil(25000 / length(text)) as int))")))
+    german = docs.filter("lang = 'de'")
+    one = german.filter(language.learnable(F.col("doc_id"))).limit(1).select("doc_id", "text", "lang", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("col")
+    mixed = docs.filter("lang in ('en', 'es')").unionByName(french).unionByName(german).unionByName(one)
+    rows = language.identify(mixed).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang in ("fr", "de"):
+        own = [r for r in rows if r.lang == lang]
+        assert sum(r.lang_pred == lang for r in own) >= 0.9 * len(own) > 0
+
+
+def test_an_unlearned_language_is_rejected(spark):
+    docs = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    without = docs.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    rows = language.identify(without).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    of = lambda german: [r.rejected for r in rows if (r.lang == "de") == german]
+    assert sum(of(True)) >= 0.7 * len(of(True)) > 0 and sum(of(False)) <= 0.02 * len(of(False))
+
+
 def test_language_is_learned_from_training_rows_only(spark):
     docs = documents(spark, "/root/testdata/sf0.01").limit(300)
     lied = docs.withColumn("lang", F.when(language.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang")))
