@@ -168,9 +168,10 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _octave():
-    """Norm of a vector as a power of two, rounded down; the largest component is taken out, so that nothing overflows."""
+    """Norm of a vector as a power of two, rounded down; of the largest component where squares leave the range of doubles."""
+    squares = F.col("squares")
     largest = F.array_max(F.transform("v", F.abs))
-    return F.floor(F.log2(largest) + F.log2(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))) / 2).cast("int")
+    return F.floor(F.when(squares.between(1e-290, 1e300), F.log2(squares) / 2).otherwise(F.log2(largest))).cast("int")
 
 
 def _matrix(v: pd.Series) -> np.ndarray:
@@ -197,12 +198,14 @@ def _load(uri: str) -> io.BytesIO:
 def build(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     """Indexes ``vectors`` (vec_id, v) in blocks of about ``block``; gives a stored table (dim, path).
 
-    A block holds vectors of one length and of norms within a factor of two, so that
+    A block holds vectors of one length and of norms within a factor of two (of largest
+    components, where squares leave the range of doubles), so that
     a few long ones widen the windows of their own blocks only. The hash of id and
     vector gives the block, and equal rows are kept once with their number: neither
     a repeated id nor a repeated row fills a block.
     """
-    rows = vectors.withColumns({"dim": F.size("v"), "octave": _octave()})
+    rows = vectors.withColumns({"dim": F.size("v"), "squares": F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)})
+    rows = rows.withColumn("octave", _octave()).drop("squares")
     sizes = rows.groupBy("dim", "octave").agg(F.count(F.lit(1)).alias("_rows"))
     place = F.pmod(F.xxhash64("vec_id", "v"), F.ceil(F.col("_rows") / block)).cast("int")
     keys = ["dim", "octave", "block"]
