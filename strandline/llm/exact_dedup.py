@@ -17,6 +17,8 @@ from strandline.llm.common import SPACE, drop_stored, rows_with, stored, text_of
 
 #: Code points of a block. Larger blocks mean fewer rows, smaller ones shorter sort keys.
 BLOCK = 256
+#: Parts that the rows of a group are dealt to when they take their group's result.
+PARTS = 64
 
 
 def normalised(text: Column) -> Column:
@@ -61,6 +63,8 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, block_key: Callable[[C
     first = lambda c: F.when(F.col("_pos") == 0, F.col(c)).alias(c)
     blocks = blocks.select("_rid", "_doc", "_len", "_sha", F.size("_blocks").cast("long").alias("_n"), F.posexplode("_blocks").alias("_pos", "_block"))
     blocks = blocks.select("_rid", "_pos", "_n", first("_doc"), first("_len"), first("_sha"), "_block", block_key(F.col("_block")).alias("_key"))
+    # Texts are cleaned and cut once; names read the blocks, the join reads all but them.
+    blocks = stored(blocks, "blocks")
 
     names = stored(_numbered(blocks, "_block").select(block_key(F.col("_block")).alias("_key"), "_name"), "block-names")
     by = ["_key"]
@@ -69,7 +73,7 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, block_key: Callable[[C
         by = ["_key", "_block"]
         names = stored(_numbered(blocks, *by), "block-names")
     level = stored(_pairs(blocks.join(names, by)), "block-pairs")
-    drop_stored(names)
+    drop_stored(blocks, names)
 
     levels = [level]
     longest = level.agg(F.max("_n")).first()[0] or 0
@@ -82,14 +86,23 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, block_key: Callable[[C
         levels.append(level)
         longest = (longest + 1) // 2
 
-    identity = None
-    for k, table in enumerate(levels):
+    ends = levels[0].filter("_pos = 0")
+    about = ["_rid", "_doc", "_len", "_sha"]
+    rows = ends.filter("_n = 1").select(*about, F.lit(0).alias("_level"), "_a", "_b")
+    later = None
+    for k, table in enumerate(levels[1:], 1):
         done = table.filter("_n = 1").select("_rid", F.lit(k).alias("_level"), "_a", "_b")
-        identity = done if identity is None else identity.unionByName(done)
-    rows = levels[0].filter("_pos = 0").select("_rid", "_doc", "_len", "_sha").join(identity, "_rid")
+        later = done if later is None else later.unionByName(done)
+    if later is not None:
+        rows = rows.unionByName(ends.filter("_n > 1").select(*about).join(later, "_rid"))
+    rows = stored(rows.withColumn("_part", F.pmod(F.xxhash64("_rid"), F.lit(PARTS))), "identities")
+    drop_stored(*levels)
+
+    # A group goes to its rows once per part that they are in, so no task meets all rows of a large one.
     best = F.min(F.struct(-F.col("_len"), F.col("_doc").isNull(), F.col("_doc"), F.col("_rid")))
-    groups = rows.groupBy("_level", "_a", "_b").agg(best.alias("_best"), F.count(F.lit(1)).alias("_size"))
-    return rows.join(groups, ["_level", "_a", "_b"]).select(
+    groups = rows.groupBy("_level", "_a", "_b").agg(best.alias("_best"), F.count(F.lit(1)).alias("_size"), F.collect_set("_part").alias("_parts"))
+    groups = groups.select("_level", "_a", "_b", "_best", "_size", F.explode("_parts").alias("_part"))
+    return rows.join(groups, ["_level", "_a", "_b", "_part"]).select(
         F.col("_doc").alias("doc_id"), F.col("_best._doc").alias("keep_id"), F.col("_size").alias("group_size"),
         (F.col("_rid") == F.col("_best._rid")).alias("kept"), F.col("_sha").alias("text_sha256"), F.col("_len").alias("n_code_points"),
     )
