@@ -18,12 +18,16 @@ SITE = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "format", "gt")
 
 
 def is_pathogenic(info: Column, mode: str = "substring") -> Column:
+    """``pathogenic_fields`` of an INFO text."""
+    return pathogenic_fields(info_map(info), mode)
+
+
+def pathogenic_fields(fields: Column, mode: str = "substring") -> Column:
     """Pathogenic by text (``substring``), by CLNSIG or else ONC (``onc``), or by exact terms.
 
     ``terms`` splits CLNSIG on slash, bar and comma; conflicting records are
     decided by the counts in CLNSIGCONF.
     """
-    fields = info_map(info)
     sig = fields["CLNSIG"]
     if mode == "substring":
         return F.contains(F.upper(F.coalesce(sig, F.lit(""))), F.lit("PATHOGENIC"))
@@ -63,9 +67,11 @@ def variant_filter(vcf: DataFrame, pass_only=False, pathogenic_only=False, min_q
 
 def explode_annotations(vcf: DataFrame) -> DataFrame:
     """One row per annotation with all sub-fields; variants without one keep a row."""
-    fields = info_map(F.col("info"))
+    # as a column of its own the text is parsed once per row, not once per field
+    vcf = vcf.withColumn("_info", info_map(F.col("info")))
+    fields = F.col("_info")
     entries = F.filter(F.transform(F.split(F.coalesce(fields["ANN"], F.lit("")), ","), lambda e: F.split(e, "\\|")), lambda p: F.size(p) >= len(ANN_FIELDS))
-    rows = vcf.withColumn("is_pathogenic", is_pathogenic(F.col("info"))).withColumn("_e", F.explode_outer(entries))
+    rows = vcf.withColumn("is_pathogenic", pathogenic_fields(fields)).withColumn("_e", F.explode_outer(entries))
     return rows.select(*SITE, "is_pathogenic", *[fields[k].alias(k.lower()) for k in INFO_FIELDS], *[F.col("_e")[i].alias(n) for i, n in enumerate(ANN_FIELDS)])
 
 
