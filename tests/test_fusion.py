@@ -73,6 +73,22 @@ def test_seed_clusters_against_the_written_out_rule(spark, d):
     assert rows(got, "cluster1", "cluster2", "c_start1", "c_end1", "reads") == sorted(want)
 
 
+def test_seed_clusters_of_one_crowded_gene_pair(spark):
+    """All rows in one key and one stretch: every start is within reach of its predecessor, over several Arrow batches."""
+    rnd, d = random.Random(5), 20
+    spots = [(s, s + rnd.randrange(1, 30)) for s in range(0, 75_000, 3) for _ in range(1 + s % 2)]
+    want, reach = [], None
+    for start, end in sorted(spots):
+        if reach is None or start > reach:
+            want.append([len(want), start, end])
+            reach = end + d
+        want[-1][2] = max(want[-1][2], end)
+    df = spark.createDataFrame([("k", *s) for s in spots], "k string, start long, end long")
+    got = rows(fu._seed_clusters(df, ["k"], d), "cluster", "c_start", "c_end")
+    assert got == [tuple(w) for w in want] and len(want) > 1000
+    assert fu._seed_clusters(df.limit(0), ["k"], d).count() == 0
+
+
 def brute_dbscan(points, eps, need):
     near = {p: [q for q in points if abs(p[0] - q[0]) + abs(p[1] - q[1]) <= eps] for p in points}
     core = {p for p in points if sum(points[q] for q in near[p]) >= need}
