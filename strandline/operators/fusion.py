@@ -235,43 +235,34 @@ def _seed_clusters(positions: DataFrame, keys: Sequence[str], distance: int) ->
     """Greedy clusters that compare with their first position only.
 
     In (start, end) order a position joins a seed exactly when it starts at most
-    ``distance`` after the seed's end, its limit, so the clusters are runs of starts.
-    Per start only the smallest and largest end matter. A start beyond the limits of
-    all before it is a seed whatever they are, which cuts a gene pair into stretches
-    that are merged in tiles. A stretch within the limit of its first start is one
-    cluster; only the others pass in order, and a task holds one open cluster.
+    ``distance`` after the seed's end, so the clusters are runs of starts. Per
+    start only the smallest and largest end matter; a group therefore holds at
+    most one row per base of a gene, however many reads there are. Those rows pass
+    in order, and a task holds the open cluster only, never a list of them.
     """
     keys = list(keys)
     starts = positions.groupBy(*keys, "start").agg(F.min("end").alias("first_end"), F.max("end").alias("last_end"))
-    starts = keep(starts.withColumn("limit", F.col("first_end") + distance))
-    stretches = merge_ranges(starts, keys, "start", "limit").withColumnsRenamed({"start": "stretch", "limit": "_z"})
-    inside = interval_join(starts, stretches, on=keys, left_span=("start", "start"), right_span=("stretch", "_z"), closed=True).drop("_z", "first_end")
-    about = inside.groupBy(*keys, "stretch").agg(
-        F.min(F.struct("start", "limit"))["limit"].alias("_limit"), F.max("start").alias("_last"), F.max("last_end").alias("c_end")
-    )
-    about = keep(about.withColumn("_one", F.col("_last") <= F.col("_limit")))
-    whole = about.filter("_one").select(*keys, F.col("stretch").alias("c_start"), "c_end")
+    schema = starts.select(*keys, F.col("start").alias("cluster"), F.col("start").alias("c_start"), F.col("last_end").alias("c_end")).schema
+    names = [*keys, "cluster", "c_start", "c_end"]
 
     def passed(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, c_start, c_end, reach = None, 0, 0, 0
+        here, cluster, c_start, c_end, limit = None, 0, 0, 0, 0
         for pdf in pdfs:
             closed = []
-            for *place, start, limit, last_end in pdf[[*keys, "stretch", "start", "limit", "last_end"]].itertuples(index=False, name=None):
-                if place == here and start <= reach:
+            for *place, start, first_end, last_end in pdf[[*keys, "start", "first_end", "last_end"]].itertuples(index=False, name=None):
+                if place == here and start <= limit:
                     c_end = max(c_end, last_end)
                     continue
                 if here is not None:
-                    closed.append((*here[:-1], c_start, c_end))
-                here, c_start, c_end, reach = place, start, last_end, limit
-            yield pd.DataFrame(closed, columns=[*keys, "c_start", "c_end"])
+                    closed.append((*here, cluster, c_start, c_end))
+                cluster = cluster + 1 if place == here else 0
+                here, c_start, c_end, limit = place, start, last_end, first_end + distance
+            yield pd.DataFrame(closed, columns=names)
         if here is not None:
-            yield pd.DataFrame([(*here[:-1], c_start, c_end)], columns=[*keys, "c_start", "c_end"])
+            yield pd.DataFrame([(*here, cluster, c_start, c_end)], columns=names)
 
-    rest = inside.join(about.filter("NOT _one").select(*keys, "stretch"), [*keys, "stretch"])
-    ordered = rest.repartition(*keys, "stretch").sortWithinPartitions(*keys, "stretch", "start")
-    clusters = whole.unionByName(ordered.mapInPandas(passed, whole.schema))
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("c_start")) - 1
-    return clusters.select(*keys, number.cast("bigint").alias("cluster"), "c_start", "c_end")
+    ordered = starts.repartition(*keys).sortWithinPartitions(*keys, "start")
+    return ordered.mapInPandas(passed, schema)
 
 
 def validated_fusions(pairs: DataFrame, distance: int = 100, min_support: int = VALIDATED_SUPPORT) -> DataFrame:

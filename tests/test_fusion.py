@@ -74,7 +74,7 @@ def test_seed_clusters_against_the_written_out_rule(spark, d):
 
 
 def test_seed_clusters_of_one_crowded_gene_pair(spark):
-    """All rows in one key and one stretch: every start is within reach of its predecessor, over several Arrow batches."""
+    """All rows in one key: every start is within reach of its predecessor, over several Arrow batches."""
     rnd, d = random.Random(5), 20
     spots = [(s, s + rnd.randrange(1, 30)) for s in range(0, 75_000, 3) for _ in range(1 + s % 2)]
     want, reach = [], None
