@@ -3,10 +3,10 @@
 Spark has no range join, so every overlap join is an equi-join on
 ``(keys, bucket)``: both sides are expanded to the fixed-width buckets they
 touch and a pair is kept only in its first shared bucket, so no ``distinct`` is
-needed afterwards. The join carries no broadcast hint: Catalyst and AQE
-broadcast a panel by its measured size, and otherwise sort-merge it with AQE
-splitting hot buckets. Spans that may be as long as a chromosome meet in nested bins
-instead, one stored row each.
+needed afterwards. The join asks for a sort-merge, in which AQE splits hot buckets:
+a file's size says little about the rows that it holds once they are expanded, so a
+panel is broadcast only where the caller marks it with ``broadcast``. Spans that may be
+as long as a chromosome meet in nested bins instead, one stored row each.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def interval_join(
     keep = keep & (F.col("_b") == F.greatest(_bucket(ls, width), _bucket(rs, width)))
     if condition is not None:
         keep = keep & condition
-    return lefts.join(rights, keep, "inner").drop("_b", "_rb", *[f"_r_{k}" for k in on])
+    return lefts.join(rights.hint("merge"), keep, "inner").drop("_b", "_rb", *[f"_r_{k}" for k in on])
 
 
 #: Bins of the nested join are BUCKET * 8^k wide; the widest holds any chromosome.
@@ -100,6 +100,7 @@ def nested_interval_join(
     whole chromosome is one stored row and at most six look-ups. Spans that overlap lie
     in bins of which one holds the other, so two joins find each pair once: stored left
     spans with right look-ups, and left look-ups in wider bins with stored right spans.
+    Both are sort-merged, unless the caller marks ``left`` with ``broadcast``.
     """
     extra = 1 if closed else 0
     ls, le = F.col(left_span[0]), F.col(left_span[1]) + extra
@@ -111,8 +112,8 @@ def nested_interval_join(
     met = F.least(le, re_) - F.greatest(ls, rs) > min_overlap
     for key in on:
         met = met & (F.col(key) == F.col(f"_r_{key}"))
-    narrow = lefts.join(rights.withColumn("_rb", F.explode(F.concat(F.array(own_r), _wider_bins(own_r)))), (own_l == F.col("_rb")) & met).drop("_rb")
-    wide = lefts.withColumn("_lb", F.explode(_wider_bins(own_l))).join(rights, (F.col("_lb") == own_r) & met).drop("_lb")
+    narrow = lefts.join(rights.withColumn("_rb", F.explode(F.concat(F.array(own_r), _wider_bins(own_r)))).hint("merge"), (own_l == F.col("_rb")) & met).drop("_rb")
+    wide = lefts.withColumn("_lb", F.explode(_wider_bins(own_l))).join(rights.hint("merge"), (F.col("_lb") == own_r) & met).drop("_lb")
     return narrow.unionByName(wide).drop("_lo", "_ro", *[f"_r_{k}" for k in on])
 
 
@@ -165,11 +166,12 @@ def first_matching_region(points: DataFrame, regions: DataFrame, point_keys: Seq
     return best.select(*points.columns, "_p.*")
 
 
-def genes_in_region(spans: DataFrame, genes: DataFrame, keys: Sequence[str], span=("start_pos", "end_pos")) -> DataFrame:
-    """Distinct genes touching each closed region, as a sorted list."""
+def genes_in_region(spans: DataFrame, genes: DataFrame, keys: Sequence[str], span=("start_pos", "end_pos"), distinct: bool = True) -> DataFrame:
+    """Distinct genes touching each closed region, as a sorted list; without ``distinct`` a name counts once per row of ``genes``."""
     side = genes.select("chrom", F.col("start_pos").alias("_gs"), F.col("end_pos").alias("_ge"), "gene")
     hits = nested_interval_join(spans, side, left_span=span, right_span=("_gs", "_ge"), closed=True)
-    return hits.select(*keys, "gene").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("gene")).alias("genes"))
+    named = hits.select(*keys, "gene")
+    return (named.distinct() if distinct else named).groupBy(*keys).agg(F.array_sort(F.collect_list("gene")).alias("genes"))
 
 
 def intersect_target_genes(regions: DataFrame, targets: DataFrame) -> DataFrame:

@@ -81,3 +81,23 @@ def test_zero_counts_stay(spark):
     regions = spans(spark, [("chr1", 5, 20, "a"), ("chr1", 50, 60, "b")], "chrom string, start_pos long, end_pos long, name string")
     assert rows(iv.count_reads_per_target(al, regions, ["chrom", "start_pos", "end_pos", "name"]), "name", "reads") == [("a", 1), ("b", 0)]
     assert al.withColumn("x", F.lit(1)).count() == 1
+
+
+def test_a_panel_is_broadcast_only_where_it_is_marked(spark):
+    """A panel's file size says little about its expanded rows, so it never goes to the driver unasked."""
+    spans = spark.createDataFrame([("chr1", 0, 50_000)], "chrom string, a long, b long")
+    genes = spark.createDataFrame([("chr1", i, i + 10, f"g{i}") for i in range(0, 100, 20)], "chrom string, start_pos long, end_pos long, gene string")
+    for join in (iv.interval_join, iv.nested_interval_join):
+        plan = join(spans, genes, left_span=("a", "b"))._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    marked = iv.nested_interval_join(F.broadcast(spans), genes, left_span=("a", "b"))
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BuildLeft") >= 2 and "BuildRight" not in plan and "SortMergeJoin" not in plan
+    assert marked.count() == 5
+
+
+def test_gene_names_that_repeat_in_a_region(spark):
+    spans = spark.createDataFrame([("chr1", "p1", 0, 1000)], "chrom string, band string, start_pos long, end_pos long")
+    genes = spark.createDataFrame([("chr1", 10, 20, "A"), ("chr1", 500, 600, "A"), ("chr1", 30, 40, "B")], "chrom string, start_pos long, end_pos long, gene string")
+    assert iv.genes_in_region(spans, genes, ["chrom", "band"]).first()["genes"] == ["A", "B"]
+    assert iv.genes_in_region(spans, genes, ["chrom", "band"], distinct=False).first()["genes"] == ["A", "A", "B"]
