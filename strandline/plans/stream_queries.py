@@ -4,6 +4,8 @@ The derived table is written once below the shared folder as a few files, and
 read back as a stream of several micro-batches.
 """
 
+import math
+
 from pyspark.sql import functions as F
 
 from strandline.operators import coverage as cv
@@ -16,11 +18,27 @@ from strandline.session import scratch_path
 from strandline.streaming import pipelines as st
 
 
+#: Rows of a file above which there are more files in a batch.
+FILE_ROWS = 500_000
+
+
+def file_factor(df, files) -> int:
+    """How many times as many files keep each at about ``FILE_ROWS`` rows, so that no task writes a fixed share of the table."""
+    return max(1, math.ceil(df.count() / (files * FILE_ROWS)))
+
+
 def arriving(v, df, key=None, files=4, per_batch=2):
-    """The rows of ``df`` as a stream over ``files`` files; a ``key`` stays in one file, without one all keys are in all batches."""
+    """The rows of ``df`` as a stream over ``files`` files, or a multiple of both where the rows are many.
+
+    A ``key`` stays in one file; without one all keys are in all batches. The number of batches doesn't depend on the rows:
+    where keys leave files out, a batch takes its share of those written.
+    """
     path = scratch_path(v.spark, "arriving")
-    (df.repartition(files, key) if key else df.repartition(files)).write.parquet(path)
-    return st.stream_alignments(v.spark, path, v.spark.read.parquet(path).schema, per_batch, include="*.parquet")
+    more = file_factor(df, files)
+    (df.repartition(files * more, key) if key else df.repartition(files * more)).write.parquet(path)
+    written = v.spark.read.parquet(path)
+    share = max(1, math.ceil(len(written.inputFiles()) * per_batch / files))
+    return st.stream_alignments(v.spark, path, written.schema, share, include="*.parquet")
 
 
 def places(v, name):
@@ -73,10 +91,12 @@ def stream_coverage(v):
 def coverage_timeline(v):
     """Four batches, by the remainder of the start."""
     path = scratch_path(v.spark, "quarters")
+    files = file_factor(v.alignments, 4)
     for n in range(4):
-        v.alignments.filter(f"ref_start % 4 = {n}").coalesce(1).write.parquet(f"{path}/n{n}")
+        # Dealt in turn, so that each quarter has the same number of files, which are its batch.
+        v.alignments.filter(f"ref_start % 4 = {n}").repartition(files).write.parquet(f"{path}/n{n}")
     panel = v.regions.select("chrom", "start_pos", "end_pos", F.col("target_id").alias("name"))
-    stream = st.stream_alignments(v.spark, path, v.spark.read.parquet(f"{path}/n0").schema, 1)
+    stream = st.stream_alignments(v.spark, path, v.spark.read.parquet(f"{path}/n0").schema, files)
     return st.coverage_timeline(st.stream_coverage(stream, panel, *places(v, "timeline"))).withColumn("batch_id", F.col("batch_id").cast("bigint"))
 
 

@@ -1,5 +1,6 @@
 import random
 
+import __spark_entry__ as entry_point
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -137,3 +138,22 @@ def test_near_places_against_all_pairs():
         spots = sorted({(rng.choice("ab"), rng.randint(0, 400), rng.randint(0, 400), rng.choice("xyz"), 0, 1) for _ in range(rng.randint(1, 7))})
         want = any(a[0] == b[0] and abs(a[1] - b[1]) <= 50 and abs(a[2] - b[2]) <= 50 for i, a in enumerate(spots) for b in spots[i + 1 :])
         assert states.near_places(["\t".join(map(str, s)) for s in spots]) == want
+
+
+def test_more_rows_come_in_more_files_not_in_larger_ones(spark, monkeypatch):
+    """No task writes or reads a fixed share of the table; the batches stay as they are."""
+    from strandline.plans import stream_queries as sq
+    from strandline.plans.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    rows = v.alignments.count()
+    wanted = {n: [tuple(r) for r in entry_point.queries()[n](spark, v.sf_dir).collect()] for n in ("STM1_micro_batches", "STM3_coverage_timeline")}
+    monkeypatch.setattr(sq, "FILE_ROWS", 250)
+    assert sq.file_factor(v.alignments, 4) == -(-rows // 1000)
+    for key in (None, "read_id"):
+        files = sq.arriving(v, v.alignments, key)
+        seen = []
+        st.drain(files.select("read_id", "_metadata.file_path"), lambda df, n: seen.append(max(r["count"] for r in df.groupBy("file_path").count().collect())), sq.scratch_path(spark, "ck"))  # noqa: B023
+        assert len(seen) == 2 and max(seen) < 500
+    for name, before in wanted.items():
+        assert sorted(tuple(r) for r in entry_point.queries()[name](spark, v.sf_dir).collect()) == sorted(before)
