@@ -6,6 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from strandline.operators import fusion as fu
+from strandline.operators.qc import qs_filter
 from strandline.operators.graph import connected_components, contractions
 
 CAND = "sample_id string, read_id string, chrom string, ref_start long, ref_end long, gene string, gene_start long, gene_end long, mapq int, mapping_span long, strand string"
@@ -238,3 +239,18 @@ def test_components_by_key_against_a_search(spark):
         want |= {(key, v): c for v, c in label.items()}
     got = connected_components(spark.createDataFrame(edges, "k string, a long, b long"), "a", "b", ["k"])
     assert {(r.k, r.vertex): r.component for r in got.collect()} == want
+
+
+def test_more_alignments_get_more_tasks_not_larger_ones(spark, monkeypatch):
+    """Candidates are dealt by read to a number of tasks that follows the alignments; what follows per read keeps it."""
+    from strandline.plans import fusion_queries as fq
+    from strandline.plans.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.01")
+    wanted = sorted(fu.gene_alignment_pick(fu.fusion_candidates(fu.fusion_gate(qs_filter(v.alignments)), v.regions)).collect())
+    monkeypatch.setattr(fu, "TASK_ROWS", 3000)
+    assert fu.tasks_for(v.alignments) == -(-v.alignments.count() // 3000) > 8
+    rows = fq.candidates(v)
+    found = fu.gene_alignment_pick(rows)
+    assert rows.rdd.getNumPartitions() == found.rdd.getNumPartitions() == fu.tasks_for(v.alignments)
+    assert sorted(found.collect()) == wanted and wanted
