@@ -157,3 +157,31 @@ def test_more_rows_come_in_more_files_not_in_larger_ones(spark, monkeypatch):
         assert len(seen) == 2 and max(seen) < 500
     for name, before in wanted.items():
         assert sorted(tuple(r) for r in entry_point.queries()[name](spark, v.sf_dir).collect()) == sorted(before)
+
+
+def test_changes_of_reads_come_from_the_plan_without_python(spark, monkeypatch):
+    """Tags and pairs per batch equal the rules for one read in Python, and no batch starts a Python function per read."""
+    rng = random.Random(11)
+    spots = [(g, off) for g in "ABC" for off in (0, 30, 400)]
+    batches = [[alignment(i, *rng.choice(spots), qs=rng.choice([20.0] * 9 + [3.0]), extra=rng.random() < 0.6) for i in range(12) for _ in range(rng.randint(0, 2))] or [alignment(0, "A")] for _ in range(3)]
+
+    def by_read(columns, change, changed, state, found):
+        stream = arrivals(spark, batches)
+        path = scratch_path(spark, "byread")
+        st.to_files(st._with_state(found(stream), stream, columns, change, changed, state), path, scratch_path(spark, "c"))
+        return sorted(map(tuple, spark.read.schema(changed).parquet(path).collect()), key=str)
+
+    tags = by_read(states.PLACE, states.tag_change, states.TAG_CHANGE, states.TAG_STATE, lambda s: fu.fusion_candidates(fu.fusion_gate(s), panel(spark)))
+
+    def ends(stream):
+        p = fu.on_panel(fu.fusion_gate(stream), panel(spark))
+        a, b = (df.select(*fu.READ, F.lit(n).alias("side"), fu.binned_spot().alias("spot")).select(*fu.READ, "side", "spot.*") for n, df in (("p", p), ("s", fu.named_places(p))))
+        return a.unionByName(b)
+
+    pairs = by_read(states.SPOT, states.pair_changes, states.PAIR_CHANGE, states.PAIR_STATE, ends)
+    monkeypatch.setattr(st, "_with_state", None)
+    out = scratch_path(spark, "o")
+    st.stream_fusion_tags(arrivals(spark, batches), panel(spark), f"{out}/t", scratch_path(spark, "c"))
+    st.stream_breakpoint_clusters(arrivals(spark, batches), panel(spark), f"{out}/p", scratch_path(spark, "c"))
+    for name, want, kind in (("t", tags, states.TAG_CHANGE), ("p", pairs, states.PAIR_CHANGE)):
+        assert want and sorted(map(tuple, spark.read.schema(kind).parquet(f"{out}/{name}/changes").drop("batch_id").collect()), key=str) == want
