@@ -226,6 +226,19 @@ def test_language_is_learned_from_training_rows_only(spark):
     assert sorted(language.identify(lied).collect(), key=str) == sorted(language.identify(docs).collect(), key=str)
 
 
+def test_language_model_takes_every_training_row(spark):
+    """Frequencies, centroids and limits change with any one row, and not with the partitions."""
+    docs = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    model = language.fit(docs)
+    again = language.fit(docs.repartition(7))
+    assert (model.centroids == again.centroids).all() and (model.least == again.least).all() and (model.idf == again.idf).all()
+    rare = docs.filter(language.learnable(F.col("doc_id")) & (F.length("text") > 100)).groupBy("lang").agg(F.min(F.struct(F.xxhash64("text"), "doc_id")).alias("m"), F.max(F.struct(F.xxhash64("text"), "doc_id")).alias("z"))
+    first = rare.filter("lang = 'en'").first()
+    for doc_id in (first.m.doc_id, first.z.doc_id):
+        other = language.fit(docs.filter(F.col("doc_id") != doc_id))
+        assert other.centroids.shape != model.centroids.shape or (other.centroids != model.centroids).any()
+
+
 def test_toxicity_of_held_out_rows(spark):
     docs = documents(spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
