@@ -239,6 +239,16 @@ def test_language_model_takes_every_training_row(spark):
         assert other.centroids.shape != model.centroids.shape or (other.centroids != model.centroids).any()
 
 
+@pytest.mark.parametrize("text", ["", "12 3", "a", "ab 1", "Der Fuß, l'été. " * 3, "x" * 5000, "mot " * 900, ". a.b!! c", "\u0130stanbul \u039f\u0394\u039f\u03a3 " * 50, "\U00010400a\ud800b"])
+def test_cuts_of_a_text_are_counted_in_one_pass(text):
+    """The n-grams of each cut equal those of the cut text on its own, blanks at its end included."""
+    size, cell, count = language.prefix_counts(text)
+    for i, (least, cut) in enumerate(zip(language.SIZES, language.CUTS, strict=True)):
+        alone = language.ngram_counts(text[:cut])
+        want = {} if alone is None or alone[1].sum() + 1 < 2 ** (least - 1) else dict(zip(*alone, strict=True))
+        assert dict(zip(cell[size == i], count[size == i], strict=True)) == want
+
+
 def test_toxicity_of_held_out_rows(spark):
     docs = documents(spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
