@@ -52,19 +52,30 @@ def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     lines.write.mode(mode).text(path)
 
 
+#: Parts that one task writes one after the other.
+TASK_PARTS = 100
+
+
+def _part_order() -> list[Column]:
+    """Task and number within it of a part, from its name."""
+    return [F.regexp_extract("file", pattern, 1).cast("bigint") for pattern in ("^part-([0-9]+)-", "-c([0-9]+)\\.[^-]*$")]
+
+
 def write_ordered(lines: DataFrame, key: Sequence[Column], path: str, rows_per_part: int = 1_000_000) -> None:
     """Text parts in the order of ``key`` (columns of ``value``) across all parts, with a manifest.
 
-    Parts are ranges of the sampled keys, sorted on their own, so no task sees more than its
-    part. The manifest has the file, rows, offset, and first and last key of each part, taken
-    from what was written.
+    Tasks get ranges of the sampled keys, as many as ``TASK_PARTS`` parts each or a million lines
+    ask for, sort them on their own and begin a new part after ``rows_per_part`` lines. So the sample and the
+    tasks, of which the driver hears, follow the lines and not the parts. The manifest has
+    the file, rows, offset, and first and last key of each part, taken from what was written.
     """
-    parts = max(1, -(-lines.count() // rows_per_part))
-    lines.repartitionByRange(parts, *key, "value").sortWithinPartitions(*key, "value").write.text(f"{path}/lines")
+    tasks = max(1, -(-lines.count() // min(1_000_000, rows_per_part * TASK_PARTS)))
+    ordered = lines.repartitionByRange(tasks, *key, "value").sortWithinPartitions(*key, "value")
+    ordered.write.option("maxRecordsPerFile", rows_per_part).text(f"{path}/lines")
     written = lines.sparkSession.read.text(f"{path}/lines").select("value", F.col("_metadata.file_name").alias("file"))
     whole = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(key)])
     per_part = written.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.min(whole).alias("first"), F.max(whole).alias("last"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    before = Window.orderBy(*_part_order()).rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     per_part.withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0))).write.parquet(f"{path}/manifest")
 
 
@@ -78,10 +89,13 @@ def read_ordered(spark: SparkSession, path: str, low: Sequence | None = None, hi
         manifest = manifest.filter(start("last", low) >= given(low))
     if high is not None:
         manifest = manifest.filter(start("first", high) <= given(high))
-    parts = manifest.select("file", "offset").collect()  # one row per part
-    if not parts:
+    if low is None and high is None:
+        paths = [f"{path}/lines"]
+    else:
+        paths = [f"{path}/lines/{p.file}" for p in manifest.select("file").collect()]  # one row per part
+    if not paths:
         return spark.createDataFrame([], "line long, value string")
-    texts = spark.read.text([f"{path}/lines/{p.file}" for p in parts], wholetext=True)
+    texts = spark.read.text(paths, wholetext=True)
     split = texts.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\n\\z", ""), "\n")).alias("at", "value"))
     return split.join(manifest.select("file", "offset"), "file").select((F.col("offset") + F.col("at") + 1).alias("line"), "value")
 

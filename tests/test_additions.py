@@ -160,6 +160,18 @@ def test_ordered_parts_and_ranges_that_open_few_of_them(spark):
     assert lay.read_ordered(spark, path, ("chr3",)).collect() == []
 
 
+def test_many_small_parts_come_from_few_tasks(spark, monkeypatch):
+    """One task writes its parts one after the other; their order is that of the numbers in their names, beyond three digits too."""
+    monkeypatch.setattr(lay, "TASK_PARTS", 2000, raising=False)
+    data = [(f"chr1\t{p}",) for p in range(1200)]
+    path = scratch_path(spark, "parts")
+    fields = F.split("value", "\t")
+    lay.write_ordered(spark.createDataFrame(data[::-1], "value string"), [fields[0], fields[1].cast("long")], path, rows_per_part=1)
+    files = [r.file for r in spark.read.parquet(f"{path}/manifest").collect()]
+    assert len(files) == 1200 and len({f.split("-")[1] for f in files}) == 1
+    assert sorted(tuple(r) for r in lay.read_ordered(spark, path).collect()) == [(i + 1, v) for i, (v,) in enumerate(data)]
+
+
 def test_a_changed_file_counts_again_and_a_repeated_one_does_not(spark):
     path = scratch_path(spark, "listing")
     for n, part in enumerate([[("s", "f1", 10, 1), ("s", "f2", 20, 1)], [("s", "f1", 10, 1)], [("s", "f1", 11, 2), ("s", "f2", 20, 1)], [("s", "f1", 11, 2)]]):
