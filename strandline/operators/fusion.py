@@ -18,7 +18,7 @@ from strandline.operators.graph import connected_components
 from strandline.operators.intervals import interval_join
 from strandline.operators.qc import failing_reads, qs_filter
 from strandline.operators.ranges import merge_nearby, merge_ranges
-from strandline.session import cut_lineage, keep
+from strandline.session import cut_lineage, dealt_by_some_keys, keep, written
 
 READ = ["sample_id", "read_id"]
 
@@ -372,6 +372,12 @@ def cluster_reads(primary: DataFrame, supplementary: DataFrame, bin_size: int =
     return pairs.select(*READ, *names)
 
 
+#: Cells along each side of a tile, within which adjacent cells of a density clustering meet in one task.
+CELLS_OF_TILE = 8
+#: Points for each of which the comparison of adjacent cells gets one task.
+TASK_POINTS = 500_000
+
+
 def dbscan_labels(points: DataFrame, keys: Sequence[str], eps2: int, min_points: int) -> DataFrame:
     """Exact density clusters of weighted integer points ``x, y`` in the Manhattan metric.
 
@@ -396,21 +402,30 @@ def dbscan_labels(points: DataFrame, keys: Sequence[str], eps2: int, min_points:
     placed = cut_lineage(pts.join(weights, cell))
     pts = placed.drop("cw")
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    tile = [F.floor(F.col(c) / CELLS_OF_TILE).alias(t) for c, t in (("cu", "tu"), ("cv", "tv"))]
+    at_tile = [*keys, "tu", "tv"]
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(placed.count() / TASK_POINTS))
 
     def neighbours(centre: DataFrame, others: DataFrame) -> DataFrame:
-        moved = centre.withColumn("_d", F.explode(around)).select(
-            *keys, "x", "y", "u", "v", (F.col("cu") + F.col("_d.a")).alias("cu"), (F.col("cv") + F.col("_d.b")).alias("cv")
-        )
-        far = others.withColumnsRenamed({c: f"o_{c}" for c in others.columns if c not in cell})
+        """Pairs of adjacent cells. Points go to the tiles that their nine cells lie in, mostly one, and the cells are listed there."""
+        cells = F.transform(around, lambda d: F.struct((F.col("cu") + d["a"]).alias("cu"), (F.col("cv") + d["b"]).alias("cv")))
+        tiles = F.array_distinct(F.transform(around, lambda d: F.struct(F.floor((F.col("cu") + d["a"]) / CELLS_OF_TILE).alias("tu"), F.floor((F.col("cv") + d["b"]) / CELLS_OF_TILE).alias("tv"))))
+        dealt = centre.select(*keys, "x", "y", "cu", "cv", F.explode(tiles).alias("_t")).select(*keys, "_t.*", "x", "y", "cu", "cv").repartition(tasks, *at_tile)
+        moved = dealt.select(*at_tile, "x", "y", F.explode(cells).alias("_c")).select(*at_tile, "x", "y", "_c.*")
+        moved = moved.filter((F.floor(F.col("cu") / CELLS_OF_TILE) == F.col("tu")) & (F.floor(F.col("cv") / CELLS_OF_TILE) == F.col("tv")))
+        moved = moved.withColumns({"u": F.col("x") + F.col("y"), "v": F.col("x") - F.col("y")})
+        far = others.select(*keys, *tile, *[F.col(c).alias(c if c in cell else f"o_{c}") for c in others.columns if c not in keys]).repartition(tasks, *at_tile)
         near = (F.abs(F.col("u") - F.col("o_u")) <= eps2) & (F.abs(F.col("v") - F.col("o_v")) <= eps2)
-        return moved.join(far, cell).filter(near)
+        return moved.join(far.hint("merge"), [*at_tile, "cu", "cv"]).filter(near)
 
     thin = placed.filter(F.col("cw") < min_points)
     dense = placed.filter(F.col("cw") >= min_points).drop("cw")
-    counted = neighbours(thin.drop("cw"), pts.select(*cell, "u", "v", "w")).groupBy(*keys, "x", "y").agg(F.sum("o_w").alias("near"))
-    thin_core_keys = counted.filter(F.col("near") >= min_points).select(*keys, "x", "y")
-    thin_core = thin.drop("cw").join(thin_core_keys, [*keys, "x", "y"], "left_semi")
-    border = thin.drop("cw").join(thin_core_keys, [*keys, "x", "y"], "left_anti")
+    counted = neighbours(thin, pts.select(*cell, "u", "v", "w")).groupBy(*keys, "x", "y").agg(F.sum("o_w").alias("near"))
+    # Thin points are compared once; both kinds of them are read from what was found.
+    with dealt_by_some_keys(points.sparkSession):
+        checked = cut_lineage(thin.drop("cw").join(counted, [*keys, "x", "y"]).withColumn("core", F.col("near") >= min_points).drop("near"))
+    thin_core = checked.filter("core").drop("core")
+    border = checked.filter("NOT core").drop("core")
     core = cut_lineage(dense.unionByName(thin_core))
 
     boxes = core.groupBy(*cell).agg(
@@ -444,7 +459,10 @@ def dbscan_labels(points: DataFrame, keys: Sequence[str], eps2: int, min_points:
     parts = parts.select(*keys, F.col("vertex.i").alias("cu"), F.col("vertex.j").alias("cv"), "component")
     names = boxes.select(*cell, "first").join(parts, cell).groupBy(*keys, "component").agg(F.min("first").alias("label"))
     labelled = core.join(parts, cell).join(names, [*keys, "component"]).select(*cell, "x", "y", "u", "v", "label")
+    labelled = written(labelled, "labels")
     edge_labels = neighbours(border, labelled.select(*cell, "u", "v", "label")).groupBy(*keys, "x", "y").agg(F.min("o_label").alias("label"))
+    with dealt_by_some_keys(points.sparkSession):
+        edge_labels = written(edge_labels, "edge-labels")
     return labelled.select(*keys, "x", "y", "label").unionByName(edge_labels)
 
 

@@ -254,3 +254,14 @@ def test_more_alignments_get_more_tasks_not_larger_ones(spark, monkeypatch):
     found = fu.gene_alignment_pick(rows)
     assert rows.rdd.getNumPartitions() == found.rdd.getNumPartitions() == fu.tasks_for(v.alignments)
     assert sorted(found.collect()) == wanted and wanted
+
+
+def test_neighbouring_cells_are_listed_within_tiles(spark, monkeypatch):
+    """Points are dealt by tile, not once per neighbouring cell, and tiles of any size give the same clusters, also at their borders."""
+    rnd = random.Random(9)
+    points = {(rnd.randrange(-150, 150), rnd.randrange(-150, 150)): 1 for _ in range(250)}
+    df = spark.createDataFrame([("k", x, y, w) for (x, y), w in points.items()], "k string, x long, y long, w long")
+    want = sorted((x, y, label) for (x, y), label in brute_dbscan(points, 12, 3).items())
+    for side in (1, 2, 8):
+        monkeypatch.setattr(fu, "CELLS_OF_TILE", side, raising=True)
+        assert sorted((r.x, r.y, tuple(r.label)) for r in fu.dbscan_labels(df, ["k"], 12, 3).collect()) == want
