@@ -17,7 +17,7 @@ from strandline.functions.tags import supplementary_spans
 from strandline.operators.graph import connected_components
 from strandline.operators.intervals import interval_join
 from strandline.operators.qc import failing_reads, qs_filter
-from strandline.operators.ranges import merge_nearby, merge_ranges
+from strandline.operators.ranges import TILE, merge_nearby
 from strandline.session import cut_lineage, dealt_by_some_keys, keep, written
 
 READ = ["sample_id", "read_id"]
@@ -531,20 +531,40 @@ class OpenRegions:
         return self.open[-1][2]
 
 
+def stretches_of(spots: DataFrame, keys: Sequence[str], distance: int, tile: int = TILE) -> DataFrame:
+    """Distinct regions with the start of their stretch: what starts more than ``distance`` after the end of everything before it opens one.
+
+    Regions are marked in order within tiles of a chromosome, which know of the tiles
+    before them how far these reach. A region before the first new stretch of its tile
+    is in the last one opened in the tiles before, which only such regions look up.
+    """
+    tiled = [*keys, "_tile"]
+    spots = spots.withColumn("_tile", F.floor(F.col("start_pos") / tile))
+    in_order = Window.partitionBy(*tiled).orderBy("start_pos", "end_pos")
+    earlier = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    reach = spots.groupBy(*tiled).agg(F.max("end_pos").alias("_z")).withColumn("_reach", F.max("_z").over(earlier)).drop("_z")
+    near = spots.withColumn("_here", F.max("end_pos").over(in_order.rowsBetween(Window.unboundedPreceding, -1))).join(reach, tiled)
+    before = F.greatest("_here", "_reach")
+    opens = F.when(before.isNull() | (F.col("start_pos") > before + distance), F.col("start_pos"))
+    marked = written(near.withColumn("stretch", F.max(opens).over(in_order.rowsBetween(Window.unboundedPreceding, 0))).drop("_here", "_reach"), "stretches")
+    opened = marked.groupBy(*tiled).agg(F.max("stretch").alias("_last")).withColumn("_open", F.max("_last").over(earlier)).drop("_last")
+    carried = marked.filter("stretch IS NULL").join(opened, tiled).withColumn("stretch", F.col("_open")).drop("_open")
+    return marked.filter("stretch IS NOT NULL").unionByName(carried).drop("_tile")
+
+
 def cluster_regions(rows: DataFrame, distance: int = 200) -> DataFrame:
     """Greedy merge of regions per chromosome with a growing cluster span.
 
-    ``rows`` holds one line per region and read; regions are events on bins or
-    clusters, so a chromosome has at most as many distinct ones as bins. A region
-    can only join a cluster that starts within ``distance`` of everything before
-    it, so the merge is bound to the order within connected stretches of distinct
-    regions only: they pass in sorted order, and a task holds no more of a stretch
-    than the clusters still open. A stretch of one region needs no pass.
+    ``rows`` holds one line per region and read and is written once; what is averaged
+    per region goes with the distinct regions from then on. A region can only join a
+    cluster that starts within ``distance`` of everything before it, so the merge is
+    bound to the order within connected stretches of distinct regions only: they pass
+    in sorted order, and a task holds no more of a stretch than the clusters still open.
     """
     keys = ["sample_id", "chrom"]
-    spots = rows.select(*keys, "start_pos", "end_pos").distinct()
-    stretches = merge_ranges(spots, keys, slack=distance).withColumnsRenamed({"start_pos": "stretch", "end_pos": "_z"})
-    inside = interval_join(spots, stretches, on=keys, left_span=("start_pos", "end_pos"), right_span=("stretch", "_z"), closed=True).drop("_z")
+    rows = written(rows.filter("start_pos <= end_pos"), "regions")
+    region = [*keys, "start_pos", "end_pos"]
+    spots = stretches_of(rows.groupBy(*region).agg(F.avg("mapq").alias("q"), F.avg("mapping_span").alias("s")), keys, distance)
 
     def passed(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, regions = None, OpenRegions(distance)
@@ -554,19 +574,14 @@ def cluster_regions(rows: DataFrame, distance: int = 200) -> DataFrame:
                 if (sample, chrom, stretch) != here:
                     here, regions = (sample, chrom, stretch), OpenRegions(distance)
                 names.append(regions.joined(start, end))
-            yield pdf[[*keys, "start_pos", "end_pos"]].assign(cluster=names)
-
-    alone = F.col("_many") == 1
-    inside = keep(inside.join(inside.groupBy(*keys, "stretch").agg(F.count(F.lit(1)).alias("_many")), [*keys, "stretch"]))
-    single = inside.filter(alone).select(*keys, "start_pos", "end_pos", F.concat_ws("-", "start_pos", "end_pos").alias("cluster"))
-    ordered = inside.filter(~alone).drop("_many").repartition(*keys, "stretch").sortWithinPartitions(*keys, "stretch", "start_pos", "end_pos")
-    scanned = ordered.mapInPandas(passed, "sample_id string, chrom string, start_pos long, end_pos long, cluster string")
-    owners = single.unionByName(scanned)
-    hit = rows.join(owners, [*keys, "start_pos", "end_pos"])
+            yield pdf[[*region, "q", "s"]].assign(cluster=names)
+
+    ordered = spots.repartition(*keys, "stretch").sortWithinPartitions(*keys, "stretch", "start_pos", "end_pos")
+    owners = written(ordered.mapInPandas(passed, "sample_id string, chrom string, start_pos long, end_pos long, q double, s double, cluster string"), "owners")
     group = [*keys, "cluster"]
-    per_region = hit.groupBy(*group, "start_pos", "end_pos").agg(F.avg("mapq").alias("q"), F.avg("mapping_span").alias("s"))
-    stats = per_region.groupBy(*group).agg(
+    stats = owners.groupBy(*group).agg(
         F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.round(F.round(F.avg("q"), 6), 1).alias("avg_mapq"), F.round(F.round(F.avg("s"), 6), 0).alias("avg_span")
     )
+    hit = rows.select(*region, "read_id").join(owners.select(*region, "cluster"), region)
     reads = hit.select(*group, "read_id").distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("reads"))
     return stats.join(reads, group)

@@ -7,6 +7,7 @@ from strandline.operators import fusion as fu
 from strandline.operators.graph import connected_components
 from strandline.operators.qc import qs_filter
 from strandline.plans.registry import query
+from strandline.session import written
 from strandline.sinks.layouts import candidate_counts
 
 FAILING = """failing AS (SELECT DISTINCT sample_id, read_id FROM alignments WHERE NOT is_secondary AND NOT is_supplementary AND qs < 12),
@@ -309,6 +310,12 @@ def master_bed_events(v):
     return fu.master_bed_events(*places(v))
 
 
+def places_in_one(v):
+    """All places in one table, from alignments on the regions that are written once."""
+    panel = written(fu.on_panel(fu.fusion_gate(qs_filter(v.alignments)), v.regions).distinct(), "panel")
+    return panel.drop("sa").unionByName(fu.named_places(panel))
+
+
 @query(
     "AGG34_cluster_regions",
     f"""WITH {PLACES}, rows_in AS (SELECT sample_id, read_id, chrom, (ref_start + ref_end) // 2 // 500 * 500 AS b, mapq, mapping_span FROM prim UNION ALL SELECT sample_id, read_id, chrom, (ref_start + ref_end) // 2 // 500 * 500, mapq, ref_end - ref_start FROM supp),
@@ -320,9 +327,8 @@ def master_bed_events(v):
 )
 def cluster_regions(v):
     """Bins of 500 bases around the midpoints of all places; touching bins become one region."""
-    primary, extra = places(v)
     mid = F.expr("(ref_start + ref_end) div 2")
-    rows = primary.unionByName(extra).withColumn("start_pos", mid - mid % 500)
+    rows = places_in_one(v).withColumn("start_pos", mid - mid % 500)
     return fu.cluster_regions(rows.select("sample_id", "read_id", "chrom", "start_pos", (F.col("start_pos") + 500).alias("end_pos"), "mapq", "mapping_span"))
 
 
@@ -354,9 +360,8 @@ SHORT = "20 + (ref_start + ref_end) // 2 % 23 * 10"
 )
 def cluster_short_regions(v):
     """Regions of 20 to 240 bases at the midpoints of all places, short enough that near ends and near midpoints decide beside overlap."""
-    primary, extra = places(v)
     mid = F.expr("(ref_start + ref_end) div 2")
-    rows = primary.unionByName(extra).withColumn("start_pos", mid).withColumn("end_pos", F.col("start_pos") + 20 + F.col("start_pos") % 23 * 10)
+    rows = places_in_one(v).withColumn("start_pos", mid).withColumn("end_pos", F.col("start_pos") + 20 + F.col("start_pos") % 23 * 10)
     return fu.cluster_regions(rows.select("sample_id", "read_id", "chrom", "start_pos", "end_pos", "mapq", "mapping_span"))
 
 

@@ -265,3 +265,37 @@ def test_neighbouring_cells_are_listed_within_tiles(spark, monkeypatch):
     for side in (1, 2, 8):
         monkeypatch.setattr(fu, "CELLS_OF_TILE", side, raising=True)
         assert sorted((r.x, r.y, tuple(r.label)) for r in fu.dbscan_labels(df, ["k"], 12, 3).collect()) == want
+
+
+REGION = "sample_id string, read_id string, chrom string, start_pos long, end_pos long, mapq int, mapping_span long"
+
+
+def test_rows_of_region_clusters_are_worked_out_once(spark):
+    """What the regions come from may be a long plan: it runs once, however often their rows are needed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(pdfs):
+        for pdf in pdfs:
+            seen.add(len(pdf))
+            yield pdf
+
+    data = [("s", f"r{i % 5}", "chr1", i * 70, i * 70 + 40, 60, 40) for i in range(30)]
+    df = spark.createDataFrame(data, REGION).mapInPandas(counted, REGION)
+    assert sum(r.reads for r in fu.cluster_regions(df).collect()) > 0
+    assert seen.value == len(data)
+
+
+def test_stretches_go_on_across_tiles(spark):
+    rnd = random.Random(12)
+    spots = sorted({("s", f"chr{rnd.randrange(3)}", a := rnd.randrange(0, 4000), a + rnd.choice([1, 5, 20, 400])) for _ in range(120)})
+    want, here, reach = set(), None, None
+    for sample, chrom, start, end in spots:
+        if here is None or chrom != here[0] or start > reach + 10:
+            here, reach = (chrom, start), end
+        reach = max(reach, end)
+        want.add((chrom, start, end, here[1]))
+    assert 3 < len({(c, s) for c, _, _, s in want}) < len(spots)
+    df = spark.createDataFrame(spots, "sample_id string, chrom string, start_pos long, end_pos long")
+    for tile in (7, 100, 1 << 20):
+        got = fu.stretches_of(df, ["sample_id", "chrom"], 10, tile).collect()
+        assert len(got) == len(spots) and {(r.chrom, r.start_pos, r.end_pos, r.stretch) for r in got} == want
