@@ -62,6 +62,8 @@ def linked_fingerprints(prints: DataFrame, distance: int = DISTANCE) -> DataFram
     Of two halves of 32 bits, one differs in a single bit at most. Each half looks
     up itself and its neighbours at one bit, flipped from 0 to 1 only, for the
     other fingerprint of the pair makes the way back. Whole distances decide.
+    The join asks for a sort-merge: a file of fingerprints says nothing about the
+    look-ups they are expanded to, about 34 each, which Spark would broadcast.
     """
     if not 0 <= distance <= 3:
         raise ValueError("halves with balls of one bit find distances up to 3")
@@ -71,7 +73,7 @@ def linked_fingerprints(prints: DataFrame, distance: int = DISTANCE) -> DataFram
     probes = table.select(F.col("b").alias("a"), "_seg", "_half", F.explode(ball).alias("_bit"))
     probes = probes.select("a", "_seg", F.col("_half").bitwiseOR(F.col("_bit")).alias("_half"), (F.col("_bit") == 0).alias("_same"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return probes.join(table, ["_seg", "_half"]).filter(near & (~F.col("_same") | (F.col("a") < F.col("b")))).select("a", "b")
+    return probes.join(table.hint("merge"), ["_seg", "_half"]).filter(near & (~F.col("_same") | (F.col("a") < F.col("b")))).select("a", "b")
 
 
 def _labelled(rows: DataFrame) -> DataFrame:

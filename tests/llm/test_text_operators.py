@@ -13,7 +13,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from strandline.llm import exact_dedup, html_text, language, near_dedup, pieces, pii, toxicity
+from strandline.llm import common, exact_dedup, html_text, language, near_dedup, pieces, pii, toxicity
 from strandline.llm.common import documents
 
 SF = "/root/testdata/sf0.001"
@@ -108,6 +108,14 @@ def test_near_duplicates_equal_brute_force(docs):
     assert got == {i: (f"{p:016x}", component[i]) for i, p in prints.items()}
 
 
+def test_lookups_of_fingerprints_are_not_broadcast(spark):
+    """A small file of fingerprints becomes many look-ups, so its size must not decide on a broadcast."""
+    table = common.stored(spark.range(5000).select(F.xxhash64("id").alias("_fp")), "few-prints")
+    pairs = near_dedup.linked_fingerprints(table)
+    pairs.collect()
+    assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_duplicates_of_edge_cases(edge, empty):
     rows = near_dedup.near_duplicates(edge).collect()
     assert len(rows) == len(EDGE)
