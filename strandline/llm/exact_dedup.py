@@ -54,7 +54,8 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, block_key: Callable[[C
 
     Blocks are numbered from their whole text. ``block_key`` only shortens the
     join that brings numbers to their blocks: where it gives one value to two
-    different blocks, the join compares the blocks themselves.
+    different blocks, the join compares the blocks themselves. These joins are
+    sort-merged, for a file of sorted numbers is much smaller than its rows in memory.
     """
     texts = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").alias("_doc"), text_of().alias("_text"))
     texts = texts.select("_rid", "_doc", F.length("_text").cast("long").alias("_len"), normalised(F.col("_text")).alias("_text"))
@@ -72,7 +73,7 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, block_key: Callable[[C
         drop_stored(names)
         by = ["_key", "_block"]
         names = stored(_numbered(blocks, *by), "block-names")
-    level = stored(_pairs(blocks.join(names, by)), "block-pairs")
+    level = stored(_pairs(blocks.join(names.hint("merge"), by)), "block-pairs")
     drop_stored(blocks, names)
 
     levels = [level]
@@ -81,7 +82,7 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, block_key: Callable[[C
         # A text with one pair has its identity; the others go on.
         going = level.filter("_n > 1").select("_rid", "_pos", "_n", "_a", "_b")
         names = stored(_numbered(going, "_a", "_b"), "pair-names")
-        level = stored(_pairs(going.join(names, ["_a", "_b"])), "block-pairs")
+        level = stored(_pairs(going.join(names.hint("merge"), ["_a", "_b"])), "block-pairs")
         drop_stored(names)
         levels.append(level)
         longest = (longest + 1) // 2

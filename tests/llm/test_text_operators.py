@@ -116,6 +116,19 @@ def test_lookups_of_fingerprints_are_not_broadcast(spark):
     assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_names_of_blocks_are_not_broadcast(spark, docs, monkeypatch):
+    plans = []
+
+    def kept(df, label):
+        if label == "block-pairs":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.stored(df, label)
+
+    monkeypatch.setattr(exact_dedup, "stored", kept)
+    exact_dedup.exact_duplicates(docs)
+    assert len(plans) > 2 and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_near_duplicates_of_edge_cases(edge, empty):
     rows = near_dedup.near_duplicates(edge).collect()
     assert len(rows) == len(EDGE)
