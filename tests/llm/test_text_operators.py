@@ -247,6 +247,22 @@ def test_language_is_learned_from_training_rows_only(spark):
     assert sorted(language.identify(lied).collect(), key=str) == sorted(language.identify(docs).collect(), key=str)
 
 
+def test_language_limits_take_whole_texts(spark):
+    words, other = "the cat sat on the mat and ", "zyx wvu tsr qpo nml "
+    rows = [("en", words * 60 + other * n) for n in range(10, 40)] + [("de", "7" * 2000 + words * 3 + "8" * n) for n in range(30)]
+    cells, counts = language.ngram_counts(words * 60)
+    centroid = np.zeros((1, language.CELLS), dtype=np.float32)
+    centroid[0, cells] = np.log1p(counts)
+    centroid = language._unit(centroid)
+    for lang, size in (("en", 12), ("de", 7)):
+        table = spark.createDataFrame([r for r in rows if r[0] == lang], "_lang string, _text string").repartition(3)
+        least = language._least(table, np.ones(language.CELLS, dtype=np.float32), {lang: centroid})
+        found = [language.ngram_counts(text) for kind, text in rows if kind == lang]
+        assert all(language._length_class(c.sum()) == size for _, c in found)
+        cosines = sorted(int(np.clip(language._unit(np.log1p(c.astype(np.float32))) @ centroid[0, i], 0, 1) * language.STEPS) for i, c in found)
+        assert abs(least[size] * language.STEPS - np.percentile(cosines, 1)) <= 1
+
+
 def test_language_model_takes_every_training_row(spark):
     """Frequencies, centroids and limits change with any one row, and not with the partitions."""
     docs = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
