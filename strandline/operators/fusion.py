@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.tags import supplementary_spans
 from strandline.operators.graph import connected_components
-from strandline.operators.intervals import interval_join
+from strandline.operators.intervals import BUCKET, interval_join
 from strandline.operators.qc import failing_reads, qs_filter
 from strandline.operators.ranges import TILE, merge_nearby
 from strandline.session import cut_lineage, dealt_by_some_keys, keep, written
@@ -280,28 +280,55 @@ def _seed_clusters(positions: DataFrame, keys: Sequence[str], distance: int) ->
     return ordered.mapInPandas(passed, schema)
 
 
-def validated_fusions(pairs: DataFrame, distance: int = 100, min_support: int = VALIDATED_SUPPORT) -> DataFrame:
-    """Breakpoint clusters of both genes that enough reads share.
+#: Rows of padded clusters per bucket up to which they go to every task; more of them are sort-merged.
+SENT_ROWS = 100_000
 
-    A read counts for every cluster with a member within ``distance`` of it,
-    which is the same as touching the padded span of the cluster.
+
+def _on_clusters(rows: DataFrame, clusters: DataFrame, n: int, distance: int) -> DataFrame:
+    """``rows`` with every cluster of gene ``n`` that has a member within ``distance``.
+
+    The clusters are padded, not the rows, so that nearly all rows are in one bucket. They
+    are counted in their buckets before they are broadcast.
     """
-    pairs = keep(pairs)
+    start, end, c_start, c_end = (F.col(f"{c}{n}") for c in ("start", "end", "c_start", "c_end"))
+    clusters = clusters.withColumnsRenamed({c: f"{c}{n}" for c in ("cluster", "c_start", "c_end")}).withColumns({f"_p{n}": c_start - distance, f"_q{n}": c_end + distance})
+    buckets = F.floor(F.col(f"_q{n}") / BUCKET) - F.floor(F.col(f"_p{n}") / BUCKET) + 1
+    if (clusters.agg(F.sum(buckets)).first()[0] or 0) <= SENT_ROWS:
+        clusters = F.broadcast(clusters)
+    rows = rows.withColumns({f"_s{n}": F.least(start, end), f"_e{n}": F.greatest(start, end)})
+    near = (end + distance >= c_start) & (c_end >= start - distance) & (end + distance >= start - distance) & (c_end >= c_start)
+    met = interval_join(clusters, rows, on=PAIR, left_span=(f"_p{n}", f"_q{n}"), right_span=(f"_s{n}", f"_e{n}"), closed=True, condition=near)
+    return met.drop(f"start{n}", f"end{n}", f"_p{n}", f"_q{n}", f"_s{n}", f"_e{n}")
+
+
+def _shared_clusters(pairs: DataFrame, distance: int, min_support: int, means: Sequence[str] = ()) -> DataFrame:
+    """Clusters of both genes that enough reads share, with the ``means`` (of ``min_mapq`` and so on) of these reads.
+
+    The pairs are written once, without the columns that nothing reads, and in order
+    within each file, so that files and shuffles hold runs of equal genes.
+    """
+    spans = [f"{c}{n}" for n in (1, 2) for c in ("start", "end")]
+    pairs = written(pairs.select(*PAIR, *spans, *[f"min_{m}" for m in means]).sortWithinPartitions(*PAIR, "start1"), "gene-pairs")
     rows = pairs
     for n in (1, 2):
         spots = pairs.select(*PAIR, F.col(f"start{n}").alias("start"), F.col(f"end{n}").alias("end"))
-        clusters = _seed_clusters(spots, PAIR, distance).withColumnsRenamed({"cluster": f"cluster{n}", "c_start": f"c_start{n}", "c_end": f"c_end{n}"})
-        rows = rows.withColumns({f"_s{n}": F.col(f"start{n}") - distance, f"_e{n}": F.col(f"end{n}") + distance})
-        rows = interval_join(rows, clusters, on=PAIR, left_span=(f"_s{n}", f"_e{n}"), right_span=(f"c_start{n}", f"c_end{n}"), closed=True)
-    found = rows.groupBy(*PAIR, "cluster1", "cluster2", "c_start1", "c_end1", "c_start2", "c_end2").agg(
-        F.count(F.lit(1)).alias("reads"), F.avg("min_mapq").alias("avg_mapq"), F.avg("min_span").alias("avg_span")
-    )
+        rows = _on_clusters(rows, written(_seed_clusters(spots, PAIR, distance), "pair-clusters"), n, distance)
+    found = rows.groupBy(*PAIR, "cluster1", "cluster2", "c_start1", "c_end1", "c_start2", "c_end2").agg(F.count(F.lit(1)).alias("reads"), *[F.avg(f"min_{m}").alias(f"avg_{m}") for m in means])
     return found.filter(F.col("reads") >= min_support)
 
 
+def validated_fusions(pairs: DataFrame, distance: int = 100, min_support: int = VALIDATED_SUPPORT) -> DataFrame:
+    """Breakpoint clusters of both genes that enough reads share.
+
+    A read counts for every cluster with a member within ``distance`` of it,
+    which is the same as touching the padded span of the cluster.
+    """
+    return _shared_clusters(pairs, distance, min_support, ("mapq", "span"))
+
+
 def coordinate_clusters(pairs: DataFrame, distance: int = 10_000, min_support: int = VALIDATED_SUPPORT) -> DataFrame:
     """The wide-radius variant on whole alignments, without quality means."""
-    return validated_fusions(pairs, distance, min_support).drop("avg_mapq", "avg_span")
+    return _shared_clusters(pairs, distance, min_support)
 
 
 def simple_gene_pairs(candidates: DataFrame, min_support: int = VALIDATED_SUPPORT) -> DataFrame:

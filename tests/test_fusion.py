@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 from conftest import rows
@@ -74,6 +75,31 @@ def test_seed_clusters_against_the_written_out_rule(spark, d):
     assert rows(got, "cluster1", "cluster2", "c_start1", "c_end1", "reads") == sorted(want)
 
 
+@pytest.mark.parametrize("sent", [0, 100_000])
+def test_rows_meet_clusters_in_one_bucket_each(spark, monkeypatch, sent):
+    """Long, reversed, repeated and null spans; clusters broadcast if few, and merged otherwise."""
+    monkeypatch.setattr(fu, "SENT_ROWS", sent)
+    rnd, d = random.Random(8), 10_000
+    key = [("s", "A", "B", "chr1", "chr2"), ("s", "A", "C", "chr1", None), ("t", "A", "B", "chr1", "chr2")]
+    data = []
+    for _ in range(400):
+        spots = [(s, s + rnd.choice([500, 2000, 60_000, -300, -25_000])) for s in (rnd.randrange(400_000), rnd.randrange(400_000))]
+        data.append((*rnd.choice(key), *spots[0], *(spots[1] if rnd.random() < 0.95 else (None, 5)), 50, 300))
+    data += data[:50]
+    pairs = spark.createDataFrame(data, "sample_id string, gene1 string, gene2 string, chr1 string, chr2 string, start1 long, end1 long, start2 long, end2 long, min_mapq int, min_span long").repartition(3)
+    found = fu.coordinate_clusters(pairs, d)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" in plan) == (sent == 0)
+    clusters = [{r[:5] + (r.cluster,): (r.c_start, r.c_end) for r in fu._seed_clusters(pairs.select(*fu.PAIR, F.col(f"start{n}").alias("start"), F.col(f"end{n}").alias("end")), fu.PAIR, d).collect()} for n in (1, 2)]
+    want = Counter()
+    for *k, s1, e1, s2, e2, _, _ in data:
+        if None not in (*k, s1, s2):
+            met = [[(c, *span) for (*g, c), span in clusters[n].items() if g == k and span[0] is not None and min(e + d, span[1]) >= max(s - d, span[0])] for n, (s, e) in enumerate(((s1, e1), (s2, e2)))]
+            want.update((*k, a[0], b[0], *a[1:], *b[1:]) for a in met[0] for b in met[1])
+    want = sorted((*k, n) for k, n in want.items() if n >= fu.VALIDATED_SUPPORT)
+    assert want and rows(found, *fu.PAIR, "cluster1", "cluster2", "c_start1", "c_end1", "c_start2", "c_end2", "reads") == want
+
+
 def test_seed_clusters_of_one_crowded_gene_pair(spark):
     """All rows in one key: every start is within reach of its predecessor, over several Arrow batches."""
     rnd, d = random.Random(5), 20
