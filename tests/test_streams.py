@@ -1,4 +1,5 @@
 import random
+from types import SimpleNamespace
 
 import __spark_entry__ as entry_point
 from conftest import rows
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import fusion as fu
 from strandline.operators.qc import qs_filter
+from strandline.plans import stream_queries
 from strandline.session import scratch_path
 from strandline.sinks.layouts import append_candidates
 from strandline.streaming import pipelines as st
@@ -185,3 +187,19 @@ def test_changes_of_reads_come_from_the_plan_without_python(spark, monkeypatch):
     st.stream_breakpoint_clusters(arrivals(spark, batches), panel(spark), f"{out}/p", scratch_path(spark, "c"))
     for name, want, kind in (("t", tags, states.TAG_CHANGE), ("p", pairs, states.PAIR_CHANGE)):
         assert want and sorted(map(tuple, spark.read.schema(kind).parquet(f"{out}/{name}/changes").drop("batch_id").collect()), key=str) == want
+
+
+def test_arriving_alignments_are_whole_and_dealt_by_place(spark, tmp_path, monkeypatch):
+    """Files of a stream of fusions hold every row, with the columns in use only, and the rows of most reads lie in several."""
+    monkeypatch.setattr(stream_queries, "scratch_path", lambda spark, label: f"{tmp_path}/{label}")
+    place = F.col("id") % 700
+    made = {"sample_id": F.lit("s"), "read_id": (F.col("id") / 4).cast("int").cast("string"), "chrom": F.lit("chr1"), "sa": F.when(place > 3, F.lit("x")), "qs": F.lit(12.0), "strand": F.lit("+")}
+    made |= {c: place for c in ("ref_start", "ref_end", "mapq", "read_start", "read_end")} | {c: place == 1 for c in ("is_unmapped", "is_secondary", "is_supplementary")}
+    rows = spark.range(2000).withColumns(made).drop("id").withColumns({"cigar": F.lit("9M"), "rg": F.lit("run")})
+    view = SimpleNamespace(spark=spark, alignments=rows.unionByName(rows.limit(5)))
+    stream = stream_queries.arriving_alignments(view)
+    files = spark.read.parquet(f"{tmp_path}/arriving")
+    assert stream.columns == files.columns == stream_queries.FUSION
+    assert files.exceptAll(view.alignments.select(*files.columns)).isEmpty() and files.count() == 2005
+    spread = files.select("read_id", F.input_file_name().alias("f")).distinct().groupBy("read_id").count()
+    assert spread.filter("count > 1").count() > 450
